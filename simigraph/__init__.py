@@ -1,0 +1 @@
+"""Duplicate and similarity analytics over catalogs of files, on Spark."""
