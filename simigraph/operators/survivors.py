@@ -20,7 +20,7 @@ def _orders() -> dict[str, list[Column]]:
     }
 
 
-STRATEGIES = tuple(_orders())
+STRATEGIES = ("keep_largest", "keep_smallest", "keep_newest", "keep_oldest", "select_older", "select_larger", "select_smaller", "all_but_one")
 
 
 def mark(files: DataFrame, strategy: str, group: str = "group_id") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +56,7 @@ def read_fingerprints(spark: SparkSession, path: str) -> DataFrame:
     number = r"^-?[0-9]+$"
     bad = F.col("_broken").isNotNull() | F.exists("hashes", lambda h: ~h.rlike(number))
     usable = raw.agg(F.count_if(bad).alias("bad"))
-    signed = F.transform("hashes", lambda h: F.when(h.cast("decimal(20,0)") >= 2**63, h.cast("decimal(20,0)") - 2**64).otherwise(h.cast("decimal(20,0)")).cast("long"))
+    signed = F.transform("hashes", lambda h: F.when(h.cast("decimal(20,0)") >= F.lit(Decimal(2**63)), h.cast("decimal(20,0)") - F.lit(Decimal(2**64))).otherwise(h.cast("decimal(20,0)")).cast("long"))
     return raw.crossJoin(F.broadcast(usable)).where("bad = 0 and path is not null").select("path", "mtime", signed.alias("hashes"))
 
 
