@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simigraph.llm import bpe_chunks, common, lattice_lm, line_dedup, line_rules, lz_fingerprint, packing, simhash, token_cache, token_files, url_tree
-from simigraph.llm.common import WORD, table
+from simigraph.llm.common import SPACE, WORD, table
 
 WORD_BPE, BYTE_BPE, PIECES = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 END_ID, TOKEN_LIMIT = 1, 4096
@@ -102,4 +102,36 @@ kept AS (SELECT r.doc_id, count(*) AS n_lines, count(g.line) AS n_deleted, coale
 SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_deleted AS BIGINT) AS n_deleted, CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS text_sha256 FROM kept
 """
 
-ORACLE: dict[str, str] = {"op4_line_dedup": _LINES}
+_R = line_rules
+
+
+def _count(c: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({c}, '{pattern.replace(chr(39), chr(39) * 2)}'))"
+
+
+def _line_fails() -> str:
+    words, letters = _count("s", WORD), _count("s", r"\p{L}")
+    many = " OR ".join(f"{_count('s', p)} * {_R.WORDS_A_SYMBOL} > {words}" for p in (_R.SYMBOLS, _R.MARKS, _R.SEPARATORS))
+    end, phrases = _R.END_MARK.replace("'", "''"), "|".join(_R.BOILERPLATE)
+    short = f"{words} <= {_R.SHORT_LINE} AND NOT regexp_matches(s, '{end}')"
+    capitals = f"{letters} >= 20 AND {_count('s', r'\p{Lu}')} * 2 > {letters}"
+    return f"{words} > 0 AND ({many} OR ({short}) OR ({capitals}) OR ({words} <= {_R.BOILERPLATE_LINE} AND regexp_matches(s, '(?i){phrases}')))"
+
+
+_RULES = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM d),
+judged AS (SELECT doc_id, s, {_count("s", WORD)} AS words, {_line_fails()} AS fails FROM lines),
+by_line AS (SELECT doc_id, sum(words) AS n_words, sum(CASE WHEN fails THEN 0 ELSE words END) AS n_left, count(*) FILTER (WHERE words > 0) - count(DISTINCT CASE WHEN words > 0 THEN s END) AS n_dup_lines FROM judged GROUP BY doc_id),
+lists AS (SELECT doc_id, regexp_extract_all(text, '{WORD}') AS ws FROM d),
+words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM lists),
+grams AS (SELECT doc_id, i, w || chr(10) || lead(w) OVER a || chr(10) || lead(w, 2) OVER a AS g FROM words WINDOW a AS (PARTITION BY doc_id ORDER BY i)),
+counted AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams WHERE g IS NOT NULL),
+again AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM counted, (VALUES (0), (1), (2)) v(k) WHERE c > 1 GROUP BY doc_id),
+base AS (SELECT d.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(length(text) - {_count("text", f"[{SPACE}]")} AS BIGINT) AS word_chars, CAST({_count("text", _R.SYMBOLS)} AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(coalesce(again.n, 0) AS BIGINT) AS n_repeat_words, n_left FROM d JOIN by_line b ON b.doc_id = d.doc_id LEFT JOIN again ON again.doc_id = d.doc_id),
+failed AS (SELECT *, n_words < {_R.LEAST_WORDS} OR n_repeat_words * 100 > n_words * {_R.MOST_REPEATED_PERCENT} AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_left * 100 >= n_words * {_R.KEEP_PERCENT} AS kept FROM failed
+"""
+
+ORACLE: dict[str, str] = {"op4_line_dedup": _LINES, "op9_line_rules": _RULES}

@@ -77,16 +77,17 @@ def fingerprint(text: str) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the fingerprint as a signed long."""
+    """doc_id, a hash of the text, and the fingerprint as a signed long."""
     common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = np.array([fingerprint(t or "") for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.int64())], ["doc_id", "print"])
+            prints = np.array([fingerprint(t or "") for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints, pa.int64())], ["doc_id", "hash", "print"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, print long")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, hash long, print long")
 
 
 # Links
@@ -206,7 +207,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """doc_id, print (signed long) and component_id: the smallest doc_id that links lead to."""
+    """doc_id, hash (of the text), print (signed long) and component_id: the smallest doc_id that links lead to."""
     prints = common.materialise(fingerprints(docs, id_col, text_col), "prints")
     distinct = common.materialise(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "distinct")
     found = components(links(distinct.select("print"), distance))
@@ -215,4 +216,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     smallest = common.materialise(smallest, "smallest")
     ids = common.materialise(labelled.join(smallest, "component").select("print", "component_id"), "ids")
-    return prints.join(ids, "print").select("doc_id", "print", "component_id")
+    return prints.join(ids, "print").select("doc_id", "hash", "print", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """The documents without all but the one with the smallest id of each component.
+
+    Of rows that repeat as id and text one stays. A component of null ids alone
+    keeps one row of each different text.
+    """
+    found = near_duplicates(docs, id_col, text_col, distance)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "hash").agg(F.count("*").alias("n"))
+    kept = common.materialise(kept, "kept").withColumnsRenamed({"doc_id": "_near_doc", "hash": "_near_hash"})
+    text = F.col(text_col).cast("string")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_near_doc")) & (F.xxhash64(text) == F.col("_near_hash"))
+
+    def those(which: DataFrame) -> DataFrame:
+        return docs.join(which.hint("shuffle_hash"), same, "left_semi")
+
+    if kept.where("n > 1").isEmpty():
+        return those(kept)
+    return those(kept.where("n = 1")).unionByName(those(kept.where("n > 1")).dropDuplicates([id_col, text_col]))

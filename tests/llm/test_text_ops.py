@@ -213,6 +213,11 @@ def test_simhash_of_odd_rows(odd):
     assert {r.component_id for r in rows if r.doc_id in (4, 5)} == {4}
     assert {r.component_id for r in rows if r.print == 0} == {1}
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
+    kept = simhash.keep_one(odd)
+    assert kept.columns == odd.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 3), (False, 4), (False, 7)]
+    nulls = odd.where("doc_id is null")
+    assert simhash.keep_one(nulls.union(nulls)).count() == 2
 
 
 # 6
