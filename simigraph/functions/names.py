@@ -192,21 +192,34 @@ def char_counts(text: Column) -> Column:
     return F.transform(F.array_sort(F.array_distinct(chars)), lambda c: F.struct(c.alias("c"), F.size(F.filter(chars, lambda x: x == c)).alias("n")))
 
 
+def _hundredths(size: Column, unit: int) -> Column:
+    """Size in hundredths of the unit, ties to even, without the error of a quotient."""
+    n = size.cast("decimal(38,0)") * 100
+    rest = n % F.lit(unit).cast("decimal(38,0)")
+    whole = ((n - rest) / F.lit(unit).cast("decimal(38,0)")).cast("long")
+    twice = rest * 2
+    up = (twice > unit) | ((twice == unit) & (whole % 2 == 1))
+    return whole + up.cast("long")
+
+
+def _two_decimals(hundredths: Column) -> Column:
+    return F.concat(F.floor(hundredths / 100).cast("long").cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"))
+
+
 def human_size(size: Column) -> Column:
-    """Two decimals and a unit from B to PB."""
-    value, out = size.cast("double"), None
+    """Two decimals and a unit from B to PB; sizes aren't negative."""
     units = ["B", "KB", "MB", "GB", "TB", "PB"]
-    out = F.format_string("%.2f PB", value / 1024.0**5)
+    shown = lambda k: F.concat(_two_decimals(_hundredths(size, 1024**k)), F.lit(f" {units[k]}"))
+    out = shown(len(units) - 1)
     for k in range(len(units) - 2, -1, -1):
-        out = F.when(value < 1024.0 ** (k + 1), F.format_string(f"%.2f {units[k]}", value / 1024.0**k)).otherwise(out)
+        out = F.when(size < 1024 ** (k + 1), shown(k)).otherwise(out)
     return out
 
 
 def short_size(size: Column) -> Column:
-    """GB, MB, KB or bytes, rounded to two decimals without trailing zeros."""
-    plain = lambda v: F.regexp_replace(F.regexp_replace(F.format_string("%.2f", v), "0+$", ""), r"\.$", "")
-    v = size.cast("double")
+    """GB, MB, KB or bytes, with up to two decimals."""
+    plain = lambda k: F.regexp_replace(F.regexp_replace(_two_decimals(_hundredths(size, 1024**k)), "0+$", ""), r"\.$", "")
     out = F.concat(size.cast("string"), F.lit(" B"))
     for unit, k in (("KB", 1), ("MB", 2), ("GB", 3)):
-        out = F.when(v >= 1024.0**k, F.concat(plain(v / 1024.0**k), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(size >= 1024**k, F.concat(plain(k), F.lit(f" {unit}"))).otherwise(out)
     return out

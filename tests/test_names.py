@@ -53,11 +53,16 @@ def test_numbers_keep_their_zeros(spark):
     assert set(one(spark, names.numbers(F.col("t")), t="1 01 a2")) == {"1", "01"}
 
 
-@pytest.mark.parametrize(("size", "shown"), [(0, "0.00 B"), (1023, "1023.00 B"), (1024, "1.00 KB"), (5 * 1024**3, "5.00 GB"), (3 * 1024**6, "3072.00 PB")])
+@pytest.mark.parametrize(("size", "shown"), [(0, "0.00 B"), (1023, "1023.00 B"), (1024, "1.00 KB"), (5 * 1024**3, "5.00 GB"), (3 * 1024**6, "3072.00 PB"), (976000, "953.12 KB"), (1047, "1.02 KB")])
 def test_human_size(spark, size, shown):
     assert one(spark, names.human_size(F.col("s")), s=size) == shown
 
 
+@pytest.mark.parametrize(("size", "shown"), [(5, "5 B"), (1536, "1.5 KB"), (2 * 1024**2, "2 MB"), (10 * 1024**4, "10240 GB")])
+def test_short_size(spark, size, shown):
+    assert one(spark, names.short_size(F.col("s")), s=size) == shown
+
+
 def test_fuzzy_definitions():
     assert ratio("kitten", "sitting") == pytest.approx(61.538461, abs=1e-5)
     assert partial_ratio("dark knight", "dark knight 2008") == 100
