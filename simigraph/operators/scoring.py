@@ -71,6 +71,7 @@ def score_pairs(pairs: DataFrame, config: Config, threshold: float | None = None
 def match_files(files: DataFrame, config: Config | None = None, threshold: float | None = None) -> DataFrame:
     """From file features to matches, best first."""
     config = config or Config()
+    files = store.materialise(files, "features")  # read three times; made once
     pairs = attach(candidate_pairs(files, config.blocking), files)
     return score_pairs(pairs, config, threshold).orderBy(F.desc("confidence_score"), "path_a", "path_b")
 

@@ -85,7 +85,7 @@ full_ AS (SELECT *, list_filter("""
 
 
 def attached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = part_records(spark, sf_dir)
+    files = store.materialise(part_records(spark, sf_dir), "features")
     return scoring.attach(blocking.candidate_pairs(files, OPTIONS, NAMED_PAIRS), files)
 
 
