@@ -45,6 +45,8 @@ HEAD = 1 << 17
 #: Additive smoothing of words, and of pieces.
 WORD_ALPHA, PIECE_ALPHA = 0.1, 0.1
 RANK_SHIFT, ROUNDS = 50, 2
+#: Products over so many characters stay far from the smallest double.
+PLAIN_LENGTH = 30
 MARK = "▁"
 
 
@@ -73,6 +75,7 @@ class Lattice:
                 for k in range(1, len(p)):
                     self.edges.setdefault(p[:k])
                 self.edges[p] = (i, float(logs[i]))
+        self.exp = math.exp
         self.byte = [self.edges.get(chr(0xDC00 + b)) for b in range(256)]
 
     def arcs(self, s: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
@@ -112,29 +115,47 @@ class Lattice:
     def log_probability(self, word: str) -> float:
         return self.forward(self.arcs(MARK + word))[-1]
 
-    def expect(self, word: str, count: float, into: np.ndarray) -> float:
-        """Add the expected uses of each piece; the word's log probability."""
-        exp, log1p = math.exp, math.log1p
+    def expect(self, word: str, count: float, into: np.ndarray) -> None:
+        """Add the expected uses of each piece, of ``count`` such words.
+
+        Words are short enough for plain products; the rare long one is
+        rescaled by its forward sums.
+        """
         arcs = self.arcs(MARK + word)
-        f = self.forward(arcs)
-        total = f[-1]
-        b = [-math.inf] * len(f)
-        b[-1] = 0.0
-        for i in range(len(arcs) - 1, -1, -1):
-            sum_ = -math.inf
+        n = len(arcs)
+        if n > PLAIN_LENGTH:
+            self._expect_long(arcs, count, into)
+            return
+        exp = self.exp
+        f, b = [0.0] * (n + 1), [0.0] * (n + 1)
+        f[0] = b[n] = 1.0
+        weights = []
+        for i in range(n):
+            at, here = f[i], []
             for j, w, ids in arcs[i]:
-                new = w + b[j]
-                share = count * exp(f[i] + new - total)
-                for p in ids:
-                    into[p] += share
-                if sum_ == -math.inf:
-                    sum_ = new
-                elif sum_ > new:
-                    sum_ += log1p(exp(new - sum_))
-                else:
-                    sum_ = new + log1p(exp(sum_ - new))
+                p = exp(w)
+                here.append((j, p, ids))
+                f[j] += at * p
+            weights.append(here)
+        scale = count / f[n]
+        for i in range(n - 1, -1, -1):
+            before, sum_ = f[i] * scale, 0.0
+            for j, p, ids in weights[i]:
+                new = p * b[j]
+                sum_ += new
+                share = before * new
+                for k in ids:
+                    into[k] += share
             b[i] = sum_
-        return total
+
+    def _expect_long(self, arcs: list, count: float, into: np.ndarray) -> None:
+        f = self.forward(arcs)
+        back = self.forward([[(len(arcs) - i, w, ids) for i, here in enumerate(arcs) for j, w, ids in here if j == len(arcs) - k] for k in range(len(arcs))])
+        for i, here in enumerate(arcs):
+            for j, w, ids in here:
+                share = count * math.exp(f[i] + w + back[len(arcs) - j] - f[-1])
+                for k in ids:
+                    into[k] += share
 
 
 def first_logs(pieces: tuple[str, ...]) -> np.ndarray:
@@ -164,10 +185,11 @@ def fit(words: DataFrame, model: str, n_ends: int, rounds: int = ROUNDS) -> tupl
     for _ in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], logs: np.ndarray = logs) -> Iterator[pa.RecordBatch]:
-            lattice, total = Lattice(vocabulary(model), logs), np.zeros(len(logs))
+            lattice, total = Lattice(vocabulary(model), logs), [0.0] * len(logs)
             for b in batches:
                 for w, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     lattice.expect(w, n, total)
+            total = np.array(total)
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["piece", "n"])
 
@@ -222,7 +244,7 @@ def score_documents(docs: DataFrame, model: str, held_out: Column, id_col: str =
         get, lower = hot.value.get, bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
         row = TaskContext.get().partitionId() << 33
         for b in batches:
-            rid, word, tf, ids, held, size, sums = [], [], [], [], [], [], []
+            rid, word, tf, own = [], [], [], []
             for doc, out, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 found = (text or "").encode().translate(lower).split()
                 known, base, model_ = end_known, end_base, end_model
@@ -236,22 +258,23 @@ def score_documents(docs: DataFrame, model: str, held_out: Column, id_col: str =
                         rid.append(row)
                         word.append(w)
                         tf.append(k)
-                        ids.append(None)
-                        held.append(None)
-                        size.append(None)
-                        sums.append(None)
-                rid.append(row)
-                word.append(b" %d" % row)  # no word has a blank, so this meets none and lies anywhere
-                tf.append(1)
-                ids.append(doc)
-                held.append(bool(out))
-                size.append(len(found) + 1)
-                sums.append((known, base, model_))
-            cols = [
-                pa.array(rid, pa.int64()), pa.array(word, pa.binary()).cast(pa.string()), pa.array(tf, pa.int64()), pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(size, pa.int64()),
-                *(pa.array([None if s is None else s[i] for s in sums], kind) for i, kind in enumerate((pa.int64(), pa.float64(), pa.float64()))),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, ["rid", "word", "tf", "doc_id", "held_out", "n_tokens", "known0", "base0", "model0"])
+                own.append((row, doc, bool(out), len(found) + 1, known, base, model_))
+                if len(rid) > 50_000:
+                    yield words_batch(rid, word, tf)
+                    rid, word, tf = [], [], []
+            if rid:
+                yield words_batch(rid, word, tf)
+            # No word has a blank, so these rows meet none and lie anywhere.
+            cols = list(zip(*own, strict=True))
+            keys = pa.array([" %d" % r for r in cols[0]], pa.string())
+            arrays = [pa.array(cols[0], pa.int64()), keys, pa.array([1] * len(own), pa.int64()), *(pa.array(c, k) for c, k in zip(cols[1:], kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+    names = ["rid", "word", "tf", "doc_id", "held_out", "n_tokens", "known0", "base0", "model0"]
+
+    def words_batch(rid: list, word: list, tf: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(word, pa.binary()).cast(pa.string()), pa.array(tf, pa.int64()), *(pa.nulls(len(rid), k) for k in kinds)], names)
 
     rows = docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(run, "rid long, word string, tf long, doc_id long, held_out boolean, n_tokens long, known0 long, base0 double, model0 double")
     rare = per_word.where(F.col("n_all") * head < total[2]).drop("n_all")
