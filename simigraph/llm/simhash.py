@@ -24,7 +24,7 @@ Only the two named columns are read.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -209,8 +209,13 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """doc_id, hash (of the text), print (signed long) and component_id: the smallest doc_id that links lead to."""
     prints = common.materialise(fingerprints(docs, id_col, text_col), "prints")
+    return grouped(prints, lambda distinct: links(distinct, distance))
+
+
+def grouped(prints: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """doc_id, hash, print and component_id, by the links (a, b) between prints."""
     distinct = common.materialise(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "distinct")
-    found = components(links(distinct.select("print"), distance))
+    found = components(linked(distinct.select("print")))
     labelled = distinct.join(found.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
     labelled = common.materialise(labelled, "labelled")
     smallest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -219,13 +224,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(ids, "print").select("doc_id", "hash", "print", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, found: DataFrame | None = None) -> DataFrame:
     """The documents without all but the one with the smallest id of each component.
 
+    Components are those of ``found``, or of fingerprints within the distance.
+
     Of rows that repeat as id and text one stays. A component of null ids alone
     keeps one row of each different text.
     """
-    found = near_duplicates(docs, id_col, text_col, distance)
+    found = near_duplicates(docs, id_col, text_col, distance) if found is None else found
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "hash").agg(F.count("*").alias("n"))
     kept = common.materialise(kept, "kept").withColumnsRenamed({"doc_id": "_near_doc", "hash": "_near_hash"})
     text = F.col(text_col).cast("string")

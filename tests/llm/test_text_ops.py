@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from simigraph.llm import lattice_lm, line_dedup, line_rules, lz_fingerprint, packing, simhash, url_tree
+from simigraph.llm import lattice_lm, line_dedup, line_rules, lz_fingerprint, packing, shingle_join, simhash, url_tree
 from simigraph.llm.queries import PIECES, words_and_end
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -362,3 +362,36 @@ def test_pipeline_equals_brute_force(spark, documents, tmp_path):
         got[r.doc_id] += r.n_tokens
     assert got == Counter(want) and 101 not in got and 109 in got
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "simhash_near_dedup", "best_fit_packing"]
+
+
+def test_near_dedup_equals_jaccard_brute_force(spark, documents):
+    import corpus_pipeline
+
+    rnd = random.Random(13)
+    docs = []
+    for _ in range(40):
+        words = sentence(rnd, rnd.choice([6, 40, 150, 400])).split()
+        for _ in range(rnd.randint(1, 5)):
+            copy = words[:]
+            for _ in range(rnd.randint(0, max(1, len(copy) // 40))):
+                copy[rnd.randrange(len(copy))] = "New"
+            docs.append((len(docs), " ".join(copy)))
+    docs += [(len(docs) + k, t) for k, t in enumerate(["", "One two", "one  TWO", " "])]
+
+    def set_of(t):
+        w = WORDS.findall((t or "").translate(LOWER))
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    sets, root = [set_of(t) for _, t in docs], list(range(len(docs)))
+    for x, y in itertools.combinations(range(len(docs)), 2):
+        if 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y]):
+            p, q = sorted((root[x], root[y]))
+            root = [p if r == q else r for r in root]
+    assert {i for i, r in enumerate(root) if i == r} != {i for i, r in enumerate(grouped([print_of(t) for _, t in docs])) if i == r}
+    out = corpus_pipeline.near_dedup(spark, documents(docs), "")
+    assert sorted(r.doc_id for r in out.collect()) == sorted(set(root))
+    table = documents(docs)
+    rows = shingle_join.sets_of(table, "doc_id", "text").cache()
+    sets_table = rows.drop("doc_id").dropDuplicates(["print"])
+    found = simhash.grouped(rows.select("doc_id", "hash", "print"), lambda _: shingle_join.links(table, sets_table, block=2))
+    assert {r.doc_id: r.component_id for r in found.collect()} == dict(enumerate(root))
