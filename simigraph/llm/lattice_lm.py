@@ -45,8 +45,8 @@ HEAD = 1 << 17
 #: Additive smoothing of words, and of pieces.
 WORD_ALPHA, PIECE_ALPHA = 0.1, 0.1
 RANK_SHIFT, ROUNDS = 50, 2
-#: Products over so many characters stay far from the smallest double.
-PLAIN_LENGTH = 30
+#: Plain products hold for words of so many characters whose probability is so large at least.
+PLAIN_LENGTH, PLAIN_LEAST = 30, 1e-250
 MARK = "▁"
 
 
@@ -118,8 +118,8 @@ class Lattice:
     def expect(self, word: str, count: float, into: np.ndarray) -> None:
         """Add the expected uses of each piece, of ``count`` such words.
 
-        Words are short enough for plain products; the rare long one is
-        rescaled by its forward sums.
+        Most words are short and likely enough for plain products; others are
+        summed up in logarithms.
         """
         arcs = self.arcs(MARK + word)
         n = len(arcs)
@@ -137,6 +137,9 @@ class Lattice:
                 here.append((j, p, ids))
                 f[j] += at * p
             weights.append(here)
+        if f[n] < PLAIN_LEAST:
+            self._expect_long(arcs, count, into)
+            return
         scale = count / f[n]
         for i in range(n - 1, -1, -1):
             before, sum_ = f[i] * scale, 0.0
@@ -150,10 +153,14 @@ class Lattice:
 
     def _expect_long(self, arcs: list, count: float, into: np.ndarray) -> None:
         f = self.forward(arcs)
-        back = self.forward([[(len(arcs) - i, w, ids) for i, here in enumerate(arcs) for j, w, ids in here if j == len(arcs) - k] for k in range(len(arcs))])
+        back = [0.0] * len(f)
+        for i in range(len(arcs) - 1, -1, -1):
+            ends = [w + back[j] for j, w, _ in arcs[i]]
+            most = max(ends)
+            back[i] = most if len(ends) == 1 or most == -math.inf else most + math.log(sum(math.exp(e - most) for e in ends))
         for i, here in enumerate(arcs):
             for j, w, ids in here:
-                share = count * math.exp(f[i] + w + back[len(arcs) - j] - f[-1])
+                share = count * math.exp(f[i] + w + back[j] - f[-1])
                 for k in ids:
                     into[k] += share
 

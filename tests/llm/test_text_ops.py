@@ -246,6 +246,19 @@ def test_lattice_sums_over_all_segmentations():
     assert np.allclose(total, other)
 
 
+def test_expected_counts_of_rare_and_long_words():
+    import numpy as np
+
+    pieces = lattice_lm.vocabulary(PIECES)
+    lattice = lattice_lm.Lattice(pieces, lattice_lm.first_logs(pieces))
+    length = [1 if p and "\udc00" <= p <= "\udcff" else len(p.encode("utf-8", "replace")) for p in pieces]
+    for word in ("\U0001f3c6" * 13, "\U0001fae0" * 12, "".join(chr(0x1D400 + k) for k in range(13)), "\u1230\u120b\u121d" * 6 + "\u1230", "ab" * 500_000):
+        total = np.zeros(len(pieces))
+        lattice.expect(word, 2.0, total)
+        assert np.isfinite(total).all()
+        assert total @ length == pytest.approx(2 * len(("\u2581" + word).encode()), rel=1e-6)
+
+
 def test_language_model(documents):
     rnd = random.Random(5)
     docs = [(i, " ".join(rnd.choice("The of and running runner run walked walking").lower() + rnd.choice(["", "ed", "ing"]) for _ in range(rnd.randint(0, 40)))) for i in range(120)] + [(500, None), (501, "Étrange\tmots\n")]
