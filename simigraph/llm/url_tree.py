@@ -3,11 +3,11 @@
 A url's host and path are cut by position. Segments of a path that vary by
 their form (numbers, numbers with a suffix, hexadecimal ids, long slugs) are
 generalised where they stand, which leaves few different paths; these are
-counted once with their labels. Then the tree is built level by level: a
-segment whose parent has more than MOST_CHILDREN different children becomes the
-wildcard ``*``; branches under one parent whose labelled rate doesn't differ
-from the parent's by more than Z standard errors (or that have too few labels
-to tell) are merged into the branch ``~``. A template is rejected if its share of bad labels, smoothed by the
+counted once with their labels. Then the tree is built level by level: branches
+whose labelled rate differs from their parent's by more than Z standard errors
+keep their names. The others (also those with too few labels to tell) are merged
+into the branch ``~``, or the wildcard ``*`` if the parent has more than
+MOST_CHILDREN different children. A template is rejected if its share of bad labels, smoothed by the
 share over all labels with a weight of PRIOR labels, reaches REJECT.
 
 Rules (block or allow, for a host with its subdomains and a beginning of the
@@ -79,11 +79,11 @@ def build_tree(paths: DataFrame) -> DataFrame:
         nodes = common.materialise(nodes, "nodes")
         parents = nodes.groupBy("host", "above").agg(F.count("*").alias("children"), F.sum("labels").alias("all_labels"), F.sum("bad").alias("all_bad"))
         parents = common.materialise(parents, "parents")
-        rate = F.col("all_bad") / F.col("all_labels")
-        error = F.sqrt(rate * (1 - rate) / F.col("labels"))
+        rate = F.col("all_bad") / F.nullif(F.col("all_labels"), F.lit(0))
+        error = F.sqrt(rate * (1 - rate) / F.nullif(F.col("labels"), F.lit(0)))
         enough = F.col("labels") >= LEAST_LABELS
-        differs = enough & (F.abs(F.col("bad") / F.col("labels") - rate) > Z * error)
-        new = F.when(F.col("children") > MOST_CHILDREN, F.lit("*")).when(F.coalesce(differs, F.lit(False)) | (F.col("children") == 1), F.col("child")).otherwise(F.lit("~"))
+        differs = enough & (F.abs(F.col("bad") / F.nullif(F.col("labels"), F.lit(0)) - rate) > Z * error)
+        new = F.when(F.coalesce(differs, F.lit(False)) | (F.col("children") == 1), F.col("child")).when(F.col("children") > MOST_CHILDREN, F.lit("*")).otherwise(F.lit("~"))
         named = nodes.join(parents, ["host", "above"]).select("host", "above", "child", new.alias("name"))
         named = common.materialise(named, "named")
         keyed = tree.withColumn("above", F.slice("template", 1, k - 1)).withColumn("child", F.when(F.size("template") >= k, F.get("template", F.lit(k - 1))))

@@ -103,6 +103,13 @@ def test_tree_rejects_impure_templates(spark):
     assert {out[i].template for i in range(400, 600)} == {"/tag/*"}
 
 
+def test_a_bad_section_among_many(spark):
+    rows = [(i, f"https://m.test/{'spam' if i % 60 == 0 else f'part{i % 60}x'}/{i}") for i in range(6000)]
+    labels = [(i, int(i % 60 == 0)) for i, _ in rows if i % 120 < 60]
+    out = url_tree.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "id long, bad int")).collect()
+    assert {(r.page_id % 60 == 0, r.template, r.verdict) for r in out} == {(True, "/spam/{n}", "block"), (False, "/*/{n}", "allow")}
+
+
 # 4
 
 
