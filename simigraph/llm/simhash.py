@@ -207,21 +207,21 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """doc_id, hash (of the text), print (signed long) and component_id: the smallest doc_id that links lead to."""
+    """doc_id, hash (of the text), print (signed long), component and component_id: the smallest doc_id that links lead to."""
     prints = common.materialise(fingerprints(docs, id_col, text_col), "prints")
     return grouped(prints, lambda distinct: links(distinct, distance))
 
 
 def grouped(prints: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """doc_id, hash, print and component_id, by the links (a, b) between prints."""
+    """doc_id, hash, print, component (its smallest print) and component_id, by the links (a, b) between prints."""
     distinct = common.materialise(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "distinct")
     found = components(linked(distinct.select("print")))
     labelled = distinct.join(found.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
     labelled = common.materialise(labelled, "labelled")
     smallest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     smallest = common.materialise(smallest, "smallest")
-    ids = common.materialise(labelled.join(smallest, "component").select("print", "component_id"), "ids")
-    return prints.join(ids, "print").select("doc_id", "hash", "print", "component_id")
+    ids = common.materialise(labelled.join(smallest, "component").select("print", "component", "component_id"), "ids")
+    return prints.join(ids, "print").select("doc_id", "hash", "print", "component", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, found: DataFrame | None = None) -> DataFrame:
@@ -229,11 +229,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
 
     Components are those of ``found``, or of fingerprints within the distance.
 
-    Of rows that repeat as id and text one stays. A component of null ids alone
-    keeps one row of each different text.
+    Exactly one row stays: of texts that share that id (or are all without one)
+    the one of the smallest hash, and of rows that repeat as id and text one.
     """
     found = near_duplicates(docs, id_col, text_col, distance) if found is None else found
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "hash").agg(F.count("*").alias("n"))
+    least = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component", "doc_id", "hash").agg(F.count("*").alias("n"))
+    kept = least.groupBy("component").agg(F.min(F.struct("hash", "doc_id", "n")).alias("m")).select("m.doc_id", "m.hash", "m.n")
     kept = common.materialise(kept, "kept").withColumnsRenamed({"doc_id": "_near_doc", "hash": "_near_hash"})
     text = F.col(text_col).cast("string")
     same = F.col(id_col).cast("long").eqNullSafe(F.col("_near_doc")) & (F.xxhash64(text) == F.col("_near_hash"))

@@ -227,6 +227,16 @@ def test_simhash_of_odd_rows(odd):
     assert simhash.keep_one(nulls.union(nulls)).count() == 2
 
 
+def test_one_row_stays_where_ids_repeat(documents):
+    words = sentence(random.Random(14), 300).split()
+    near = [" ".join(words), " ".join(["New", *words[1:]]), " ".join([*words[:-1], "Other"])]
+    prints = [print_of(t) for t in near]
+    assert grouped(prints) == [0, 0, 0]
+    for i in (5, None):
+        docs = documents([(i, t) for t in [*near, near[0]]])
+        assert simhash.keep_one(docs).count() == 1
+
+
 # 6
 
 
