@@ -5,8 +5,8 @@ their eight bytes, so they share eight less DISTANCE bytes at their positions.
 The inverted index lists distinct fingerprints by positional bytes, four at a
 time: FAMILY holds sets of four positions such that any five positions contain
 one, so pairs with the guaranteed number of matches always meet. Where they
-meet, the positional bytes that a pair shares are tallied; pairs that reach the
-guaranteed minimum are kept and verified by their differing bits.
+meet they are verified by their differing bits; no count of shared bytes selects
+pairs before. Larger distances than DISTANCE are refused, as pairs would be lost.
 
 Equal fingerprints count once. A list of one entry is dropped. Lists are worked
 off in blocks: a list longer than BLOCK is dealt to pairs of blocks by a hash,
@@ -104,13 +104,11 @@ def _forest(a: np.ndarray, b: np.ndarray, same: bool, distance: int) -> list[tup
             x = parent[x]
         return x
 
-    links, shift, least = [], 0 if same else len(a), 8 - distance
+    links, shift = [], 0 if same else len(a)
     for lo in range(0, len(a), 256):
         differ = a[lo : lo + 256, None] ^ b[None, :]
         close = np.bitwise_count(differ) <= distance
         i, j = np.nonzero(close)
-        shared = (differ[i, j].view(np.uint8).reshape(-1, 8) == 0).sum(1)  # count filter
-        assert (shared >= least).all()
         for x, y in zip((i + lo).tolist(), (j + shift).tolist(), strict=True):
             if x < y and (p := root(x)) != (q := root(y)):
                 parent[q] = p
@@ -157,6 +155,8 @@ def _links_of_lists(distance: int):
 
 def links(distinct: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) of fingerprints whose components are those of all pairs within the distance."""
+    if not 0 <= distance <= DISTANCE:
+        raise ValueError(f"the index holds distances up to {DISTANCE}, not {distance}")
     spark = distinct.sparkSession
     common.ship(spark)
     byte = lambda p: F.shiftrightunsigned("print", 8 * (7 - p)).bitwiseAND(F.lit(255).cast("long"))

@@ -227,6 +227,11 @@ def test_simhash_of_odd_rows(odd):
     assert simhash.keep_one(nulls.union(nulls)).count() == 2
 
 
+def test_distances_beyond_the_index_are_refused():
+    with pytest.raises(ValueError, match="distances up to 3"):
+        simhash.links(None, 4)
+
+
 def test_one_row_stays_where_ids_repeat(documents):
     words = sentence(random.Random(14), 300).split()
     near = [" ".join(words), " ".join(["New", *words[1:]]), " ".join([*words[:-1], "Other"])]
