@@ -250,56 +250,100 @@ def test_lattice_sums_over_all_segmentations():
 
     pieces = ("", "▁", "▁a", "a", "b", "ab", "▁ab", chr(0xDC00 + 0xC3), chr(0xDC00 + 0xA9))
     logs = np.log(np.array([1e-9, 0.1, 0.1, 0.2, 0.1, 0.15, 0.05, 0.1, 0.2]))
-    lattice = lattice_lm.Lattice(pieces, logs)
+    lattice = lattice_lm.Lattice(lattice_lm.Trie(pieces), logs)
 
     def force(s):
+        """Sum over the segmentations, and expected uses of each piece times that sum."""
         if not s:
-            return 1.0
-        return sum(math.exp(logs[i]) * force(s[len(p) :]) for i, p in enumerate(pieces) if p and s.startswith(p))
-
-    for w in ("", "a", "ab", "abab", "aabb"):
-        assert lattice.log_probability(w) == pytest.approx(math.log(force("▁" + w)))
-    assert lattice.log_probability("é") == pytest.approx(math.log(0.1 * 0.1 * 0.2))
-    total = np.zeros(len(pieces))
-    lattice.expect("abab", 2.0, total)
-    assert sum(total[i] * len(p) for i, p in enumerate(pieces)) == pytest.approx(2 * 5)
-    other = np.zeros(len(pieces))
-    lattice._expect_long(lattice.arcs("▁abab"), 2.0, other)
-    assert np.allclose(total, other)
+            return 1.0, np.zeros(len(pieces))
+        p, uses = 0.0, np.zeros(len(pieces))
+        steps = [(math.exp(logs[i]), len(q), [i]) for i, q in enumerate(pieces) if q and s.startswith(q)]
+        if s[0] == "é":
+            steps = [(math.exp(logs[7] + logs[8]), 1, [7, 8])]
+        for w, n, ids in steps:
+            q, rest = force(s[n:])
+            p += w * q
+            uses += w * rest
+            uses[ids] += w * q
+        return p, uses
+
+    words = ["", "a", "ab", "abab", "aabb", "é", "abéab"]
+    counts, total = np.array([1.0, 2, 3, 4, 5, 6, 7]), np.zeros(len(pieces))
+    found = lattice.scores(words, counts, total)
+    want = [force("▁" + w) for w in words]
+    assert found == pytest.approx([math.log(p) for p, _ in want])
+    assert total == pytest.approx(sum(c * uses / p for c, (p, uses) in zip(counts, want, strict=True)))
+    assert lattice.scores(["ab" * 40, "a"]) == pytest.approx([lattice.scores(["ab" * 40])[0], lattice.scores(["a"])[0]])
 
 
 def test_expected_counts_of_rare_and_long_words():
     import numpy as np
 
-    pieces = lattice_lm.vocabulary(PIECES)
-    lattice = lattice_lm.Lattice(pieces, lattice_lm.first_logs(pieces))
+    pieces, scores = lattice_lm.vocabulary(PIECES)
+    lattice = lattice_lm.Lattice(lattice_lm.trie(PIECES), lattice_lm.first_logs(pieces, scores))
     length = [1 if p and "\udc00" <= p <= "\udcff" else len(p.encode("utf-8", "replace")) for p in pieces]
-    for word in ("\U0001f3c6" * 13, "\U0001fae0" * 12, "".join(chr(0x1D400 + k) for k in range(13)), "\u1230\u120b\u121d" * 6 + "\u1230", "ab" * 500_000):
+    for word in ("\U0001f3c6" * 13, "\U0001fae0" * 12, "".join(chr(0x1D400 + k) for k in range(13)), "\u1230\u120b\u121d" * 6 + "\u1230", "ab" * 20_000):
         total = np.zeros(len(pieces))
-        lattice.expect(word, 2.0, total)
+        lattice.scores([word], np.array([2.0]), total)
         assert np.isfinite(total).all()
         assert total @ length == pytest.approx(2 * len(("\u2581" + word).encode()), rel=1e-6)
 
 
 def test_language_model(documents):
+    """All columns from a model made in plain Python, sums over segmentations included."""
+    import numpy as np
+
     rnd = random.Random(5)
-    docs = [(i, " ".join(rnd.choice("The of and running runner run walked walking").lower() + rnd.choice(["", "ed", "ing"]) for _ in range(rnd.randint(0, 40)))) for i in range(120)] + [(500, None), (501, "Étrange\tmots\n")]
+    docs = [(i, " ".join(rnd.choice("The of and running runner run walked walking").lower() + rnd.choice(["", "ed", "ing"]) for _ in range(rnd.randint(0, 40)))) for i in range(120)] + [(500, None), (501, "Étrange\tmots\n"), (502, "x" * 100), (None, "the end"), (None, None), (503, "run"), (503, "run"), (504, "rund " * 3000)]
     df = documents(docs)
     held = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
-    out = {r.doc_id: r for r in lattice_lm.score_documents(df, PIECES, held, head=8).collect()}
-    low = {i: WORDS.findall((t or "").translate(LOWER)) for i, t in docs}
-    kept = {i: zlib.crc32(str(i).encode()) % 10 != 0 for i, _ in docs}
-    c = Counter(w for i, ws in low.items() if kept[i] for w in [*ws, None])
+    rows = lattice_lm.score_documents(df.withColumn("word", F.lit(1)).withColumn("score", F.lit("x")), PIECES, held, head=8).collect()
+    assert len(rows) == len(docs)
+    key = lambda i, n: (-1 if i is None else i, n)
+    out = {key(r.doc_id, r.n_tokens): r for r in rows}
+    low = [(i, WORDS.findall((t or "").translate(LOWER)), i is None or zlib.crc32(str(i).encode()) % 10 != 0) for i, t in docs]
+    c = Counter(w for _, ws, train in low if train for w in [*ws, None])
     n, v = sum(c.values()), len(c)
-    for i, _ in docs:
-        words = [*low[i], None]
-        assert out[i].held_out is not kept[i] and out[i].n_tokens == len(words) and out[i].train_tokens == n
-        assert out[i].n_known == sum(c[w] > 0 for w in words)
-        assert out[i].base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words))
-        assert out[i].score < 0
-    held_rows = [r for r in out.values() if r.held_out]
-    assert sum(r.score for r in held_rows) / sum(r.n_tokens for r in held_rows) > -3.5
-    assert lattice_lm.score_documents(df.limit(0), PIECES, held).count() == 0
+    pieces, scores = lattice_lm.vocabulary(PIECES)
+    logs, at = lattice_lm.first_logs(pieces, scores), {p: i for i, p in enumerate(pieces) if p}
+
+    def force(s, logs):
+        """Probability, and expected uses, by forward and backward sums over plain products."""
+        arcs = [(i, j, [at[s[i:j]]]) for i in range(len(s)) for j in range(i + 1, len(s) + 1) if s[i:j] in at]
+        arcs += [(i, i + 1, [at[chr(0xDC00 + b)] for b in s[i].encode()]) for i in range(len(s)) if s[i] not in at]
+        f, g = [1.0] + [0.0] * len(s), [0.0] * len(s) + [1.0]
+        for i, j, ids in sorted(arcs):
+            f[j] += f[i] * math.exp(sum(logs[ids]))
+        for i, j, ids in sorted(arcs, reverse=True):
+            g[i] += g[j] * math.exp(sum(logs[ids]))
+        uses = Counter()
+        for i, j, ids in arcs:
+            for k in ids:
+                uses[k] += f[i] * g[j] * math.exp(sum(logs[ids])) / f[-1]
+        return f[-1], uses
+
+    distinct = {w for _, ws, _ in low for w in ws}
+    pure = {w: force("▁" + w, logs) for w in distinct}
+    uses = np.zeros(len(pieces))
+    for w in distinct:
+        for k, u in pure[w][1].items():
+            uses[k] += c[w] * u
+    smooth = (uses + lattice_lm.PIECE_ALPHA) * [bool(p) for p in pieces]
+    whole = smooth.sum() + c[None] + lattice_lm.PIECE_ALPHA
+    with np.errstate(divide="ignore"):
+        learnt = np.log(smooth / whole)
+    model = {w: force("▁" + w, learnt)[0] for w in distinct} | {None: (c[None] + lattice_lm.PIECE_ALPHA) / whole}
+    for i, ws, train in low:
+        words = [*ws, None]
+        r = out[key(i, len(words))]
+        assert r.held_out is not train and r.train_tokens == n
+        assert r.n_known == sum(c[w] > 0 for w in words)
+        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words))
+        assert r.marginal == pytest.approx(sum(math.log10(pure[w][0]) for w in ws))
+        assert r.score == pytest.approx(sum(math.log10((c[w] + v * model[w]) / (n + v)) for w in words))
+    assert sum(r.score for r in rows if r.held_out) > sum(r.marginal for r in rows if r.held_out)
+    none = lattice_lm.score_documents(df.limit(0), PIECES, held)
+    assert none.count() == 0 and none.columns == list(rows[0].asDict())
 
 
 # 8
