@@ -87,10 +87,10 @@ def fuzzy(a: str, b: str) -> float:
 
 
 def fuzzy_score(a: Column, b: Column) -> Column:
-    """Not deterministic for the planner, so that a filter on it doesn't compute it twice."""
+    """To two places. Not deterministic for the planner, so that a filter on it doesn't compute it twice."""
 
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([fuzzy(p or "", q or "") for p, q in zip(x, y, strict=True)], dtype="float64")
+        return pd.Series([round(fuzzy(p or "", q or ""), 2) for p, q in zip(x, y, strict=True)], dtype="float64")
 
     return F.pandas_udf(run, "double").asNondeterministic()(a, b)
 

@@ -8,8 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from simigraph.functions.fuzzy import fuzzy_score
+from simigraph.functions.names import two_places
 
 REJECT = -100.0
+# Shares by which sizes may differ, with their scores; bonuses for folders, and the loss for another extension.
+SIZE_STEPS = ((0.02, 90.0), (0.05, 75.0), (0.10, 50.0), (0.25, 25.0))
+FOLDER_BONUS, NEAR_FOLDER_BONUS, OTHER_EXTENSION = 5.0, 3.0, 2.0
 Matcher = Callable[[], Column]
 _registry: dict[str, Matcher] = {}
 
@@ -24,6 +28,10 @@ def matcher(name: str) -> Callable[[Matcher], Matcher]:
     return put
 
 
+def unregister(name: str) -> None:
+    _registry.pop(name)
+
+
 def registry() -> dict[str, Matcher]:
     return dict(_registry)
 
@@ -53,18 +61,20 @@ def token() -> Column:
     both = F.size(F.array_intersect(x, y))
     score = (both / F.size(F.array_union(x, y)) + 2.0 * both / (F.size(x) + F.size(y))) / 2 * 100
     no_x, no_y = F.size(x) == 0, F.size(y) == 0
-    return F.when(no_x & no_y, F.when(a == b, 100.0).otherwise(0.0)).when(no_x | no_y, 0.0).otherwise(score)
+    return F.when(no_x & no_y, F.when(a == b, 100.0).otherwise(0.0)).when(no_x | no_y, 0.0).otherwise(two_places(score))
 
 
 @matcher("fuzzy_similarity")
 def fuzzy() -> Column:
-    return fuzzy_score(*_ab("normalized_name"))
+    """Equal names don't reach the Python part."""
+    a, b = _ab("normalized_name")
+    return F.when(a == b, 100.0).otherwise(fuzzy_score(F.when(a != b, a), F.when(a != b, b)))
 
 
 @matcher("ngram_similarity")
 def ngram() -> Column:
     a, b = _ab("normalized_name")
-    return _unless_empty(a, b, a == "", b == "", (_share(*_ab("bigrams")) + _share(*_ab("trigrams"))) / 2 * 100)
+    return _unless_empty(a, b, a == "", b == "", two_places((_share(*_ab("bigrams")) + _share(*_ab("trigrams"))) / 2 * 100))
 
 
 @matcher("char_frequency")
@@ -76,14 +86,17 @@ def char_frequency() -> Column:
     dot = F.aggregate(x, F.lit(0).cast("long"), lambda s, e: s + e["n"] * count_in(y, e["c"]))
     cosine = dot / (F.sqrt(square(x).cast("double")) * F.sqrt(square(y).cast("double"))) * 100
     no_x, no_y = F.size(x) == 0, F.size(y) == 0
-    return F.when(no_x & no_y, 100.0).when(no_x | no_y, 0.0).otherwise(cosine)
+    return F.when(no_x & no_y, 100.0).when(no_x | no_y, 0.0).otherwise(two_places(cosine))
 
 
 @matcher("size_similarity")
 def size() -> Column:
     a, b = _ab("size")
     off = F.abs(a - b) / F.greatest(a, b)
-    return F.when(a == b, 100.0).when(off <= 0.02, 90.0).when(off <= 0.05, 75.0).when(off <= 0.10, 50.0).when(off <= 0.25, 25.0).otherwise(0.0)
+    out = F.when(a == b, 100.0)
+    for share, score in SIZE_STEPS:
+        out = out.when(off <= share, score)
+    return out.otherwise(0.0)
 
 
 @matcher("numeric_validation")
@@ -128,4 +141,4 @@ def cosine(a: Column, b: Column) -> Column:
 def semantic() -> Column:
     """From vectors in the column ``vector``; nothing where one is missing."""
     a, b = _ab("vector")
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(100.0), cosine(a, b) * 100)), F.lit(0.0))
+    return F.coalesce(two_places(F.greatest(F.lit(0.0), F.least(F.lit(100.0), cosine(a, b) * 100))), F.lit(0.0))

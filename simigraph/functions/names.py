@@ -19,7 +19,7 @@ CATEGORIES = {
 }
 # Extensions of the file-type presets.
 PRESETS = {
-    "videos": (".mp4", ".mkv", ".avi", ".mov", ".wmv", ".flv", ".webm", ".mpeg", ".mpg", ".m4v", ".ts", ".m2ts", ".3gp", ".vob"),
+    "videos": (".mp4", ".mkv", ".avi", ".mov", ".wmv", ".flv", ".webm", ".mpeg", ".mpg", ".m4v", ".ts", ".f4v", ".3gp", ".vob"),
     "images": (".jpg", ".jpeg", ".png", ".gif", ".bmp", ".webp", ".tiff"),
     "documents": (".pdf", ".doc", ".docx", ".txt", ".rtf", ".xls", ".xlsx", ".csv"),
     "audio": (".mp3", ".wav", ".flac", ".aac", ".ogg", ".m4a"),
@@ -202,6 +202,25 @@ def _hundredths(size: Column, unit: int) -> Column:
     return whole + up.cast("long")
 
 
+def two_places(score: Column) -> Column:
+    """A score from 0 to 100 to two places as its binary value says, ties to even.
+
+    ``round`` takes the shortest decimal that stands for the double, which may
+    lie on the other side of a tie.
+    """
+    half = F.lit(1 << 51).cast("long")
+
+    def rounded(v: Column) -> Column:
+        whole = F.floor(v)
+        n = ((v - whole) * float(1 << 52)).cast("long") * 100
+        k, rest = F.shiftright(n, 52), n.bitwiseAND(F.lit((1 << 52) - 1).cast("long"))
+        up = (rest > half) | ((rest == half) & (k.bitwiseAND(F.lit(1).cast("long")) == 1))
+        return (whole * 100 + k + up.cast("long")) / 100.0
+
+    # As the one element of an array the score is computed once.
+    return F.element_at(F.transform(F.array(score), rounded), 1)
+
+
 def _two_decimals(hundredths: Column) -> Column:
     return F.concat(F.floor(hundredths / 100).cast("long").cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"))
 

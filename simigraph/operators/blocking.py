@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from simigraph import store
 from simigraph.config import Blocking
 
 KINDS = ("name", "token", "prefix", "signature", "category", "length")
@@ -54,7 +55,7 @@ def usable_blocks(keys: DataFrame, o: Blocking) -> DataFrame:
 
 def candidate_pairs(files: DataFrame, o: Blocking, kinds: Sequence[str] | None = None) -> DataFrame:
     """Distinct (path_a, path_b), the smaller path first."""
-    keys = block_keys(files, o, kinds)
+    keys = store.materialise(block_keys(files, o, kinds), "keys")  # read twice; made once
     kept = keys.join(usable_blocks(keys, o), ["kind", "key"]).select("kind", "key", "path").distinct()
     a, b = kept.withColumnRenamed("path", "path_a"), kept.withColumnRenamed("path", "path_b")
     return a.join(b, ["kind", "key"]).where("path_a < path_b").select("path_a", "path_b").distinct()

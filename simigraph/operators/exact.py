@@ -1,9 +1,10 @@
 """Byte-identical files: size, then quick signature, then full hash.
 
-Each step keeps only what shares its key, so contents are read for files of
-equal size alone and hashed in full for files of equal quick signature alone.
-Counting a key is a partial aggregate before the shuffle; the keys that repeat
-are joined back, which a hot key can't overload.
+Sizes are counted by a scan that doesn't read contents. Contents are read once
+for the signatures of files of equal size, and once for the full hashes of files
+of equal signature; each step is written as a narrow table, so no later step
+repeats it. Counting a key is a partial aggregate before the shuffle; the keys
+that repeat are joined back, which a hot key can't overload.
 """
 
 from __future__ import annotations
@@ -13,29 +14,45 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from simigraph import store
 from simigraph.functions.digests import CHUNK, full_hash, quick_signature
 
 
+def _repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that are not null and occur more than once."""
+    return df.select(*keys).na.drop().groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+
+
 def repeated(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key is not null and occurs more than once."""
-    known = df.where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
-    twice = known.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return known.join(twice, list(keys), "left_semi")
+    return df.join(_repeated_keys(df, keys), list(keys), "left_semi")
 
 
 def size_groups(files: DataFrame) -> DataFrame:
-    return repeated(files, ["size"])
+    """Files of equal size, with all their columns."""
+    return files.join(_repeated_keys(files, ["size"]), "size", "left_semi")
+
+
+def signed(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """path, size, mtime and quick signature of files of equal size, as a table."""
+    quick = size_groups(files).select("path", "size", "mtime", quick_signature(F.col("content"), chunk).alias("quick"))
+    return store.materialise(quick, "signed")
 
 
 def quick_groups(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    signed = size_groups(files).withColumn("quick", quick_signature(F.col("content"), chunk))
-    return repeated(signed, ["size", "quick"])
+    """path, size, mtime and quick of files of equal size and signature."""
+    return repeated(signed(files, chunk), ["size", "quick"])
+
+
+def hashed(files: DataFrame, candidates: DataFrame) -> DataFrame:
+    """path, size, mtime and SHA-256 of the candidates, as a table."""
+    some = files.join(candidates.select("path").distinct(), "path", "left_semi")
+    return store.materialise(some.select("path", "size", "mtime", full_hash(F.col("content")).alias("sha256")), "hashed")
 
 
 def exact_groups(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Files of the groups with equal SHA-256: path, size, mtime, sha256."""
-    hashed = quick_groups(files, chunk).select("path", "size", "mtime", full_hash(F.col("content")).alias("sha256"))
-    return repeated(hashed, ["sha256"])
+    return repeated(hashed(files, quick_groups(files, chunk)), ["sha256"])
 
 
 def hash_groups(files: DataFrame) -> DataFrame:
@@ -52,9 +69,11 @@ def star_pairs(groups: DataFrame, key: str = "sha256") -> DataFrame:
 
 def funnel(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """One row: files scanned, candidates after each step, groups."""
+    quick = signed(files, chunk)
+    same_quick = repeated(quick, ["size", "quick"])
+    exact = repeated(hashed(files, same_quick), ["sha256"])
     count = lambda df, name: df.agg(F.count("*").alias(name))
-    exact = exact_groups(files, chunk).agg(F.count("*").alias("exact_files"), F.count_distinct("sha256").alias("groups"))
-    parts = [count(files, "scanned"), count(size_groups(files), "same_size"), count(quick_groups(files, chunk), "same_quick"), exact]
+    parts = [count(files.select("path"), "scanned"), count(quick, "same_size"), count(same_quick, "same_quick"), exact.agg(F.count("*").alias("exact_files"), F.count_distinct("sha256").alias("groups"))]
     out = parts[0]
     for p in parts[1:]:  # one row each
         out = out.crossJoin(p)

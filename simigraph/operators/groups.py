@@ -21,12 +21,16 @@ def components(edges: DataFrame, a: str = "path_a", b: str = "path_b") -> DataFr
     while not pairs.isEmpty():
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = store.materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        # Large star: neighbours above a node are linked to its least one.
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = store.materialise(large, "edges")
-        least = store.materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        low = store.materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        # Small star: a node and its neighbours below are linked to the least of them.
         ends = F.explode(F.array(F.struct(F.col("v").alias("x"), "m"), F.struct(F.col("u").alias("x"), "m")))
-        small = large.join(least, "u").select(ends.alias("e")).select(F.col("e.x").alias("u"), F.col("e.m").alias("v"))
-        pairs = store.materialise(small.where("u <> v").distinct(), "edges")
+        small = large.join(low, "u").select(ends.alias("e")).select(F.col("e.x").alias("u"), F.col("e.m").alias("v"))
+        new = store.materialise(small.where("u <> v").distinct(), "edges")
+        store.discard(pairs, least, large, low)
+        pairs = new
         now = tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == before:
             break

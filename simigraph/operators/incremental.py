@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from simigraph import store
+from simigraph.progress import Listener, Progress
+
 MTIME_TOLERANCE = 0.01
 
 
@@ -59,3 +64,27 @@ def cached_hashes(files: DataFrame, cache: DataFrame, by: str = "mtime") -> Data
 def not_candidates(files: DataFrame, candidates: DataFrame) -> DataFrame:
     """Files that an early step has ruled out, as skipped."""
     return files.join(candidates.select("path").distinct(), "path", "left_anti").select("path", F.lit("skipped").alias("status"))
+
+
+def resumable(files: DataFrame, cache: str, make: Callable[[DataFrame], DataFrame], schema: str, batches: int = 8, batch: Column | None = None, listener: Listener | None = None) -> DataFrame:
+    """``make`` of all files (path, mtime, ...), batch by batch, each appended to the cache when it is done.
+
+    A run that was stopped goes on where it ended: files that the cache has with
+    the same path and mtime aren't made again. ``schema`` is of what ``make``
+    returns, which begins with path and mtime. Files are dealt to batches by
+    ``batch`` or a hash of their path, so a batch is never gathered anywhere.
+    """
+    spark = files.sparkSession
+    number = F.pmod(F.xxhash64("path"), F.lit(batches)) if batch is None else batch
+
+    def done() -> DataFrame:
+        return spark.read.schema(schema).parquet(cache) if store.exists(spark, cache) else spark.createDataFrame([], schema)
+
+    for k in range(batches):
+        todo = files.where(number == k).join(done().select("path", "mtime"), ["path", "mtime"], "left_anti")
+        made = make(todo)
+        if not todo.select("path").isEmpty():
+            made.write.mode("append").option("compression", "zstd").parquet(cache)
+        if listener:
+            listener(Progress("batch", k + 1, batches, cache))
+    return files.select("path", "mtime").join(done().dropDuplicates(["path", "mtime"]), ["path", "mtime"])

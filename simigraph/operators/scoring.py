@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from simigraph import store
 from simigraph.config import Config, Thresholds
-from simigraph.functions import matchers
+from simigraph.functions import matchers, names
 from simigraph.operators.blocking import candidate_pairs
 
 #: The weighted matchers, in the order of the scores.
@@ -29,11 +29,23 @@ def attach(pairs: DataFrame, files: DataFrame) -> DataFrame:
     return pairs.join(side("a"), F.col("path_a") == F.col("a_path")).join(side("b"), F.col("path_b") == F.col("b_path"))
 
 
+def not_rejected(pairs: DataFrame, files: DataFrame, config: Config) -> DataFrame:
+    """path_a and path_b of the pairs that neither extensions nor numbers reject; reads only what these need."""
+    known, on = matchers.registry(), config.algorithms
+    narrow = files.select("path", "extension", "extension_category", "episodes", "years", "numbers")
+    out = attach(pairs, narrow)
+    if on.extension_intelligence:
+        out = out.where(known["extension_intelligence"]() != 0)
+    if on.numeric_validation:
+        out = out.where(known["numeric_validation"]() != matchers.REJECT)
+    return out.select("path_a", "path_b")
+
+
 def score_pairs(pairs: DataFrame, config: Config, threshold: float | None = None) -> DataFrame:
     """Matches of attached pairs: sizes, scores, confidence and category.
 
-    What rejects a pair outright is native and comes first; only pairs that
-    pass reach the Python matcher.
+    What rejects a pair outright is native and comes first, then the native
+    matchers; only pairs that can still reach the threshold reach the Python one.
     """
     store.ship(pairs.sparkSession)
     on, weights, known = config.algorithms, config.weights, matchers.registry()
@@ -45,41 +57,48 @@ def score_pairs(pairs: DataFrame, config: Config, threshold: float | None = None
     used = [m for m in [*WEIGHTED, *(k for k in known if k not in (*WEIGHTED, "folder_context"))] if enabled(m) and getattr(weights, m, 0.0) > 0]
     if "a_vector" not in pairs.columns and "semantic_similarity" in used:
         used.remove("semantic_similarity")
+    least = max(config.thresholds.weak, threshold or 0.0)
+    weigh = {m: getattr(weights, m) for m in used}
+    if enabled("folder_context"):
+        pairs = pairs.withColumn("_folder_context", known["folder_context"]())
     for m in used:
-        if m != "numeric_validation":
+        if m not in ("numeric_validation", "fuzzy_similarity"):
             pairs = pairs.withColumn(f"_{m}", known[m]())
     shown = (["numeric_validation"] if enabled("numeric_validation") else []) + [m for m in used if m != "numeric_validation"]
-    total, weight = F.lit(0.0), 0.0
-    for m in used:
-        total, weight = total + F.col(f"_{m}") * getattr(weights, m), weight + getattr(weights, m)
-    if enabled("folder_context"):
-        pairs = pairs.withColumn("_folder_context", known["folder_context"]())
-        if weights.folder_context > 0:
-            total, weight = total + F.col("_folder_context") * weights.folder_context, weight + weights.folder_context
-            shown.append("folder_context")
-    score = total / weight if weight else F.lit(0.0)
-    if enabled("folder_context") and weights.folder_context <= 0:
-        bonus = F.when(F.col("_folder_context") == 100, 5.0).when(F.col("_folder_context") >= 90, 3.0).otherwise(0.0)
-        score = F.least(F.lit(100.0), score + bonus)
-    score = F.when(F.col("_extension") == 90, F.greatest(F.lit(0.0), score - 2.0)).otherwise(score)
-    least = max(config.thresholds.weak, threshold or 0.0)
-    scores = F.map_from_arrays(F.array(*map(F.lit, shown)), F.array(*(F.round(f"_{m}", 2) for m in shown))) if shown else F.create_map().cast("map<string,double>")
-    found = pairs.select("path_a", "path_b", F.col("a_size").alias("file_a_size"), F.col("b_size").alias("file_b_size"), scores.alias("scores"), F.round(score, 2).alias("confidence_score"))
+    bonus = F.lit(0.0)
+    if enabled("folder_context") and weights.folder_context > 0:
+        weigh["folder_context"] = weights.folder_context
+        shown.append("folder_context")
+    elif enabled("folder_context"):
+        bonus = F.when(F.col("_folder_context") == 100, matchers.FOLDER_BONUS).when(F.col("_folder_context") >= 90, matchers.NEAR_FOLDER_BONUS).otherwise(0.0)
+    total = lambda of: sum((of(m) * w for m, w in weigh.items()), F.lit(0.0)) / sum(weigh.values()) if weigh else F.lit(0.0)
+    if "fuzzy_similarity" in used:
+        most = total(lambda m: F.lit(100.0) if m == "fuzzy_similarity" else F.col(f"_{m}")) + bonus
+        pairs = pairs.where(most >= least - 0.01).withColumn("_fuzzy_similarity", known["fuzzy_similarity"]())
+    score = F.least(F.lit(100.0), total(lambda m: F.col(f"_{m}")) + bonus)
+    score = F.when(F.col("_extension") == 90, F.greatest(F.lit(0.0), score - matchers.OTHER_EXTENSION)).otherwise(score)
+    scores = F.map_from_arrays(F.array(*map(F.lit, shown)), F.array(*(F.col(f"_{m}") for m in shown))) if shown else F.create_map().cast("map<string,double>")
+    found = pairs.select("path_a", "path_b", F.col("a_size").alias("file_a_size"), F.col("b_size").alias("file_b_size"), scores.alias("scores"), names.two_places(score).alias("confidence_score"))
     return found.where(F.col("confidence_score") >= least).withColumn("category", category(F.col("confidence_score"), config.thresholds))
 
 
 def match_files(files: DataFrame, config: Config | None = None, threshold: float | None = None) -> DataFrame:
     """From file features to matches, best first."""
     config = config or Config()
-    files = store.materialise(files, "features")  # read three times; made once
-    pairs = attach(candidate_pairs(files, config.blocking), files)
-    return score_pairs(pairs, config, threshold).orderBy(F.desc("confidence_score"), "path_a", "path_b")
+    files = store.materialise(files, "features")  # read several times; made once
+    return matches_of(candidate_pairs(files, config.blocking), files, config, threshold).orderBy(F.desc("confidence_score"), "path_a", "path_b")
+
+
+def matches_of(pairs: DataFrame, files: DataFrame, config: Config, threshold: float | None = None) -> DataFrame:
+    """Matches of (path_a, path_b); the wide columns of files join what wasn't rejected."""
+    left = store.materialise(not_rejected(pairs, files, config), "pairs")
+    return score_pairs(attach(left, files), config, threshold)
 
 
 def category_counts(matches: DataFrame) -> DataFrame:
     return matches.groupBy("category").agg(F.count("*").alias("matches")).orderBy(F.desc("matches"), "category")
 
 
-def in_scope(matches: DataFrame, folder: str) -> DataFrame:
-    """Pairs with either side in the folder."""
-    return matches.where(F.col("path_a").startswith(folder) | F.col("path_b").startswith(folder))
+def in_scope(matches: DataFrame, *folders: str, strict: bool = False) -> DataFrame:
+    """Pairs with either side in one of the folders."""
+    return matches.where(names.in_folders(F.col("path_a"), folders, strict) | names.in_folders(F.col("path_b"), folders, strict))

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from simigraph import store
 from simigraph.functions.digests import average_hash, frame_match_percent, hamming, visual_signature
+from simigraph.operators import groups
 
-BITS, DISTANCE, THRESHOLD, TOLERANCE = 64, 10, 70.0, 5.0
+BITS, BANDS = 64, 4
+# Differing bits of near frames, per cent of near frames, seconds between durations.
+DISTANCE, THRESHOLD, TOLERANCE = 10, 70.0, 5.0
 
 
 def fingerprints(frames: DataFrame) -> DataFrame:
@@ -20,19 +27,26 @@ def fingerprints(frames: DataFrame) -> DataFrame:
 def near_hashes(hashes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """All pairs (id_a < id_b, bits) of (id, hash) within the distance, exactly.
 
-    Hashes are cut into distance + 1 bands; two hashes within the distance
-    agree in at least one of them. A pair is checked where it first agrees, so
-    it comes once without a distinct.
+    Hashes are cut into BANDS bands; two hashes within the distance differ by at
+    most distance / BANDS bits in one of them. Each side is listed under its
+    bands with up to half as many bits changed, so that those meet: 4 bands of
+    16 bits and 17 keys each for distances up to 11. A key stands for one hash
+    in 2^16 / 17, so the joins' buckets are that much smaller than the table.
     """
-    n = distance + 1
-    edges = [round(k * BITS / n) for k in range(n + 1)]
-    band = lambda h, k: F.shiftrightunsigned(h, edges[k]).bitwiseAND(F.lit((1 << edges[k + 1] - edges[k]) - 1).cast("long"))
-    bands = lambda h: F.array(*[band(h, k) for k in range(n)])
-    rows = hashes.select("id", "hash", F.posexplode(bands(F.col("hash"))).alias("band", "bits"))
-    a, b = rows.select("band", "bits", F.col("id").alias("id_a"), F.col("hash").alias("hash_a")), rows.select("band", "bits", F.col("id").alias("id_b"), F.col("hash").alias("hash_b"))
-    met = a.join(b, ["band", "bits"]).where("id_a < id_b").where(hamming(F.col("hash_a"), F.col("hash_b")) <= distance)
-    first = F.array_position(F.zip_with(bands(F.col("hash_a")), bands(F.col("hash_b")), lambda x, y: x == y), True) - 1
-    return met.where(first == F.col("band")).select("id_a", "id_b", hamming(F.col("hash_a"), F.col("hash_b")).cast("int").alias("bits"))
+    width, each = BITS // BANDS, distance // BANDS
+    mask = lambda bits: sum(1 << b for b in bits)
+    masks = lambda most: [mask(c) for k in range(most + 1) for c in itertools.combinations(range(width), k)]
+    band = lambda k: F.shiftrightunsigned("hash", width * k).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+
+    def side(s: str, most: int) -> DataFrame:
+        keys = F.array(*(F.struct(F.lit(k).alias("band"), band(k).alias("bits")) for k in range(BANDS)))
+        rows = hashes.select(F.col("id").alias(f"id_{s}"), F.col("hash").alias(f"hash_{s}"), F.explode(keys).alias("k"))
+        changed = F.explode(F.transform(F.array(*(F.lit(m).cast("long") for m in masks(most))), lambda m: F.col("k.bits").bitwiseXOR(m)))
+        return rows.select(f"id_{s}", f"hash_{s}", "k.band", changed.alias("bits"))
+
+    bits = hamming(F.col("hash_a"), F.col("hash_b"))
+    met = side("a", each - each // 2).join(side("b", each // 2), ["band", "bits"]).where("id_a < id_b").where(bits <= distance)
+    return met.select("id_a", "id_b", bits.cast("int").alias("bits")).distinct()
 
 
 def signature_pairs(prints: DataFrame) -> DataFrame:
@@ -45,13 +59,16 @@ def signature_pairs(prints: DataFrame) -> DataFrame:
 def frame_matches(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """video_a, video_b (in order) and the percentage of a's frames that b has.
 
-    Only pairs of videos with some near frames come out; they are found by bands.
+    Only pairs of videos with some near frames come out; they are found by bands
+    over the distinct hashes.
     """
     frames = prints.select("video", F.size("hashes").alias("n"), F.posexplode("hashes").alias("pos", "hash"))
-    rows = frames.select(F.struct("video", "pos").alias("id"), "hash")
-    near = near_hashes(rows, distance)
-    sides = near.where(F.col("id_a.video") != F.col("id_b.video")).select(F.col("id_a.video").alias("video_a"), F.col("id_b.video").alias("video_b"), F.col("id_a.pos").alias("pos"))
-    found = sides.groupBy("video_a", "video_b").agg(F.count_distinct("pos").alias("matched"))
+    distinct = frames.select("hash").distinct()
+    near = near_hashes(distinct.select(F.col("hash").alias("id"), "hash"), distance).select("id_a", "id_b")
+    near = near.union(near.select("id_b", "id_a")).union(distinct.select("hash", "hash"))
+    a, b = frames.select(F.col("video").alias("video_a"), "pos", F.col("hash").alias("id_a")), frames.select(F.col("video").alias("video_b"), F.col("hash").alias("id_b")).distinct()
+    sides = a.join(near, "id_a").join(b, "id_b").where("video_a < video_b").select("video_a", "video_b", "pos").distinct()
+    found = sides.groupBy("video_a", "video_b").agg(F.count("*").alias("matched"))
     sizes = prints.select("video", F.size("hashes").alias("n"))
     joined = found.join(sizes.select(F.col("video").alias("video_a"), F.col("n").alias("n_a")), "video_a").join(sizes.select(F.col("video").alias("video_b"), F.col("n").alias("n_b")), "video_b")
     return joined.select("video_a", "video_b", (F.col("matched") / F.least("n_a", "n_b") * 100).alias("percent"))
@@ -87,13 +104,16 @@ def duration_groups(files: DataFrame, tolerance: float = TOLERANCE) -> DataFrame
     chains = cells.select("cell", begins.alias("chain"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[float] = []
+        leaders: list[float] = []  # in order; any two lie further apart than the tolerance, so few can be near
+        since: dict[float, int] = {}
         out = []
-        for d in pdf.sort_values("first")["duration"]:
-            lead = next((x for x in leaders if abs(d - x) <= tolerance), None)
+        for k, d in enumerate(pdf.sort_values("first")["duration"].tolist()):
+            at = bisect.bisect_left(leaders, d)
+            near = [x for x in leaders[max(0, at - 2) : at + 2] if abs(d - x) <= tolerance]
+            lead = min(near, key=since.__getitem__, default=None)
             if lead is None:
-                leaders.append(d)
-                lead = d
+                leaders.insert(at, d)
+                since[d], lead = k, d
             out.append((d, lead))
         return pd.DataFrame(out, columns=["duration", "leader"])
 
@@ -101,3 +121,17 @@ def duration_groups(files: DataFrame, tolerance: float = TOLERANCE) -> DataFrame
     joined = files.where("duration is not null").join(lead, "duration")
     big = joined.groupBy("leader").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
     return joined.join(big, "leader").select("path", "duration", "leader")
+
+
+def video_groups(videos: DataFrame, prints: DataFrame, distance: int = DISTANCE, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, quick: bool = True, by_duration: bool = True) -> DataFrame:
+    """path and its group (the first path) of videos that look alike, from (path, duration) and (video, hashes).
+
+    Pairs come from the index of frames; those of other duration groups are left
+    out, so no group is compared pair by pair.
+    """
+    found = match_videos(prints, distance, threshold, quick)
+    if by_duration:
+        leads = store.materialise(duration_groups(videos, tolerance).select("path", "leader"), "leaders")
+        a, b = leads.toDF("video_a", "_a"), leads.toDF("video_b", "_b")
+        found = found.join(a, "video_a").join(b, "video_b").where("_a = _b")
+    return groups.components(found, "video_a", "video_b").select(F.col("node").alias("path"), F.col("component").alias("group"))

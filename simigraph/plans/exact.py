@@ -12,37 +12,30 @@ from simigraph.sources import sinks
 from simigraph.sources.catalog import DOCUMENT_FILES, document_files
 
 FILES = f"WITH files AS ({DOCUMENT_FILES}), sized AS (SELECT *, count(*) OVER (PARTITION BY size) AS k FROM files), hashed AS (SELECT path, size, mtime, sha256(content) AS sha256, count(*) OVER (PARTITION BY sha256(content)) AS n FROM files), groups AS (SELECT path, size, mtime, sha256 FROM hashed WHERE n > 1) "
-CHUNK = 64
-_QUICK = f"md5(CASE WHEN size > {CHUNK} THEN left(c, {CHUNK}) || right(c, {CHUNK}) ELSE c || c END)"
-_ASCII = "regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g')"
-ASCII_FILES = f"SELECT '/' || CAST(doc_id AS VARCHAR) AS path, CAST(length(text) AS BIGINT) AS size, {_ASCII} AS c FROM documents"
+CHUNK = 1024
+_QUICK = f"md5(CASE WHEN size > {CHUNK} THEN c[1:{CHUNK}] || c[size - {CHUNK - 1}:size] ELSE c || c END)"
+BYTES = f"SELECT path, size, encode(content) AS c FROM ({DOCUMENT_FILES})"
 
 
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(document_files(spark, sf_dir))
 
 
-def ascii_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With one byte for each character, so that chunks can be cut in SQL."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.select(F.concat(F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.length("text").cast("long").alias("size"), F.regexp_replace("text", r"[^\x00-\x7F]", "?").cast("binary").alias("content"))
-
-
 @query("a01_size_groups", FILES + "SELECT path, size FROM sized WHERE k > 1")
 def a01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.size_groups(document_files(spark, sf_dir)).select("path", "size")
 
 
-@query("a02_quick_groups", f"WITH f AS ({ASCII_FILES}), q AS (SELECT path, size, {_QUICK} AS quick FROM f), g AS (SELECT *, count(*) OVER (PARTITION BY size, quick) AS k FROM q) SELECT path, size, quick FROM g WHERE k > 1")
+@query("a02_quick_groups", f"WITH f AS ({BYTES}), q AS (SELECT path, size, {_QUICK} AS quick FROM f), g AS (SELECT *, count(*) OVER (PARTITION BY size, quick) AS k FROM q) SELECT path, size, quick FROM g WHERE k > 1")
 def a02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.quick_groups(ascii_files(spark, sf_dir), CHUNK).select("path", "size", "quick")
+    return exact.quick_groups(document_files(spark, sf_dir), CHUNK).select("path", "size", "quick")
 
 
-@query("x08_quick_signature", f"WITH f AS ({ASCII_FILES}) SELECT path, {_QUICK} AS quick FROM f")
+@query("x08_quick_signature", f"WITH f AS ({BYTES}) SELECT path, {_QUICK} AS quick FROM f")
 def x08(spark: SparkSession, sf_dir: str) -> DataFrame:
     from simigraph.functions.digests import quick_signature
 
-    return ascii_files(spark, sf_dir).select("path", quick_signature(F.col("content"), CHUNK).alias("quick"))
+    return document_files(spark, sf_dir).select("path", quick_signature(F.col("content"), CHUNK).alias("quick"))
 
 
 @query("x09_full_hash", f"WITH files AS ({DOCUMENT_FILES}) SELECT path, sha256(content) AS sha256 FROM files")
@@ -78,9 +71,9 @@ def a10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.wasted_in_groups(groups(spark, sf_dir))
 
 
-@query("a11_funnel", f"WITH f AS ({ASCII_FILES}), a AS (SELECT *, {_QUICK} AS quick, sha256(c) AS sha, count(*) OVER (PARTITION BY size) AS k FROM f), b AS (SELECT *, count(*) OVER (PARTITION BY size, quick) AS q, count(*) OVER (PARTITION BY sha) AS n FROM a) SELECT count(*) AS scanned, count(*) FILTER (WHERE k > 1) AS same_size, count(*) FILTER (WHERE q > 1) AS same_quick, count(*) FILTER (WHERE n > 1) AS exact_files, count(DISTINCT CASE WHEN n > 1 THEN sha END) AS groups FROM b")
+@query("a11_funnel", f"WITH f AS ({BYTES}), a AS (SELECT *, {_QUICK} AS quick, sha256(c) AS sha, count(*) OVER (PARTITION BY size) AS k FROM f), b AS (SELECT *, count(*) OVER (PARTITION BY size, quick) AS q, count(*) OVER (PARTITION BY sha) AS n FROM a) SELECT count(*) AS scanned, count(*) FILTER (WHERE k > 1) AS same_size, count(*) FILTER (WHERE q > 1) AS same_quick, count(*) FILTER (WHERE n > 1) AS exact_files, count(DISTINCT CASE WHEN n > 1 THEN sha END) AS groups FROM b")
 def a11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.funnel(ascii_files(spark, sf_dir).withColumn("mtime", F.lit(0.0)), CHUNK)
+    return exact.funnel(document_files(spark, sf_dir), CHUNK)
 
 
 @query("f05_repeated_keys", "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey HAVING count(*) > 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from simigraph import store
@@ -13,8 +13,8 @@ from simigraph.functions import matchers, names
 from simigraph.operators import blocking, groups, scoring
 from simigraph.plans.registry import query
 from simigraph.plans.scalar import _NAMED, CATEGORY
-from simigraph.sources import sinks
-from simigraph.sources.catalog import PART_FILES, part_records, table
+from simigraph.sources import caches, sinks
+from simigraph.sources.catalog import PART_FILES, features, part_files, part_records, records, table
 
 OPTIONS = Blocking()
 FEATURES = f"""WITH files AS ({PART_FILES}), {_NAMED},
@@ -46,9 +46,19 @@ def _block_query(number: int, kind: str) -> None:
         return blocking.candidate_pairs(part_records(spark, sf_dir), OPTIONS, [kind])
 
 
-for _i, _k in enumerate(blocking.KINDS, 1):
+for _i, _k in enumerate(blocking.KINDS[:5], 1):
     _block_query(_i, _k)
 
+SUPPLIER_FILES = "SELECT '/sup/' || CAST(s_nationkey AS VARCHAR) || '/' || s_name || '_' || repeat('x', CAST(s_suppkey % 17 AS INTEGER)) || '.txt' AS path, s_suppkey AS size, 0.0::DOUBLE AS mtime FROM supplier"
+
+
+@query("j06_block_length", _pairs(("length",)).replace(PART_FILES, SUPPLIER_FILES) + "SELECT path_a, path_b FROM pairs")
+def j06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of suppliers, whose names have lengths enough for blocks within the limit."""
+    name = F.concat(F.lit("/sup/"), F.col("s_nationkey").cast("string"), F.lit("/"), "s_name", F.lit("_"), F.repeat(F.lit("x"), (F.col("s_suppkey") % 17).cast("int")), F.lit(".txt"))
+    files = table(spark, sf_dir, "supplier").select(name.alias("path"), F.col("s_suppkey").cast("long").alias("size"), F.lit(0.0).alias("mtime"))
+    return blocking.candidate_pairs(features(records(files, Config().normalization)), OPTIONS, ["length"])
+
 
 @query("j_all_candidates", _pairs(blocking.KINDS) + "SELECT path_a, path_b FROM pairs")
 def j_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,12 +76,17 @@ def f14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.groupBy("kind").agg(F.count("*").alias("entries"), F.count_distinct("key").alias("keys"))
 
 
-# Matchers, over the pairs that share a name or a signature
+# Matchers, over all candidate pairs
+
+def two_places(x: str) -> str:
+    """As ``names.two_places``."""
+    n = "CAST(trunc((v - floor(v)) * 4503599627370496) AS BIGINT) * 100"
+    return f"list_transform([CAST({x} AS DOUBLE)], lambda v: (floor(v) * 100 + (({n}) // 4503599627370496) + CASE WHEN ({n}) % 4503599627370496 > 2251799813685248 OR (({n}) % 4503599627370496 = 2251799813685248 AND (({n}) // 4503599627370496) % 2 = 1) THEN 1 ELSE 0 END) / 100.0)[1]"
+
 
-NAMED_PAIRS = ("name", "prefix", "signature")
 _ARRAYS = r"""list_distinct(regexp_extract_all(normalized_name, '\b(\d+)\b'))"""
 _FULL = (
-    _pairs(NAMED_PAIRS)
+    _pairs(blocking.KINDS)
     + r""", e AS (SELECT *, list_distinct(list_transform(regexp_extract_all(lower(filename), 's\d+e\d+'), lambda m: 's' || CAST(CAST(regexp_extract(m, 's(\d+)e', 1) AS BIGINT) AS VARCHAR) || 'e' || CAST(CAST(regexp_extract(m, 'e(\d+)', 1) AS BIGINT) AS VARCHAR))) AS episodes,
   list_distinct(list_concat(regexp_extract_all(filename, '\b(19\d{2}|20\d{2})\b'), regexp_extract_all(normalized_name, '\b(19\d{2}|20\d{2})\b'))) AS years FROM feats),
 full_ AS (SELECT *, list_filter("""
@@ -79,14 +94,22 @@ full_ AS (SELECT *, list_filter("""
     + r""", lambda n: NOT list_contains(years, n)) AS numbers, list_distinct(tokens) AS token_set,
   trim(regexp_replace(regexp_replace(lower(regexp_extract(parent_folder, '([^/]*)$', 1)), '[._\-\[\](){}]', ' ', 'g'), '\s+', ' ', 'g')) AS folder,
   list_distinct(CASE WHEN length(normalized_name) < 2 THEN [normalized_name] ELSE list_transform(generate_series(1, length(normalized_name) - 1), lambda i: substr(normalized_name, i, 2)) END) AS bigrams,
-  list_distinct(CASE WHEN length(normalized_name) < 3 THEN [normalized_name] ELSE list_transform(generate_series(1, length(normalized_name) - 2), lambda i: substr(normalized_name, i, 3)) END) AS trigrams FROM e)
+  list_distinct(CASE WHEN length(normalized_name) < 3 THEN [normalized_name] ELSE list_transform(generate_series(1, length(normalized_name) - 2), lambda i: substr(normalized_name, i, 3)) END) AS trigrams,
+  list_transform(string_split('abcdefghijklmnopqrstuvwxyz0123456789', ''), lambda c: CAST(length(normalized_name) - length(replace(normalized_name, c, '')) AS DOUBLE)) AS chars FROM e)
 """
 )
 
 
-def attached(spark: SparkSession, sf_dir: str) -> DataFrame:
+def candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs, and the files' features."""
     files = store.materialise(part_records(spark, sf_dir), "features")
-    return scoring.attach(blocking.candidate_pairs(files, OPTIONS, NAMED_PAIRS), files)
+    return blocking.candidate_pairs(files, OPTIONS), files
+
+
+def attached(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Pairs with the columns of both files that a matcher reads."""
+    pairs, files = candidates(spark, sf_dir)
+    return scoring.attach(pairs, files.select("path", *columns) if columns else files)
 
 
 _BOTH = " FROM pairs p JOIN full_ a ON a.path = p.path_a JOIN full_ b ON b.path = p.path_b"
@@ -104,33 +127,33 @@ _MATCHERS = {
 }
 
 
+_CHARS = "sqrt(list_inner_product({c}, {c}))"
+_MATCHERS["m05_charfreq"] = ("char_frequency", "CASE WHEN list_sum(a.chars) = 0 AND list_sum(b.chars) = 0 THEN 100.0 WHEN list_sum(a.chars) = 0 OR list_sum(b.chars) = 0 THEN 0.0 ELSE list_inner_product(a.chars, b.chars) / ({} * {}) * 100 END".format(_CHARS.format(c="a.chars"), _CHARS.format(c="b.chars")))
+_ROUNDED = ("token_similarity", "ngram_similarity", "char_frequency")
+_MATCHERS = {k: (m, two_places(s) if m in _ROUNDED else s) for k, (m, s) in _MATCHERS.items()}
+#: Columns that each matcher reads.
+_READS = {
+    "exact_match": ("normalized_name", "filename"), "token_similarity": ("normalized_name", "token_set"), "ngram_similarity": ("normalized_name", "bigrams", "trigrams"),
+    "char_frequency": ("chars",), "size_similarity": ("size",), "numeric_validation": ("episodes", "years", "numbers"), "extension_intelligence": ("extension", "extension_category"),
+    "folder_context": ("parent_folder", "folder"),
+}
+
+
 def _matcher_query(name: str, matcher: str, sql: str) -> None:
-    @query(name, _FULL + f"SELECT path_a, path_b, round(CAST({sql} AS DOUBLE), 6) AS score{_BOTH}")
+    @query(name, _FULL + f"SELECT path_a, path_b, CAST({sql} AS DOUBLE) AS score{_BOTH}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         score: Callable[[], Column] = matchers.registry()[matcher]
-        return attached(spark, sf_dir).select("path_a", "path_b", F.round(score().cast("double"), 6).alias("score"))
+        return attached(spark, sf_dir, *_READS[matcher]).select("path_a", "path_b", score().cast("double").alias("score"))
 
 
 for _n, (_m, _sql) in _MATCHERS.items():
     _matcher_query(_n, _m, _sql)
 
-_CHARS = "WITH n AS (SELECT DISTINCT p_name AS n FROM part), c AS (SELECT n, c, count(*) AS k FROM (SELECT n, unnest(string_split(n, '')) AS c FROM n) WHERE regexp_matches(c, '^[A-Za-z0-9]$') GROUP BY n, c), norms AS (SELECT n, sqrt(sum(k * k)::DOUBLE) AS norm FROM c GROUP BY n), dots AS (SELECT a.n AS name_a, b.n AS name_b, sum(a.k * b.k) AS dot FROM c a JOIN c b ON a.c = b.c AND a.n < b.n GROUP BY 1, 2) SELECT name_a, name_b, round(dot / (x.norm * y.norm) * 100, 6) AS score FROM dots JOIN norms x ON x.n = name_a JOIN norms y ON y.n = name_b WHERE dot > 0"
-
-
-@query("m05_charfreq", _CHARS)
-def m05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "part").select("p_name").distinct().select("p_name", names.char_counts(F.col("p_name")).alias("chars"))
-    a, b = n.select(F.col("p_name").alias("name_a"), F.col("chars").alias("a_chars")), n.select(F.col("p_name").alias("name_b"), F.col("chars").alias("b_chars"))
-    # Names meet by a shared character, each pair once.
-    key = lambda d, s: d.select("*", F.explode(F.transform(f"{s}_chars", lambda e: e["c"])).alias("c"))
-    met = key(a, "a").join(key(b, "b"), "c").where("name_a < name_b").drop("c").dropDuplicates(["name_a", "name_b"])
-    return met.select("name_a", "name_b", F.round(matchers.char_frequency(), 6).alias("score"))
-
 
 @query("m03_fuzzy")
 def m03(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.ship(spark)
-    pairs = attached(spark, sf_dir).select("a_normalized_name", "b_normalized_name").distinct()
+    pairs = attached(spark, sf_dir, "normalized_name").select("a_normalized_name", "b_normalized_name").distinct()
     return pairs.select("a_normalized_name", "b_normalized_name", F.round(matchers.fuzzy(), 6).alias("score"))
 
 
@@ -139,15 +162,15 @@ def m03b(spark: SparkSession, sf_dir: str) -> DataFrame:
     from simigraph.functions.fuzzy import sequence_score
 
     store.ship(spark)
-    pairs = attached(spark, sf_dir).select("a_normalized_name", "b_normalized_name").distinct()
+    pairs = attached(spark, sf_dir, "normalized_name").select("a_normalized_name", "b_normalized_name").distinct()
     return pairs.select("*", F.round(sequence_score(F.col("a_normalized_name"), F.col("b_normalized_name")), 6).alias("score"))
 
 
 # Scores. Without the fuzzy matcher SQL can express them all.
 
-NO_FUZZY = Config(algorithms=Algorithms(fuzzy_similarity=False, char_frequency=False))
+NO_FUZZY = Config(algorithms=Algorithms(fuzzy_similarity=False))
 _SCORE = {k: s for k, s in _MATCHERS.values()}
-_WEIGHTS = {"exact_match": 40, "token_similarity": 20, "ngram_similarity": 10, "size_similarity": 5, "numeric_validation": 5}
+_WEIGHTS = {"exact_match": 40, "token_similarity": 20, "ngram_similarity": 10, "char_frequency": 5, "size_similarity": 5, "numeric_validation": 5}
 _SCORED = (
     _FULL
     + ", parts AS (SELECT path_a, path_b, a.size AS file_a_size, b.size AS file_b_size, "
@@ -155,12 +178,13 @@ _SCORED = (
     + _BOTH
     + "), mean AS (SELECT *, ("
     + " + ".join(f"{k} * {w}" for k, w in _WEIGHTS.items())
-    + ") / 80.0 AS m FROM parts WHERE extension_intelligence <> 0 AND numeric_validation <> -100), bonus AS (SELECT *, least(100.0, m + CASE WHEN folder_context = 100 THEN 5.0 WHEN folder_context >= 90 THEN 3.0 ELSE 0.0 END) AS s FROM mean), final AS (SELECT path_a, path_b, file_a_size, file_b_size, round(CASE WHEN extension_intelligence = 90 THEN greatest(0.0, s - 2) ELSE s END, 2) AS confidence_score FROM bonus), matches AS (SELECT *, CASE WHEN confidence_score >= 95 THEN 'almost certain duplicate' WHEN confidence_score >= 80 THEN 'highly likely' WHEN confidence_score >= 60 THEN 'potential duplicate' WHEN confidence_score >= 40 THEN 'weak similarity' ELSE 'ignore' END AS category FROM final WHERE confidence_score >= 40) "
+    + ") / 85.0 AS m FROM parts WHERE extension_intelligence <> 0 AND numeric_validation <> -100), bonus AS (SELECT *, least(100.0, m + CASE WHEN folder_context = 100 THEN 5.0 WHEN folder_context >= 90 THEN 3.0 ELSE 0.0 END) AS s FROM mean), final AS (SELECT path_a, path_b, file_a_size, file_b_size, " + two_places("CASE WHEN extension_intelligence = 90 THEN greatest(0.0, s - 2) ELSE s END") + " AS confidence_score FROM bonus), matches AS (SELECT *, CASE WHEN confidence_score >= 95 THEN 'almost certain duplicate' WHEN confidence_score >= 80 THEN 'highly likely' WHEN confidence_score >= 60 THEN 'potential duplicate' WHEN confidence_score >= 40 THEN 'weak similarity' ELSE 'ignore' END AS category FROM final WHERE confidence_score >= 40) "
 )
 
 
 def native_matches(spark: SparkSession, sf_dir: str, threshold: float | None = None) -> DataFrame:
-    return scoring.score_pairs(attached(spark, sf_dir), NO_FUZZY, threshold)
+    pairs, files = candidates(spark, sf_dir)
+    return scoring.matches_of(pairs, files, NO_FUZZY, threshold)
 
 
 @query("m11_score_native", _SCORED + "SELECT path_a, path_b, file_a_size, file_b_size, confidence_score, category FROM matches")
@@ -170,7 +194,8 @@ def m11n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m11_score")
 def m11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score_pairs(attached(spark, sf_dir), Config()).withColumn("scores", F.to_json("scores"))
+    pairs, files = candidates(spark, sf_dir)
+    return scoring.matches_of(pairs, files, Config()).withColumn("scores", F.to_json("scores"))
 
 
 @query("m12_match_files")
@@ -178,6 +203,12 @@ def m12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.match_files(part_records(spark, sf_dir), Config(), 60.0).withColumn("scores", F.to_json("scores"))
 
 
+@query("m12_match_native", _SCORED + "SELECT path_a, path_b, confidence_score, category FROM matches WHERE confidence_score >= 60 ORDER BY confidence_score DESC, path_a, path_b")
+def m12n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From files to matches, without the matcher that SQL can't express."""
+    return scoring.match_files(part_records(spark, sf_dir), NO_FUZZY, 60.0).select("path_a", "path_b", "confidence_score", "category")
+
+
 @query("f11_threshold", _SCORED + "SELECT path_a, path_b, confidence_score FROM matches WHERE confidence_score >= 80")
 def f11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return native_matches(spark, sf_dir, 80.0).select("path_a", "path_b", "confidence_score")
@@ -187,7 +218,7 @@ def f11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f09(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = matchers.registry()
     outcome = F.when(m["extension_intelligence"]() == 0, "extension").when(m["numeric_validation"]() == matchers.REJECT, "numeric").otherwise("kept")
-    return attached(spark, sf_dir).groupBy(outcome.alias("outcome")).agg(F.count("*").alias("pairs"))
+    return attached(spark, sf_dir, "extension", "extension_category", "episodes", "years", "numbers").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("pairs"))
 
 
 @query("a08_category_counts", _SCORED + "SELECT category, count(*) AS matches FROM matches GROUP BY category")
@@ -200,9 +231,9 @@ def t01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.number_by_score(native_matches(spark, sf_dir)).select("group_no", "path_a", "path_b", "confidence_score")
 
 
-@query("f04_pair_scope", _SCORED + "SELECT path_a, path_b FROM matches WHERE starts_with(path_a, '/lib/brand_1') OR starts_with(path_b, '/lib/brand_1')")
+@query("f04_pair_scope", _SCORED + "SELECT path_a, path_b FROM matches WHERE starts_with(path_a, '/lib/brand_11') OR starts_with(path_b, '/lib/brand_11') OR starts_with(path_a, '/lib/brand_2') OR starts_with(path_b, '/lib/brand_2')")
 def f04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.in_scope(native_matches(spark, sf_dir), "/lib/brand_1").select("path_a", "path_b")
+    return scoring.in_scope(native_matches(spark, sf_dir), "/lib/brand_11", "/lib/brand_2").select("path_a", "path_b")
 
 
 @query("k11_match_table", _SCORED + "SELECT regexp_extract(path_a, '([^/]*)$', 1) AS name_a, printf('%.2f KB', file_a_size / 1024.0) AS size_a, regexp_extract(path_b, '([^/]*)$', 1) AS name_b, printf('%.2f KB', file_b_size / 1024.0) AS size_b, confidence_score, category FROM matches")
@@ -222,9 +253,9 @@ def j15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(files, "path_key").groupBy("path_key").agg(F.count("*").alias("matches"), F.min("size").alias("size"))
 
 
-@query("a06_components", _SCORED + ", strong AS (SELECT path_a, path_b FROM matches WHERE confidence_score >= 90), nodes AS (SELECT path_a AS n FROM strong UNION SELECT path_b FROM strong), both_ AS (SELECT path_a AS a, path_b AS b FROM strong UNION SELECT path_b, path_a FROM strong), least1 AS (SELECT a, least(a, min(b)) AS m FROM both_ GROUP BY a) SELECT a AS node, m AS component FROM least1")
+@query("a06_components", _SCORED.replace("WITH files", "WITH RECURSIVE files", 1) + ", strong AS (SELECT path_a AS a, path_b AS b FROM matches WHERE confidence_score >= 90), both_ AS (SELECT a, b FROM strong UNION SELECT b, a FROM strong), r AS (SELECT a AS node, a AS seen FROM both_ UNION SELECT r.node, both_.b FROM r JOIN both_ ON r.seen = both_.a) SELECT node, min(seen) AS component FROM r GROUP BY node")
 def a06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of matches from 90 up, which are cliques in this table."""
+    """Components of matches from 90 up."""
     return groups.components(native_matches(spark, sf_dir, 90.0))
 
 
@@ -234,17 +265,76 @@ def a06_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.components(c, "a", "b")
 
 
-@query("m10_cosine", "WITH v AS (SELECT vec_id, embedding FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 50 = 0), s AS (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, round(greatest(0, least(100, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) * 100)), 4) AS score FROM q JOIN v ON v.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s) SELECT query_id, vec_id, score FROM r WHERE rn <= 10")
+QUERY_BLOCK, ROW_CHUNK = 1000, 20_000
+
+
+@query("m10_cosine", "WITH v AS (SELECT vec_id, embedding FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 50 = 0), s AS (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, " + two_places("greatest(0, least(100, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) * 100))") + " AS score FROM q JOIN v ON v.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s) SELECT query_id, vec_id, score FROM r WHERE rn <= 10")
 def m10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest of every vector whose id is divisible by 50: a top-k report.
 
-    Queries are dealt to blocks; each block is kept with its own table side by
-    side, and the best are kept as an aggregate that is summed up before
-    shuffling.
+    A block of queries meets a chunk of rows in one task, so tasks grow in number
+    and not in size. Each task passes on at most ten rows a query: Spark limits
+    ranks before the shuffle.
     """
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a_vector"), F.pmod(F.xxhash64("vec_id"), F.lit(8)).alias("block"))
-    rows = v.select("vec_id", F.col("embedding").alias("b_vector"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("block"))
-    scored = rows.join(q, "block").where("vec_id <> query_id").select("query_id", "vec_id", F.round(matchers.semantic(), 4).alias("score"))
-    best = scored.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, 10).alias("best"))
-    return best.select("query_id", F.explode("best").alias("b")).select("query_id", "b.vec_id", (-F.col("b.s")).alias("score"))
+    n = v.count()
+    chunks, blocks = -(-n // ROW_CHUNK) or 1, -(-n // (50 * QUERY_BLOCK)) or 1
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a_vector"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), every(chunks).alias("chunk"))
+    rows = v.select("vec_id", F.col("embedding").alias("b_vector"), F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).alias("chunk"), every(blocks).alias("block"))
+    scored = rows.join(q, ["chunk", "block"]).where("vec_id <> query_id").select("query_id", "vec_id", matchers.semantic().alias("score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return scored.withColumn("place", place).where("place <= 10").select("query_id", "vec_id", "score")
+
+
+# The same blocks with more than files of parts
+
+
+@query("v06_own_category", FEATURES + ", k AS (SELECT CASE WHEN extension IN ('.jpg', '.png') THEN 'picture' ELSE 'rest' END AS key FROM feats) SELECT key, count(*) AS files FROM k GROUP BY key")
+def v06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks by a category function of the caller's own."""
+    own = lambda e: F.when(e.isin(".jpg", ".png"), "picture").otherwise("rest")
+    files = features(records(part_files(spark, sf_dir), Config().normalization), own)
+    return blocking.block_keys(files, OPTIONS, ["category"]).groupBy("key").agg(F.count("*").alias("files"))
+
+
+@query("v01_own_matcher", _pairs(blocking.KINDS) + "SELECT path_a, path_b, 100.0::DOUBLE AS score FROM pairs p JOIN feats a ON a.path = path_a JOIN feats b ON b.path = path_b WHERE a.size % 1000 = b.size % 1000")
+def v01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A matcher of the caller's own, as the only one."""
+
+    @matchers.matcher("same_rest")
+    def same_rest() -> Column:
+        return F.when(F.col("a_size") % 1000 == F.col("b_size") % 1000, 100.0).otherwise(0.0)
+
+    try:
+        found = attached(spark, sf_dir, "size").select("path_a", "path_b", matchers.registry()["same_rest"]().alias("score"))
+    finally:
+        matchers.unregister("same_rest")
+    return found.where("score > 0")
+
+
+# Exports, read back
+
+
+def _export(number: int, kind: str, back: Callable[[SparkSession, str], DataFrame], write: Callable[[DataFrame, str], None]) -> None:
+    @query(f"k0{number}_export_{kind}", _SCORED + "SELECT path_a, path_b, file_a_size, file_b_size, confidence_score, category, exact_match FROM matches JOIN (SELECT path_a, path_b, exact_match FROM parts) USING (path_a, path_b) WHERE confidence_score >= 80")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = store.new_path(spark, kind)
+        write(native_matches(spark, sf_dir, 80.0), path)
+        return back(spark, path).select("path_a", "path_b", F.col("file_a_size").cast("long"), F.col("file_b_size").cast("long"), F.col("confidence_score").cast("double"), "category", F.col("exact_match").cast("double"))
+
+
+_from_text = lambda d, c: d.withColumn("exact_match", F.get_json_object(c, "$.exact_match"))
+_export(1, "csv", lambda spark, p: _from_text(spark.read.option("header", True).option("escape", '"').csv(p), "scores"), sinks.write_csv)
+_export(2, "json", lambda spark, p: spark.read.json(p).withColumn("exact_match", F.col("scores.exact_match")), sinks.write_json)
+_export(3, "columns", lambda spark, p: _from_text(spark.read.parquet(p), "scores_json"), sinks.write_columns)
+
+
+@query("k07_clear", _SCORED + "SELECT count(*) AS before, 0::BIGINT AS after FROM matches WHERE confidence_score >= 80")
+def k07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored matches before and after the table is emptied."""
+    path = store.new_path(spark, "matches")
+    caches.write_matches(native_matches(spark, sf_dir, 80.0), path)
+    before = caches.read_matches(spark, path).agg(F.count("*").alias("before"))
+    caches.clear(spark, path)
+    return before.crossJoin(caches.read_matches(spark, path).agg(F.count("*").alias("after")))  # one row each

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from simigraph.config import Config, Scan
 from simigraph.functions import names
 from simigraph.plans.registry import query
-from simigraph.sources import catalog
+from simigraph.sources import caches, catalog
 from simigraph.sources.catalog import DOCUMENT_FILES, PART_FILES, document_files, part_files
 
 OPTIONS = Config().normalization
@@ -24,12 +24,22 @@ def _in(values: tuple[str, ...]) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
-CATEGORY = "CASE " + " ".join(f"WHEN {{x}} IN ({_in(v)}) THEN '{k}'" for k, v in names.CATEGORIES.items()) + " ELSE 'other' END"
+# Fixed values, apart from those in names.
+CATEGORY = """CASE WHEN {x} IN ('.mp4', '.mkv', '.avi', '.mov', '.wmv', '.flv', '.webm', '.mpeg', '.mpg', '.m4v', '.ts', '.m2ts') THEN 'video'
+  WHEN {x} IN ('.mp3', '.flac', '.wav', '.aac', '.m4a', '.wma', '.ogg', '.ape', '.opus') THEN 'audio'
+  WHEN {x} IN ('.jpg', '.jpeg', '.png', '.gif', '.bmp', '.webp', '.tiff', '.heic') THEN 'image'
+  WHEN {x} IN ('.txt', '.pdf', '.doc', '.docx', '.xls', '.xlsx', '.ppt', '.pptx', '.md', '.json', '.yaml', '.yml') THEN 'document' ELSE 'other' END"""
+PRESETS = {
+    "videos": "'.mp4', '.mkv', '.avi', '.mov', '.wmv', '.flv', '.webm', '.mpeg', '.mpg', '.m4v', '.ts', '.f4v', '.3gp', '.vob'",
+    "images": "'.jpg', '.jpeg', '.png', '.gif', '.bmp', '.webp', '.tiff'",
+    "documents": "'.pdf', '.doc', '.docx', '.txt', '.rtf', '.xls', '.xlsx', '.csv'",
+    "audio": "'.mp3', '.wav', '.flac', '.aac', '.ogg', '.m4a'",
+}
 
 
-def _normalized_sql(stem: str) -> str:
+def _normalized_sql(stem: str, own: tuple[str, ...] = ()) -> str:
     s = f"regexp_replace(lower({stem}), '{names.SEPARATORS}', ' ', 'g')"
-    for p in (names.HASHES, names.GROUPS, *names.TAG_PATTERNS):
+    for p in (names.HASHES, names.GROUPS, *names.TAG_PATTERNS, *own):
         s = f"regexp_replace({s}, '{p}', ' ', 'gi')"
     s = f"regexp_replace({s}, '[^\\w\\s]', ' ', 'g')"
     return f"trim(regexp_replace({s}, '\\s+', ' ', 'g'))"
@@ -64,7 +74,7 @@ def s05(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("s07_cache_keys", PARTS + "SELECT path, mtime, size FROM files")
 def s07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return part_files(spark, sf_dir).select("path", "mtime", "size")
+    return caches.cache_keys(part_files(spark, sf_dir))
 
 
 @query("s15_preview", DOCS + "SELECT path, size FROM files ORDER BY path LIMIT 30")
@@ -84,11 +94,20 @@ def f01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.col("extension").isin(".mkv", ".pdf"))
 
 
-@query("f02_type_preset", PARTS + "SELECT preset, count(*) AS files FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS preset FROM files WHERE {EXT} IN ({_in(v)})" for k, v in names.PRESETS.items()) + " UNION ALL SELECT 'all' FROM files) GROUP BY preset")
+# Every extension of any list, and some of none, by the part's key.
+_ANY = ".mp4 .mkv .avi .mov .wmv .flv .webm .mpeg .mpg .m4v .ts .m2ts .f4v .3gp .vob .jpg .jpeg .png .gif .bmp .webp .tiff .heic .pdf .doc .docx .txt .rtf .xls .xlsx .csv .ppt .pptx .md .json .yaml .yml .mp3 .wav .flac .aac .ogg .m4a .wma .ape .opus .exe .MKV".split()
+_ANY_SQL = f"SELECT p_partkey, lower(([{', '.join(repr(e) for e in _ANY)}])[CAST(p_partkey % {len(_ANY)} AS INTEGER) + 1]) AS ext FROM part"
+
+
+def any_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.element_at(F.array(*map(F.lit, _ANY)), (F.col("p_partkey") % len(_ANY)).cast("int") + 1)
+    return catalog.table(spark, sf_dir, "part").select("p_partkey", names.suffix(F.concat(F.lit("a"), e)).alias("ext"))
+
+
+@query("f02_type_preset", f"WITH f AS ({_ANY_SQL}) SELECT preset, ext, count(*) AS files FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS preset, ext FROM f WHERE ext IN ({v})" for k, v in PRESETS.items()) + " UNION ALL SELECT 'all', ext FROM f) GROUP BY preset, ext")
 def f02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ext = names.suffix(names.basename(F.col("path")))
-    kinds = F.array(*[F.when(names.in_preset(ext, p), F.lit(p)) for p in (*names.PRESETS, "all")])
-    return part_files(spark, sf_dir).select(F.explode(F.array_compact(kinds)).alias("preset")).groupBy("preset").agg(F.count("*").alias("files"))
+    kinds = F.array(*[F.when(names.in_preset(F.col("ext"), p), F.lit(p)) for p in (*names.PRESETS, "all")])
+    return any_extension(spark, sf_dir).select(F.explode(F.array_compact(kinds)).alias("preset"), "ext").groupBy("preset", "ext").agg(F.count("*").alias("files"))
 
 
 @query("f03_folder_scope", PARTS + "SELECT path FROM files WHERE starts_with(path, '/lib/brand_1') OR starts_with(path, '/lib/brand_25')")
@@ -112,10 +131,11 @@ def x01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_rows(spark, sf_dir).groupBy("filename").agg(F.min("normalized_name").alias("normalized_name"), F.min(F.array_join("tokens", "|")).alias("tokens"))
 
 
-@query("x02_clean_spaces", r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), '\s+', ' ', 'g'))) AS cleaned FROM documents")
+@query("x02_clean_spaces", r"SELECT doc_id, md5(trim(regexp_replace(text || chr(8195) || 'x' || chr(160) || chr(133), '[\s\x0B\x{85}\p{Z}]+', ' ', 'g'))) AS cleaned FROM documents")
 def x02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ascii_ = F.regexp_replace("text", r"[^\x00-\x7F]", "")
-    return catalog.table(spark, sf_dir, "documents").select("doc_id", F.md5(names.clean_spaces(ascii_)).alias("cleaned"))
+    """Whole texts, with white space beyond ASCII at the end."""
+    text = F.concat("text", F.lit("\u2003x\u00a0\u0085"))
+    return catalog.table(spark, sf_dir, "documents").select("doc_id", F.md5(names.clean_spaces(text)).alias("cleaned"))
 
 
 @query("x04_token_signature", RECORDS + " SELECT path, CASE WHEN len(tokens) = 0 THEN '' ELSE left(md5(array_to_string(list_sort(tokens), '|')), 12) END AS signature FROM records")
@@ -128,9 +148,9 @@ def x05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_rows(spark, sf_dir).groupBy(names.length_bucket(F.col("normalized_name")).alias("length_bucket")).agg(F.count("*").alias("files"))
 
 
-@query("x06_ext_category", PARTS + f"SELECT {EXT} AS extension, {CATEGORY.format(x=EXT)} AS category, count(*) AS files FROM files GROUP BY 1, 2")
+@query("x06_ext_category", f"WITH f AS ({_ANY_SQL}) SELECT ext AS extension, {CATEGORY.format(x='ext')} AS category, count(*) AS files FROM f GROUP BY 1, 2")
 def x06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = part_files(spark, sf_dir).select(names.suffix(names.basename(F.col("path"))).alias("extension"))
+    rows = any_extension(spark, sf_dir).withColumnRenamed("ext", "extension")
     return rows.groupBy("extension", names.category(F.col("extension")).alias("category")).agg(F.count("*").alias("files"))
 
 
@@ -194,3 +214,10 @@ def x22(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a14(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = F.transform(names.char_counts(F.col("p_name")), lambda e: F.concat(e["c"], F.lit(":"), e["n"].cast("string")))
     return catalog.table(spark, sf_dir, "part").select("p_name").distinct().select("p_name", F.array_join(counted, ",").alias("chars"))
+
+
+@query("v03_own_pattern", f"WITH files AS ({PART_FILES}), " + _NAMED.replace(_normalized_sql(STEM), _normalized_sql(STEM, ("\\bfinal\\b", "gr[ae]y"))) + " SELECT path, normalized_name FROM records")
+def v03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names without patterns of the caller's own; one that doesn't compile is passed over."""
+    options = Config().merged({"normalization": {"remove_patterns": [r"\bfinal\b", "gr[ae]y", "("]}}).normalization
+    return catalog.records(part_files(spark, sf_dir), options).select("path", "normalized_name")

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simigraph import store
+from simigraph.config import Config
+from simigraph.functions import names
+from simigraph.functions.digests import full_hash
 from simigraph.operators import incremental
 from simigraph.plans.registry import query
-from simigraph.sources import caches
+from simigraph.progress import Progress
+from simigraph.sources import caches, catalog
 from simigraph.sources.catalog import DOCUMENT_FILES, document_files, table
 from simigraph.streaming import scans
 
@@ -83,23 +90,87 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+BUCKETS = 2
+
+
 @query("r01_stream_catalog", "SELECT CAST(user_id AS VARCHAR) AS path, max(epoch_us(ts)) / 1000000.0::DOUBLE AS mtime FROM events GROUP BY user_id")
 def r01(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as versions of a file for each user; the stream keeps the latest."""
     versions = event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("size"), (F.unix_micros("ts") / 1e6).alias("mtime"))
     path = store.new_path(spark, "stream")
-    scans.keep_catalog(versions, f"{path}/catalog", f"{path}/log").awaitTermination()
-    return spark.read.parquet(f"{path}/catalog").select("path", "mtime")
+    scans.keep_catalog(versions, f"{path}/catalog", f"{path}/log", BUCKETS).awaitTermination()
+    return scans.read_catalog(spark, f"{path}/catalog", "path string, size long, mtime double", BUCKETS).select("path", "mtime")
 
 
-@query("r02_stream_dedup", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1, 2")
-def r02(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("r01_stream_dedup", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1, 2")
+def r01_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first event of each user and type; the watermark is longer than the data, so all later ones go."""
     first = scans.first_in_window(event_stream(spark, sf_dir), ["user_id", "event_type"], late="3650 days")
     return scans.drain(first, "dedup").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
-@query("r03_latest_version", "SELECT user_id AS path, max(ts) AS ts FROM events GROUP BY user_id")
-def r03(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("k04_latest_version", "SELECT user_id AS path, max(ts) AS ts FROM events GROUP BY user_id")
+def k04_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), F.col("ts").alias("mtime"), F.col("event_id").alias("size"))
     return incremental.latest(e).select("path", F.col("mtime").alias("ts"))
+
+
+class Stopped(Exception):
+    pass
+
+
+def resumed(files: DataFrame, make: Callable[[DataFrame], DataFrame], made: str) -> DataFrame:
+    """What two runs make of files (path, a number): the first is stopped after two of four batches. ``run`` is the one that made a row."""
+    spark = files.sparkSession
+    cache, schema = store.new_path(spark, "resumed"), f"path string, mtime double, {made}, run int"
+    batch = F.col("path").cast("long") % 4
+
+    def stop(p: Progress) -> None:
+        if p.done == 2:
+            raise Stopped
+
+    with contextlib.suppress(Stopped):
+        incremental.resumable(files, cache, lambda todo: make(todo).withColumn("run", F.lit(1)), schema, 4, batch, stop)
+    return incremental.resumable(files, cache, lambda todo: make(todo).withColumn("run", F.lit(2)), schema, 4, batch)
+
+
+@query("r03_resumed_hashing", "SELECT doc_id, sha256(text) AS sha256, CASE WHEN doc_id % 4 < 2 THEN 1 ELSE 2 END AS run FROM documents")
+def r03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full hashes by batches, into a cache; the first run is stopped after two batches, the second makes the others."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit(1.0).alias("mtime"), F.col("text").cast("binary").alias("content"))
+    out = resumed(d, lambda todo: todo.select("path", "mtime", full_hash(F.col("content")).alias("sha256")), "sha256 string")
+    return out.select(F.col("path").cast("long").alias("doc_id"), "sha256", "run")
+
+
+@query("s10_digest_cache", f"SELECT lower(path) AS path_key, CAST(mtime AS BIGINT) AS ticks, size, sha256(content) AS sha256 FROM ({DOCUMENT_FILES})")
+def s10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests written to their cache and read back."""
+    path = store.new_path(spark, "digests")
+    files = document_files(spark, sf_dir)
+    caches.write_digests(files.select(F.upper("path").alias("path"), F.col("mtime").cast("long").alias("ticks"), "size", full_hash(F.col("content")).alias("sha256")), path)
+    return caches.read_digests(spark, path, lines=True)
+
+
+@query("s01_list_files", "SELECT 'n_regionkey=' || CAST(n_regionkey AS VARCHAR) AS folder, CAST(sum(strlen(n_name) + 1) AS BIGINT) AS bytes FROM nation GROUP BY 1")
+def s01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text files of the nations in a folder for each region, listed without reading them."""
+    path = store.new_path(spark, "files")
+    table(spark, sf_dir, "nation").select("n_name", "n_regionkey").write.partitionBy("n_regionkey").text(path)
+    listed = catalog.without(catalog.list_files(spark, [path], extensions=[".TXT"]), [f"{path}/_SUCCESS"])
+    return listed.groupBy(names.basename(names.parent(F.col("path"))).alias("folder")).agg(F.sum("size").alias("bytes"))
+
+
+@query("f13_own_cache", f"SELECT path FROM ({DOCUMENT_FILES}) WHERE path NOT LIKE '%/doc_3.txt'")
+def f13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan that leaves out the engine's own file, however its name is written."""
+    files = document_files(spark, sf_dir).select("path")
+    own = [f"/SRC{k}\\{lang}\\DOC_3.TXT" for k in range(100) for lang in ("EN", "DE", "FR", "ES")]
+    return catalog.without(files, own)
+
+
+@query("s14_config", "SELECT * FROM (VALUES ('weights.exact_match', '1.0'), ('weights.token_similarity', '20.0'), ('weights.fuzzy_similarity', '15.0'), ('scan.exclude_folders', '.git,tmp'), ('thresholds.weak', '40.0'), ('blocking.max_block_size', '100'), ('blocking.prefix_length', '4')) v(name, value)")
+def s14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options after a nested mapping is merged into the defaults."""
+    c = Config().merged({"weights": {"exact_match": 1.0}, "scan": {"exclude_folders": [".git", "tmp"]}, "blocking": {"max_block_size": 100}, "unknown": 1})
+    shown = {"weights.exact_match": c.weights.exact_match, "weights.token_similarity": c.weights.token_similarity, "weights.fuzzy_similarity": c.weights.fuzzy_similarity, "scan.exclude_folders": ",".join(c.scan.exclude_folders), "thresholds.weak": c.thresholds.weak, "blocking.max_block_size": c.blocking.max_block_size, "blocking.prefix_length": c.blocking.prefix_length}
+    return spark.createDataFrame([(k, str(v)) for k, v in shown.items()], "name string, value string")

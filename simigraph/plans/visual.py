@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simigraph import store
-from simigraph.functions.digests import average_hash, frame_match_percent, visual_signature
+from simigraph.functions.digests import average_hash, frame_match_percent, frames_of, visual_signature
 from simigraph.operators import visual
 from simigraph.plans.registry import query
-from simigraph.sources.catalog import embedding_frames, event_durations, table
+from simigraph.plans.state import resumed
+from simigraph.sources import caches
+from simigraph.sources.catalog import BLEND, embedding_frames, event_durations, table
 
-#: Differing bits at which the test data has near frames.
-NEAR = 20
-HASHES = """WITH px AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), mean AS (SELECT vec_id, label, e, list_sum(e) / 64 AS m FROM px),
+HASHES = f"""WITH raw AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), cells AS (SELECT label, i, avg(v[i]) AS m FROM raw, range(1, 65) AS r(i) GROUP BY label, i), shots AS (SELECT label, list(m ORDER BY i) AS c FROM cells GROUP BY label),
+px AS (SELECT vec_id, label, list_transform(range(1, 65), lambda i: v[i] * (1 - {BLEND}::DOUBLE) + c[i] * {BLEND}::DOUBLE) AS e FROM raw JOIN shots USING (label)), mean AS (SELECT vec_id, label, e, list_sum(e) / 64 AS m FROM px),
 h AS (SELECT vec_id AS frame, CAST(label AS BIGINT) AS video, list_reduce(list_concat([0::BIGINT], list_transform(list_slice(e, 2, 64), lambda v: CASE WHEN v >= m THEN 1::BIGINT ELSE 0::BIGINT END)), lambda a, b: a * 2 + b) + CASE WHEN e[1] >= m THEN (-9223372036854775807 - 1)::BIGINT ELSE 0::BIGINT END AS hash FROM mean)"""
 
 
@@ -33,18 +34,18 @@ def x11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "frame").select("frame", F.bit_count(F.col("hash").bitwiseXOR(F.col("other"))).alias("bits"))
 
 
-@query("j11_hamming_pairs", HASHES + f" SELECT a.frame AS id_a, b.frame AS id_b, CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS bits FROM h a JOIN h b ON a.frame < b.frame WHERE bit_count(xor(a.hash, b.hash)) <= {NEAR}")
+@query("j11_hamming_pairs", HASHES + f" SELECT a.frame AS id_a, b.frame AS id_b, CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS bits FROM h a JOIN h b ON a.frame < b.frame WHERE bit_count(xor(a.hash, b.hash)) <= {visual.DISTANCE}")
 def j11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return visual.near_hashes(hashes(spark, sf_dir).select(F.col("frame").alias("id"), "hash"), NEAR)
+    return visual.near_hashes(hashes(spark, sf_dir).select(F.col("frame").alias("id"), "hash"))
 
 
-# A video for each five frames, so that there are many.
+# A video for each shot and each remainder of its frames by five, so that there are many.
 
-PRINTS = HASHES + ", v AS (SELECT frame // 5 AS video, frame, hash FROM h), prints AS (SELECT video, list(hash ORDER BY frame) AS hashes FROM v GROUP BY video)"
+PRINTS = HASHES + ", v AS (SELECT video * 5 + frame % 5 AS video, frame, hash FROM h), prints AS (SELECT video, list(hash ORDER BY frame) AS hashes FROM v GROUP BY video)"
 
 
 def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = embedding_frames(spark, sf_dir).withColumn("video", F.floor(F.col("frame") / 5))
+    frames = embedding_frames(spark, sf_dir).withColumn("video", F.col("video") * 5 + F.col("frame") % 5)
     return visual.fingerprints(frames)
 
 
@@ -62,27 +63,36 @@ def j10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visual.signature_pairs(o.select(F.col("o_orderkey").alias("video"), F.array(F.col("o_custkey").cast("long"), status).alias("hashes")))
 
 
-_COMPARED = PRINTS + f", c AS (SELECT a.video AS video_a, b.video AS video_b, count(DISTINCT x.frame) AS matched, any_value(len(a.hashes)) AS na, any_value(len(b.hashes)) AS nb FROM prints a JOIN prints b ON a.video < b.video JOIN v x ON x.video = a.video JOIN v y ON y.video = b.video AND bit_count(xor(x.hash, y.hash)) <= {NEAR} GROUP BY 1, 2) "
+_COMPARED = PRINTS + f", c AS (SELECT a.video AS video_a, b.video AS video_b, count(DISTINCT x.frame) AS matched, any_value(len(a.hashes)) AS na, any_value(len(b.hashes)) AS nb FROM prints a JOIN prints b ON a.video < b.video JOIN v x ON x.video = a.video JOIN v y ON y.video = b.video AND bit_count(xor(x.hash, y.hash)) <= {visual.DISTANCE} GROUP BY 1, 2) "
 
 
 @query("x13_frame_match", _COMPARED + "SELECT video_a, video_b, matched / least(na, nb)::DOUBLE * 100 AS percent FROM c")
 def x13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return visual.frame_matches(store.materialise(prints(spark, sf_dir), "prints"), NEAR)
+    return visual.frame_matches(store.materialise(prints(spark, sf_dir), "prints"))
 
 
-@query("f12_video_matches", _COMPARED + "SELECT video_a, video_b, matched / least(na, nb)::DOUBLE * 100 AS percent FROM c WHERE matched / least(na, nb)::DOUBLE * 100 >= 20")
+@query("f12_video_matches", _COMPARED + "SELECT video_a, video_b, matched / least(na, nb)::DOUBLE * 100 AS percent FROM c WHERE matched / least(na, nb)::DOUBLE * 100 >= 70")
 def f12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return visual.match_videos(store.materialise(prints(spark, sf_dir), "prints"), NEAR, 20.0)
+    return visual.match_videos(store.materialise(prints(spark, sf_dir), "prints"))
 
 
-@query("a13_given_pairs", PRINTS + f", m AS (SELECT a.video AS video, len(list_filter(a.hashes, lambda x: len(list_filter(b.hashes, lambda y: bit_count(xor(x, y)) <= 24)) > 0)) AS matched, least(len(a.hashes), len(b.hashes)) AS n FROM prints a JOIN prints b ON b.video = a.video + 1) SELECT video, matched / n::DOUBLE * 100 AS percent FROM m")
+@query("a13_given_pairs", PRINTS + f", m AS (SELECT a.video AS video, len(list_filter(a.hashes, lambda x: len(list_filter(b.hashes, lambda y: bit_count(xor(x, y)) <= {visual.DISTANCE})) > 0)) AS matched, least(len(a.hashes), len(b.hashes)) AS n FROM prints a JOIN prints b ON b.video = a.video + 1) SELECT video, matched / n::DOUBLE * 100 AS percent FROM m")
 def a13(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = store.materialise(prints(spark, sf_dir), "prints")
     b = a.select((F.col("video") - 1).alias("video"), F.col("hashes").alias("other"))
-    return a.join(b, "video").select("video", frame_match_percent(F.col("hashes"), F.col("other"), 24).alias("percent"))
+    return a.join(b, "video").select("video", frame_match_percent(F.col("hashes"), F.col("other"), visual.DISTANCE).alias("percent"))
 
 
-@query("a05_duration_groups")
+_DURATIONS = "SELECT CAST(event_id AS VARCHAR) AS path, value AS duration FROM events WHERE value IS NOT NULL"
+# One step for each distinct duration, in the order of its first path, with the leaders so far.
+LEADERS = f"""WITH RECURSIVE f AS ({_DURATIONS}), firsts AS (SELECT duration, row_number() OVER (ORDER BY min(path)) AS k FROM f GROUP BY duration),
+steps AS (SELECT 0::BIGINT AS k, NULL::DOUBLE AS duration, NULL::DOUBLE AS leader, []::DOUBLE[] AS leaders
+  UNION ALL SELECT n.k, n.duration, n.lead, CASE WHEN n.lead = n.duration AND NOT list_contains(n.leaders, n.duration) THEN list_append(n.leaders, n.duration) ELSE n.leaders END
+  FROM (SELECT x.k, x.duration, s.leaders, coalesce(list_filter(s.leaders, lambda l: abs(x.duration - l) <= 5)[1], x.duration) AS lead FROM steps s JOIN firsts x ON x.k = s.k + 1) n),
+led AS (SELECT f.path, f.duration, steps.leader, count(*) OVER (PARTITION BY steps.leader) AS n FROM f JOIN steps ON steps.duration = f.duration)"""
+
+
+@query("a05_duration_groups", LEADERS + " SELECT path, duration, leader FROM led WHERE n > 1")
 def a05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visual.duration_groups(event_durations(spark, sf_dir))
 
@@ -95,3 +105,60 @@ def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = d.select(F.col("d").alias("a"), F.explode(F.array(cell, cell + 1)).alias("cell"))
     b = d.select(F.col("d").alias("b"), cell.alias("cell"))
     return a.join(b, "cell").where((F.col("a") < F.col("b")) & (F.col("b") - F.col("a") <= 0.05)).groupBy("a").agg(F.count("*").alias("near"))
+
+
+VIDEO_DURATIONS = PRINTS + ", files AS (SELECT video AS path, CAST(video * 7919 % 11 AS DOUBLE) AS duration FROM prints)"
+
+
+def videos(prints_: DataFrame) -> DataFrame:
+    return prints_.select(F.col("video").alias("path"), (F.col("video") * 7919 % 11).cast("double").alias("duration"))
+
+
+# Durations are 0 to 10 and the tolerance is 5, so there are three leaders at most; they are found one after the other.
+_VIDEO_GROUPS = (
+    VIDEO_DURATIONS.replace("WITH raw", "WITH RECURSIVE raw", 1)
+    + """, l1 AS (SELECT min_by(duration, path) AS d FROM files), l2 AS (SELECT min_by(duration, path) AS d FROM files, l1 WHERE abs(duration - l1.d) > 5),
+l3 AS (SELECT min_by(duration, path) AS d FROM files, l1, l2 WHERE abs(duration - l1.d) > 5 AND abs(duration - l2.d) > 5),
+leads AS (SELECT path, CASE WHEN abs(duration - l1.d) <= 5 THEN l1.d WHEN abs(duration - l2.d) <= 5 THEN l2.d ELSE l3.d END AS leader FROM files, l1, l2, l3),
+c AS (SELECT a.video AS video_a, b.video AS video_b, count(DISTINCT x.frame) AS matched, any_value(len(a.hashes)) AS na, any_value(len(b.hashes)) AS nb FROM prints a JOIN prints b ON a.video < b.video JOIN v x ON x.video = a.video JOIN v y ON y.video = b.video AND bit_count(xor(x.hash, y.hash)) <= 10 GROUP BY 1, 2),
+e AS (SELECT video_a AS a, video_b AS b FROM c JOIN leads p ON p.path = video_a JOIN leads q ON q.path = video_b WHERE p.leader = q.leader AND matched / least(na, nb)::DOUBLE * 100 >= 70),
+both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS seen FROM both_ UNION SELECT r.node, both_.b FROM r JOIN both_ ON r.seen = both_.a)
+SELECT node AS path, min(seen) AS "group" FROM r GROUP BY node"""
+)
+
+
+@query("a06_video_groups", _VIDEO_GROUPS)
+def a06_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Video mode from durations and fingerprints to groups."""
+    found = store.materialise(prints(spark, sf_dir), "prints")
+    return visual.video_groups(videos(found), found)
+
+
+@query("s09_fingerprint_cache", PRINTS + " SELECT video, len(hashes) AS frames, hashes[1] AS first, hashes[len(hashes)] AS last FROM prints")
+def s09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints written to their cache, as unsigned text, and read back."""
+    path = caches.fingerprint_path(store.new_path(spark, "prints"), "1/10")
+    caches.write_fingerprints(prints(spark, sf_dir).select(F.col("video").cast("string").alias("path"), F.lit(1.5).alias("mtime"), "hashes"), path)
+    back = caches.read_fingerprints(spark, path, lines=True)
+    return back.select(F.col("path").cast("long").alias("video"), F.size("hashes").cast("long").alias("frames"), F.element_at("hashes", 1).alias("first"), F.element_at("hashes", -1).alias("last"))
+
+
+@query("r02_resumed_fingerprints", PRINTS + " SELECT video, hashes[1] AS first, CASE WHEN video % 4 < 2 THEN 1 ELSE 2 END AS run FROM prints")
+def r02_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints by batches, into a cache; the first run is stopped after two batches, the second makes the others."""
+    shots = embedding_frames(spark, sf_dir).withColumn("video", F.col("video") * 5 + F.col("frame") % 5)
+    files = shots.groupBy(F.col("video").cast("string").alias("path")).agg(F.lit(1.0).alias("mtime"))
+    return resumed(files, lambda todo: visual.fingerprints(shots.join(todo.select(F.col("path").cast("long").alias("video")), "video", "left_semi")).select(F.col("video").cast("string").alias("path"), F.lit(1.0).alias("mtime"), F.element_at("hashes", 1).alias("first")), "first long").select(F.col("path").cast("long").alias("video"), "first", "run")
+
+
+# Raw gray bytes as a decoder writes them: the first 128 characters of each part's names.
+
+_RAW = "WITH raw AS (SELECT p_partkey, rpad(p_name || p_type || p_brand, 130, '.') AS s FROM part), bytes AS (SELECT p_partkey, f, list_transform(range(1, 65), lambda i: CAST(ascii(substr(s, CAST(f * 64 + i AS BIGINT), 1)) AS DOUBLE)) AS e FROM raw, range(0, 2) AS r(f)), mean AS (SELECT *, list_sum(e) / 64 AS m FROM bytes)"
+
+
+@query("s12_raw_frames", _RAW + ", h AS (SELECT p_partkey, f, list_reduce(list_concat([0::BIGINT], list_transform(list_slice(e, 2, 64), lambda v: CASE WHEN v >= m THEN 1::BIGINT ELSE 0::BIGINT END)), lambda a, b: a * 2 + b) + CASE WHEN e[1] >= m THEN (-9223372036854775807 - 1)::BIGINT ELSE 0::BIGINT END AS hash FROM mean) SELECT p_partkey, CAST(f AS INTEGER) AS frame, hash FROM h")
+def s12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """130 bytes are two frames; what is left over is dropped."""
+    raw = F.rpad(F.concat("p_name", "p_type", "p_brand"), 130, ".").cast("binary")
+    frames = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(frames_of(raw)).alias("frame", "pixels"))
+    return frames.select("p_partkey", "frame", average_hash(F.col("pixels")).alias("hash"))

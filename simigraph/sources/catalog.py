@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +45,11 @@ def scan(files: DataFrame, options: Scan, root: str = "") -> DataFrame:
     return kept
 
 
+def without(files: DataFrame, own: Sequence[str]) -> DataFrame:
+    """Without the engine's own files, such as a cache in a scanned folder."""
+    return files.where(~names.norm_case(F.col("path")).isin(*[p.replace("\\", "/").lower() for p in own]))
+
+
 def records(files: DataFrame, options: Normalization) -> DataFrame:
     """File records from path, size and mtime; other columns are dropped."""
     name = names.basename(F.col("path"))
@@ -54,14 +59,14 @@ def records(files: DataFrame, options: Normalization) -> DataFrame:
     return split.select("path", "filename", "extension", "size", "mtime", "parent_folder", joined.alias("normalized_name"), "tokens")
 
 
-def features(records_: DataFrame) -> DataFrame:
-    """All that blocking and matching need of one file, computed once for each file."""
+def features(records_: DataFrame, category: Callable[[Column], Column] = names.category) -> DataFrame:
+    """All that blocking and matching need of one file, computed once for each file; ``category`` is of the extension."""
     n, f = F.col("normalized_name"), F.col("filename")
     return records_.select(
         "*",
         names.token_signature(F.col("tokens")).alias("token_signature"),
         names.length_bucket(n).alias("length_bucket"),
-        names.category(F.col("extension")).alias("extension_category"),
+        category(F.col("extension")).alias("extension_category"),
         F.array_distinct("tokens").alias("token_set"),
         names.ngrams(n, 2).alias("bigrams"),
         names.ngrams(n, 3).alias("trigrams"),
@@ -120,9 +125,16 @@ def part_records(spark: SparkSession, sf_dir: str, config: Config | None = None)
     return features(records(part_files(spark, sf_dir), (config or Config()).normalization))
 
 
+#: How far a frame of the test data is moved towards the mean of its shot.
+BLEND = 0.9
+
+
 def embedding_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector as an 8x8 frame; its label is the video, its id the frame's place."""
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.col("label").cast("long").alias("video"), F.col("embedding").alias("pixels"))
+    """Each vector as an 8x8 frame of the shot that its label names; frames of a shot resemble each other, so they lie near its mean."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.col("label").cast("long").alias("video"), F.col("embedding").cast("array<double>").alias("e"))
+    cells = e.select("video", F.posexplode("e").alias("i", "v")).groupBy("video", "i").agg(F.avg("v").alias("m"))
+    means = cells.groupBy("video").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda c: c["m"]).alias("mean"))  # 64 cells of a shot
+    return e.join(means, "video").select("frame", "video", F.zip_with("e", "mean", lambda v, m: v * (1 - BLEND) + m * BLEND).alias("pixels"))
 
 
 def event_durations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,5 +83,7 @@ def action_plan(selected: DataFrame, action: str = "dry_run", backup_dir: str |
     once = selected.select("path").distinct()
     target = F.concat(F.lit((backup_dir or "").rstrip("/") + "/"), names.basename(F.col("path"))) if action == "move" else F.lit(None).cast("string")
     plan = once.select("path", F.lit(action).alias("action"), target.alias("target"))
-    collides = F.count("target").over(Window.partitionBy("target")) > 1 if action == "move" else F.lit(False)
-    return plan.withColumn("collides", collides)
+    if action != "move":
+        return plan.withColumn("collides", F.lit(False))
+    twice = plan.groupBy("target").agg(F.count("*").alias("_n")).where("_n > 1").withColumn("collides", F.lit(True)).drop("_n")
+    return plan.join(twice, "target", "left").select("path", "action", "target", F.coalesce("collides", F.lit(False)).alias("collides"))

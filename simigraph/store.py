@@ -2,56 +2,125 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
+_local: dict[str, str] = {}
+_shipped: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where that is unset."""
+    """``spark.checkpoint.dir`` of the session; in local mode a temporary folder where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="simigraph-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="simigraph-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        _local[app] = f"file://{path}"
+    return _local[app]
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/simigraph/{tag}-{uuid.uuid4().hex}"
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _path(spark, path)
+    return fs.exists(p)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write and read again: cuts the lineage, survives lost executors."""
-    path = new_path(df.sparkSession, tag)
+    spark = df.sparkSession
+    path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def move(spark: SparkSession, source: str, target: str) -> None:
-    """Put a finished table in another's place."""
-    jvm = spark._jvm.org.apache.hadoop.fs.Path
-    fs = jvm(target).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(jvm(target), True)
-    fs.mkdirs(jvm(target).getParent())
-    if not fs.rename(jvm(source), jvm(target)):
-        raise OSError(f"can't move {source} to {target}")
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialise`` wrote, once nothing reads it any more."""
+    for t in tables:
+        delete_path(t.sparkSession, t.stored_at)
 
 
-_shipped: set[str] = set()
+# Tables that are replaced as a whole: a folder for each version, and a file for each commit.
+
+
+def versions(spark: SparkSession, table: str) -> list[int]:
+    """Numbers of the committed versions, in order."""
+    fs, p = _path(spark, f"{table}/_commits")
+    return sorted(int(f.getPath().getName()) for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def current(spark: SparkSession, table: str) -> str | None:
+    """Folder of the newest version; none of a table that was never written."""
+    found = versions(spark, table)
+    return f"{table}/v{found[-1]}" if found else None
+
+
+def replace(df: DataFrame, table: str, keep: int = 2) -> str:
+    """Write a new version of the table and commit it by an empty file of its number.
+
+    The file is made at once and only if no other writer has made it. Until then
+    readers see the version before, and a writer that dies leaves it as it is.
+    The newest ``keep`` versions stay, for readers that have begun.
+    """
+    spark = df.sparkSession
+    done = versions(spark, table)
+    number = done[-1] + 1 if done else 1
+    folder = f"{table}/v{number}"
+    df.write.mode("overwrite").option("compression", "zstd").parquet(folder)
+    commit(spark, table, number)
+    for old in done[: max(0, len(done) + 1 - keep)]:
+        delete_path(spark, f"{table}/_commits/{old}")
+        delete_path(spark, f"{table}/v{old}")
+    return folder
+
+
+def commit(spark: SparkSession, table: str, number: int) -> None:
+    fs, p = _path(spark, f"{table}/_commits/{number}")
+    try:
+        fs.create(p, False).close()
+    except Py4JJavaError as e:
+        raise FileExistsError(f"another writer has committed version {number} of {table}") from e
+
+
+def read(spark: SparkSession, table: str) -> DataFrame | None:
+    folder = current(spark, table)
+    return spark.read.parquet(folder) if folder else None
 
 
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors, which need not have it installed."""
-    import os
-    import zipfile
-    from pathlib import Path
-
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     root = Path(__file__).resolve().parent
-    fd, name = tempfile.mkstemp(suffix=".zip", prefix=f"{root.name}-core-")
+    fd, name = tempfile.mkstemp(suffix=".zip", prefix=f"{root.name}-")
     os.close(fd)
     with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):

@@ -2,42 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from simigraph import store
-from simigraph.operators.incremental import latest, upsert
+from simigraph.operators.incremental import latest
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType | str, files_a_batch: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
 
 
-def keep_catalog(versions: DataFrame, catalog: str, checkpoint: str) -> StreamingQuery:
+def keep_catalog(versions: DataFrame, catalog: str, checkpoint: str, buckets: int = 1) -> StreamingQuery:
     """Upsert the latest version of each path into the catalog, batch by batch, until the stream is drained.
 
-    A batch that is run again gives the same catalog. Files that vanish need a
-    whole listing and are purged by the batch scan.
+    The catalog is dealt to ``buckets`` tables by a hash of the path; a batch
+    rewrites only those it touches, each as a new version that is committed when
+    it is whole (``store.replace``). A writer that dies leaves the versions
+    before, and a batch that is run again gives the same catalog. Files that
+    vanish need a whole listing and are purged by the batch scan.
     """
 
     def put(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        fresh = latest(batch)
-        try:
-            old = spark.read.parquet(catalog)
-        except AnalysisException:
-            old = spark.createDataFrame([], fresh.schema)
-        both = latest(old.select(*fresh.columns).unionByName(fresh)) if old.columns else upsert(old, fresh)
-        new = f"{catalog.rstrip('/')}_new"
-        both.write.mode("overwrite").parquet(new)
-        store.move(spark, new, catalog)
+        fresh = store.materialise(latest(batch).withColumn("_bucket", F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int")), "batch")
+        for r in fresh.select("_bucket").distinct().collect():  # at most ``buckets`` rows
+            rows = fresh.where(F.col("_bucket") == r["_bucket"]).drop("_bucket")
+            old = store.read(spark, f"{catalog}/{r['_bucket']}")
+            store.replace(rows if old is None else latest(old.select(*rows.columns).unionByName(rows)), f"{catalog}/{r['_bucket']}")
+        store.discard(fresh)
 
     return versions.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_catalog(spark: SparkSession, catalog: str, schema: StructType | str, buckets: int = 1) -> DataFrame:
+    """The newest versions of all buckets."""
+    folders = [f for k in range(buckets) if (f := store.current(spark, f"{catalog}/{k}"))]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
 def first_in_window(rows: DataFrame, keys: list[str], time: str = "ts", late: str = "1 hour") -> DataFrame:
     """Rows whose keys haven't come within the watermark."""
     return rows.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)

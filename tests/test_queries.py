@@ -46,9 +46,8 @@ def test_query(spark, duck, name):
     order = [names.index(c) for c in sorted(names)]
     want = [tuple(plain(r[i]) for i in order) for r in found.fetchall()]
     key = lambda r: [str(x) for x in r]
-    if name.startswith("r03"):  # zones are written differently
-        assert len(rows) == len(want)
-        return
+    if name == "k04_latest_version":  # zones are written differently
+        rows, want = ([tuple(v if isinstance(v, float) else v[:19] for v in r) for r in some] for some in (rows, want))
     assert len(rows) == len(want)
     for a, b in zip(sorted(rows, key=key), sorted(want, key=key), strict=True):
         assert a == b or all(x == y or (isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, rel_tol=1e-9, abs_tol=2e-6)) for x, y in zip(a, b, strict=True))

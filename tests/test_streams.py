@@ -1,5 +1,6 @@
 import pytest
 
+from simigraph import store
 from simigraph.progress import Progress, StreamProgress, cancellable, log_to, logger, stages
 from simigraph.streaming import scans
 
@@ -12,7 +13,37 @@ def test_catalog_stream_keeps_the_latest_version(spark, tmp_path):
     scans.keep_catalog(scans.file_stream(spark, source, VERSIONS, 1), catalog, log).awaitTermination()
     spark.createDataFrame([("a", 2, 3.0), ("b", 2, 4.0), ("c", 3, 1.0)], VERSIONS).write.mode("append").parquet(source)
     scans.keep_catalog(scans.file_stream(spark, source, VERSIONS, 1), catalog, log).awaitTermination()
-    assert {(r.path, r["size"]) for r in spark.read.parquet(catalog).collect()} == {("a", 2), ("b", 1), ("c", 3)}
+    assert {(r.path, r["size"]) for r in scans.read_catalog(spark, catalog, VERSIONS).collect()} == {("a", 2), ("b", 1), ("c", 3)}
+
+
+@pytest.mark.parametrize("at", ["replace", "commit"])
+def test_catalog_survives_a_writer_that_dies(spark, tmp_path, monkeypatch, at):
+    source, catalog, log = (f"file://{tmp_path}/{n}" for n in ("in", "catalog", "log"))
+    spark.createDataFrame([("a", 1, 1.0), ("b", 1, 5.0)], VERSIONS).write.parquet(source)
+    scans.keep_catalog(scans.file_stream(spark, source, VERSIONS), catalog, log, 3).awaitTermination()
+    spark.createDataFrame([("c", 3, 1.0)], VERSIONS).write.mode("append").parquet(source)
+
+    def dies(*_):
+        raise RuntimeError("gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(store, at, dies)
+        with pytest.raises(Exception, match="gone"):
+            scans.keep_catalog(scans.file_stream(spark, source, VERSIONS), catalog, log, 3).awaitTermination()
+    assert {r.path for r in scans.read_catalog(spark, catalog, VERSIONS, 3).collect()} == {"a", "b"}
+    scans.keep_catalog(scans.file_stream(spark, source, VERSIONS), catalog, log, 3).awaitTermination()
+    assert {r.path for r in scans.read_catalog(spark, catalog, VERSIONS, 3).collect()} == {"a", "b", "c"}
+
+
+def test_versions(spark, tmp_path):
+    table = f"file://{tmp_path}/t"
+    assert store.read(spark, table) is None
+    for n in range(1, 5):
+        store.replace(spark.range(n), table)
+        assert store.read(spark, table).count() == n
+    assert store.versions(spark, table) == [3, 4]
+    with pytest.raises(FileExistsError):
+        store.commit(spark, table, 4)
 
 
 def test_stream_progress_and_windows(spark, tmp_path):
