@@ -1,67 +1,31 @@
-"""What the corpus operators share: tables, the shared folder, shipping code."""
+"""What the corpus operators share: tables, names, words. Tables between steps are those of ``simigraph.store``."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from simigraph.store import delete_path, discard, exists, materialise, new_path, shared_dir, ship
+
+__all__ = ["SPACE", "WORD", "delete_path", "discard", "exists", "fresh_name", "lower_ascii", "materialise", "new_path", "shared_dir", "ship", "shuffle_partitions", "table", "text_or_empty"]
+
 #: White space that separates words in every word rule of this package.
 SPACE = r" \t\n\x0B\f\r"
 WORD = r"[^ \t\n\x0B\f\r]+"
 
-_shipped: set[str] = set()
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is named."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="simigraph-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/simigraph/{tag}-{uuid.uuid4().hex}"
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def materialise(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
-    """Cut the lineage with a table in the shared folder; a lost executor costs nothing that is written."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    schema = df.schema
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, which need not have it installed."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    fd, name = tempfile.mkstemp(suffix=".zip", prefix=f"{root.name}-")
-    os.close(fd)
-    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    spark.sparkContext.addPyFile(name)
-    _shipped.add(app)
+def fresh_name(taken: Iterable[str], name: str) -> str:
+    """The name, with underscores before it until no column has it, whatever the case."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

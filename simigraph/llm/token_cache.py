@@ -12,8 +12,9 @@ To find one text of each missing digest without gathering copies, the digest
 is first reduced to its smallest document id; only documents that are such
 representatives pass on their text. Representatives that repeat as whole rows
 are reduced after counting, and the cache is reduced on reading, so writers
-that raced do no harm. Null document ids are one more id. An empty table
-appends nothing. Only the two named columns are read.
+that raced do no harm. Null document ids are one more id. Very long texts are
+counted whole, by their units. An empty table appends nothing. Only the two
+named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,10 +33,7 @@ CACHE = "digest binary, tokenizer string, n_tokens long"
 
 def read_cache(spark: SparkSession, path: str, tokenizer_digest: str) -> DataFrame:
     """digest and count; each digest once."""
-    try:
-        table = spark.read.schema(CACHE).parquet(path)
-    except AnalysisException:
-        table = spark.createDataFrame([], CACHE)
+    table = spark.read.schema(CACHE).parquet(path) if common.exists(spark, path) else spark.createDataFrame([], CACHE)
     return table.where(F.col("tokenizer") == tokenizer_digest).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
 
 
