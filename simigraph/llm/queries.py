@@ -81,24 +81,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_token_files, op2_best_fit_packing, op3_url_tree, op4_line_dedup, op5_simhash, op6_lattice_lm, op7_token_counts, op8_lz_fingerprints, op9_line_rules, op10_bpe_chunks, pipeline)
 }
 
-# Runs of lines with 50 words: windows that begin, and that end, at each line, compared as text.
+# Runs of equal lines along the diagonals of any two documents, or one document and itself.
 _LINES = r"""
-WITH raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
+WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
 counted AS (SELECT doc_id, line, s, len(regexp_extract_all(s, '[^ \t\n\x0B\f\r]+')) AS words FROM raw),
-lines AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY line) AS stop FROM counted WHERE words > 0),
-placed AS (SELECT *, stop - words AS start FROM lines),
-wide AS (
-  SELECT doc_id, line,
-    sum(words) OVER a AS a_words, min(line) OVER a AS a_begin, max(line) OVER a AS a_end, md5(string_agg(s, chr(10)) OVER a) AS a_text,
-    sum(words) OVER b AS b_words, min(line) OVER b AS b_begin, max(line) OVER b AS b_end, md5(string_agg(s, chr(10)) OVER b) AS b_text
-  FROM placed
-  WINDOW a AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING),
-         b AS (PARTITION BY doc_id ORDER BY stop RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
-win AS (SELECT doc_id, a_begin AS b, a_end AS e, a_text AS t FROM wide WHERE a_words >= 50 UNION SELECT doc_id, b_begin, b_end, b_text FROM wide WHERE b_words >= 50),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, b) AS k FROM win),
-gone AS (SELECT DISTINCT doc_id, unnest(generate_series(b, e)) AS line FROM ranked WHERE k > 1),
-kept AS (SELECT r.doc_id, count(*) AS n_lines, count(g.line) AS n_deleted, coalesce(string_agg(CASE WHEN g.line IS NULL THEN r.s END, chr(10) ORDER BY r.line), '') AS text
-  FROM raw r LEFT JOIN gone g ON r.doc_id = g.doc_id AND r.line = g.line GROUP BY r.doc_id)
+lines AS (SELECT doc_id, line, md5(s) AS s, words, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS no FROM counted WHERE words > 0),
+twice AS (SELECT s FROM lines GROUP BY s HAVING count(*) > 1),
+shared AS (SELECT * FROM lines SEMI JOIN twice USING (s)),
+met AS (SELECT x.doc_id AS a, y.doc_id AS b, y.no - x.no AS shift, y.no, y.line, y.words FROM shared x JOIN shared y ON x.s = y.s WHERE x.doc_id < y.doc_id OR x.doc_id = y.doc_id AND x.no < y.no),
+runs AS (SELECT *, no - row_number() OVER (PARTITION BY a, b, shift ORDER BY no) AS run FROM met),
+gone AS (SELECT DISTINCT b AS doc_id, line FROM (SELECT b, line, sum(words) OVER (PARTITION BY a, b, shift, run) AS n FROM runs) WHERE n >= 50),
+marked AS (SELECT c.doc_id, c.line, c.s, c.words, CASE WHEN words > 0 THEN CASE WHEN g.line IS NULL THEN 0 ELSE 1 END END AS out FROM counted c LEFT JOIN gone g ON c.doc_id = g.doc_id AND c.line = g.line),
+around AS (SELECT *, coalesce(last_value(out IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS above,
+  coalesce(first_value(out IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS below FROM marked),
+kept AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE above = 1 AND below = 1) AS n_deleted, coalesce(string_agg(s, chr(10) ORDER BY line) FILTER (WHERE above = 0 OR below = 0), '') AS text FROM around GROUP BY doc_id)
 SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_deleted AS BIGINT) AS n_deleted, CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS text_sha256 FROM kept
 """
 
