@@ -1,12 +1,14 @@
-"""Operator 5: near-duplicates by SimHash, with an index of byte positions.
+"""Operator 5: near-duplicates by SimHash, with an index of byte positions and a count filter.
 
 Fingerprints that differ in at most DISTANCE bits differ in at most DISTANCE of
-their eight bytes, so they share eight less DISTANCE bytes at their positions.
-The inverted index lists distinct fingerprints by positional bytes, four at a
-time: FAMILY holds sets of four positions such that any five positions contain
-one, so pairs with the guaranteed number of matches always meet. Where they
-meet they are verified by their differing bits; no count of shared bytes selects
-pairs before. Larger distances than DISTANCE are refused, as pairs would be lost.
+their eight bytes, so they share eight less DISTANCE bytes at their positions:
+the guaranteed number of matches. The inverted index lists distinct fingerprints
+by positional bytes, four at a time: FAMILY holds sets of four positions such
+that any five positions contain one, so pairs with the guaranteed number always
+meet in a list. Of the pairs that meet, the shared positional bytes are tallied;
+only pairs that reach the guaranteed number are kept, and only these are
+verified by their differing bits. Larger distances than DISTANCE are refused, as
+pairs would be lost.
 
 Equal fingerprints count once. A list of one entry is dropped. Lists are worked
 off in blocks: a list longer than BLOCK is dealt to pairs of blocks by a hash,
@@ -16,9 +18,11 @@ of copies gives about as many links as members. Components are found by
 alternating large and small stars between tables in the shared folder.
 
 Null texts are empty; texts without words have fingerprint zero and are linked
-like any other. Documents with one id keep a row each. Null ids stay null and
-have no say in component_id, which is null only if all ids of a component are.
-Only the two named columns are read.
+like any other. Very long texts are read whole, their bits summed up in slices.
+Documents with one id keep a row each. Null ids stay null and have no say in
+component_id, which is null only if all ids of a component are. An empty table
+gives an empty result. Only the two named columns are read, so others may have
+any name; ``keep_one`` keeps them all.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simigraph.llm import common
+from simigraph.operators import groups
 
 DISTANCE, SHINGLE, SEED = 3, 3, 42
 BLOCK = 4096
@@ -93,6 +98,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 # Links
 
 
+def candidates(a: np.ndarray, b: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in both of the pairs that share the guaranteed number of positional bytes."""
+    x, y = (v.view(np.uint8).reshape(-1, 8) for v in (a, b))
+    shared = np.zeros((len(a), len(b)), np.uint8)
+    for p in range(8):
+        shared += x[:, p, None] == y[None, :, p]
+    return np.nonzero(shared >= 8 - distance)
+
+
 def _forest(a: np.ndarray, b: np.ndarray, same: bool, distance: int) -> list[tuple[int, int]]:
     """Links between two blocks of fingerprints, without those that others imply."""
     nodes = a if same else np.concatenate([a, b])
@@ -106,10 +120,9 @@ def _forest(a: np.ndarray, b: np.ndarray, same: bool, distance: int) -> list[tup
 
     links, shift = [], 0 if same else len(a)
     for lo in range(0, len(a), 256):
-        differ = a[lo : lo + 256, None] ^ b[None, :]
-        close = np.bitwise_count(differ) <= distance
-        i, j = np.nonzero(close)
-        for x, y in zip((i + lo).tolist(), (j + shift).tolist(), strict=True):
+        i, j = candidates(a[lo : lo + 256], b, distance)
+        close = np.bitwise_count(a[lo + i] ^ b[j]) <= distance
+        for x, y in zip((i[close] + lo).tolist(), (j[close] + shift).tolist(), strict=True):
             if x < y and (p := root(x)) != (q := root(y)):
                 parent[q] = p
                 links.append((x, y))
@@ -179,31 +192,8 @@ def links(distinct: DataFrame, distance: int = DISTANCE, block: int = BLOCK) ->
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and component (its smallest node) of all nodes of (a, b), by alternating stars.
-
-    Each step writes its edges to the shared folder. The minimum of a node's
-    neighbours is summed up before shuffling, and comes back by a join that
-    Spark can split, so a hub in most edges burdens no task.
-    """
-    spark = edges.sparkSession
-    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    pairs = common.materialise(pairs, "edges")
-    before = None
-    while not pairs.isEmpty():
-        both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = common.materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large")
-        # Large star: neighbours above a node are linked to its least one.
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = common.materialise(large, "edges")
-        least = common.materialise(large.groupBy("u").agg(F.min("v").alias("m")), "small")
-        # Small star: a node and its neighbours below are linked to the least of them.
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
-        pairs = common.materialise(small.where("u <> v").distinct(), "edges")
-        now = tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if now == before:
-            break
-        before = now
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(pairs.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    """node and component (its smallest node) of all nodes of (a, b)."""
+    return groups.components(edges, "a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
@@ -235,12 +225,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     found = near_duplicates(docs, id_col, text_col, distance) if found is None else found
     least = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component", "doc_id", "hash").agg(F.count("*").alias("n"))
     kept = least.groupBy("component").agg(F.min(F.struct("hash", "doc_id", "n")).alias("m")).select("m.doc_id", "m.hash", "m.n")
-    kept = common.materialise(kept, "kept").withColumnsRenamed({"doc_id": "_near_doc", "hash": "_near_hash"})
+    kept = common.materialise(kept, "kept")
+    # The input's columns lie in a struct while others are beside them, so no names clash.
     text = F.col(text_col).cast("string")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_near_doc")) & (F.xxhash64(text) == F.col("_near_hash"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("hash"))
 
     def those(which: DataFrame) -> DataFrame:
-        return docs.join(which.hint("shuffle_hash"), same, "left_semi")
+        return rows.join(which.hint("shuffle_hash"), same, "left_semi").select("row.*")
 
     if kept.where("n > 1").isEmpty():
         return those(kept)
