@@ -1,17 +1,19 @@
 """Operator 10: BPE encoding and decoding with content-defined chunks.
 
 A rolling hash over the bytes cuts a text where its last 32 bytes say so, so
-passages that documents share are cut alike. Every chunk is encoded once and
-its ids are reused wherever its bytes come again; the store of chunks is
-bounded and belongs to a Python worker. Ids next to a cut may differ from those
-of the whole text: around each join a window from the last change to white
-space on the left to the first one on the right is encoded anew. A wider window
-must then give the same ids for what it adds on both sides; until it does, the
-window grows, at last to the whole text.
+passages that documents share are cut alike; a text without a cut is one chunk.
+Every chunk is encoded once and its ids are reused wherever its bytes come
+again; the store of chunks is bounded and belongs to a Python worker. Ids next
+to a cut may differ from those of the whole text: around each join a window from
+the last change to white space on the left to the first one on the right is
+encoded anew. A window wider by one change on each side must then give the same
+ids for all it covers; if it doesn't, the whole text is encoded by the library.
 
 Null texts are empty, with no ids. Texts that hold a special token's string go
-to the library whole. Rows are handled one by one: repeated rows, null ids and
-empty tables need no rule. Only the two named columns are read.
+to the library whole, and so do texts of a chunk in which a token lies across a
+change to white space. Very long texts are chunked like others and never cut
+short. Rows are handled one by one: repeated rows, null ids and empty tables
+need no rule. Only the two named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from simigraph.llm import common
 from simigraph.llm.tokens import ByteBpe, encoder
 
-#: A cut comes at one byte in 2^CUT_BITS on average, and not before LEAST bytes.
+#: A cut comes at one byte in 2^CUT_BITS on average; chunks have LEAST bytes at least.
 CUT_BITS, LEAST = 10, 256
 #: Bytes of ids that a worker keeps.
 STORE_BYTES = 48_000_000
@@ -42,7 +44,7 @@ INNER = re.compile(r"\S(?=\s)")
 
 def cuts(data: bytes) -> list[int]:
     """Offsets at which chunks end, without the last; each starts a character."""
-    if len(data) <= 2 * LEAST:
+    if not data:
         return []
     raw = np.frombuffer(data, np.uint8)
     h = GEAR[raw]
@@ -91,23 +93,29 @@ def changes(text: str) -> list[int]:
 
 
 class Chunk:
-    """A chunk's ids, and where its first and last changes to white space are in text and ids."""
+    """A chunk's ids, and where its first and last changes to white space are in text and ids.
 
-    __slots__ = ("first", "ids", "last", "next", "previous")
+    ``joins`` is false if there is no change, or a token lies across one.
+    """
+
+    __slots__ = ("first", "ids", "joins", "last", "next", "previous")
 
     def __init__(self, enc: ByteBpe, text: str):
         self.ids = np.frombuffer(enc.encode(text), enc.dtype)
+        firsts = [m.end() for _, m in zip(range(2), INNER.finditer(text), strict=False)]
+        lasts = changes(text)
+        self.joins = bool(firsts and lasts)
+        if not self.joins:
+            return
         ends = np.cumsum(enc.length_of[self.ids])
 
         def place(p: int) -> tuple[int, int]:
             b = len(text[:p].encode())
             i = int(np.searchsorted(ends, b, "left")) + 1 if b else 0
             if b and (i > len(ends) or ends[i - 1] != b):
-                raise ValueError("a token crosses a change to white space")
+                self.joins = False
             return p, i
 
-        firsts = [m.end() for _, m in zip(range(2), INNER.finditer(text), strict=False)]
-        lasts = changes(text)
         self.first, self.next = place(firsts[0]), place(firsts[-1])
         self.last, self.previous = place(lasts[0]), place(lasts[-1])
 
@@ -139,16 +147,18 @@ def encode(enc: ByteBpe, store: Store, text: str) -> np.ndarray:
     if enc.odd(text):
         return enc.ids(enc.whole(text))
     chunks = split(text)
-    if len(chunks) == 1:
-        return enc.ids(enc.encode(text))
     made = [store.get(c) for c in chunks]
+    if len(made) == 1:
+        return made[0].ids
+    if not all(c.joins for c in made):
+        return enc.ids(enc.whole(text))
     out = [made[0].ids[: made[0].last[1]]]
     for k in range(1, len(made)):
         a, b, left, right = made[k - 1], made[k], chunks[k - 1], chunks[k]
         join = enc.ids(enc.encode(left[a.last[0] :] + right[: b.first[0]]))
         wide = enc.ids(enc.plain(left[a.previous[0] :] + right[: b.next[0]]))
         near = np.concatenate([a.ids[a.previous[1] : a.last[1]], join, b.ids[b.first[1] : b.next[1]]])
-        if not np.array_equal(wide, near):  # the window has to grow: to the whole text
+        if not np.array_equal(wide, near):
             return enc.ids(enc.whole(text))
         out += [join, b.ids[b.first[1] : b.last[1] if k < len(made) - 1 else None]]
     return np.concatenate(out)

@@ -28,7 +28,7 @@ def sentence(rnd, n):
 def test_packing_keeps_everything_and_fits(documents, odd):
     rnd = random.Random(1)
     docs = documents([(i, sentence(rnd, rnd.randint(1, 9000 if i % 9 == 0 else 700))) for i in range(200)])
-    rows = packing.pack_documents(docs, words_and_end(), group_items=50).collect()
+    rows = packing.pack_documents(docs, words_and_end(), group_pieces=50).collect()
     size = {r.doc_id: len(WORDS.findall(r.text)) + 1 for r in docs.collect()}
     got, bins = Counter(), {}
     for r in rows:
@@ -47,24 +47,92 @@ def test_packing_keeps_everything_and_fits(documents, odd):
     assert packing.pack_documents(odd.limit(0), words_and_end()).count() == 0
 
 
-def test_packing_equals_plain_best_fit():
-    rnd = random.Random(2)
-    sizes = sorted((rnd.randint(1, 64) for _ in range(300)), reverse=True)
-    bins, _, final = packing.pack(sizes, (16, 32, 64))
-    room, where = [], []
-    for s in sizes:
-        fits = [k for k, r in enumerate(room) if r >= s]
+def plain_plan(sizes, lengths, price, preferred):
+    """Best fit with lists and plain searches; the trial fills a length piece by piece."""
+    least = lambda used: min((x for x in lengths if x >= used), key=lambda x: (price(x), x))
+    bins = []
+    for k, s in enumerate(sizes):
+        fits = [b for b in bins if b[0] - sum(b[1]) >= s]
         if fits:
-            least = min(room[k] for k in fits)
-            k = [k for k in fits if room[k] == least][-1]
+            room = min(b[0] - sum(b[1]) for b in fits)
+            next(b for b in reversed(bins) if b[0] - sum(b[1]) == room)[1].append(s)
+            continue
+        able = [x for x in lengths if x >= s]
+        if preferred is not None:
+            length = max(able[0], preferred)
         else:
-            k = len(room)
-            room.append(min((x for x in (16, 32, 64) if x >= s), key=lambda x: (packing.cost(x) / x, -x)))
-        room[k] -= s
-        where.append(k)
-    used = lambda w: sorted(sum(s for s, k in zip(sizes, w, strict=True) if k == b) for b in set(w))
-    assert used(bins) == used(where)
-    assert sum(packing.cost(x) for x in final) <= 1.1 * (sum(sizes) + packing.OVERHEAD * sum(sizes) / 64)
+            rated = []
+            for x in able:
+                held = s
+                for t in sizes[k + 1 :]:
+                    if held + t <= x:
+                        held += t
+                rated.append((price(least(held)) / held, x))
+            length = min(rated)[1]
+        bins.append([length, [s]])
+    return sum(price(least(sum(b[1]))) for b in bins), sorted(tuple(b[1]) for b in bins), {b[0] for b in bins}
+
+
+def cheapest(sizes, lengths, price):
+    """By trying all ways to part the pieces."""
+    if not sizes:
+        return 0.0
+    best, rest = math.inf, sizes[1:]
+    for mask in range(1 << len(rest)):
+        used = sizes[0] + sum(s for k, s in enumerate(rest) if mask >> k & 1)
+        if used <= max(lengths):
+            cost = min(price(x) for x in lengths if x >= used)
+            best = min(best, cost + cheapest([s for k, s in enumerate(rest) if not mask >> k & 1], lengths, price))
+    return best
+
+
+def test_packing_equals_plain_best_fit():
+    rnd, lengths = random.Random(2), (16, 32, 64)
+    price = lambda x: 4 + x + x * x / 128
+    opened = set()
+    for n in (1, 2, 7, 40, 150):
+        sizes = sorted((rnd.randint(1, 60) if rnd.random() < 0.3 else rnd.randint(1, 15) for _ in range(n)), reverse=True)
+        plans = {preferred: plain_plan(sizes, lengths, price, preferred) for preferred in (None, *lengths)}
+        opened |= plans[None][2]
+        for preferred, (cost, members, _) in plans.items():
+            bins, offsets, final = packing.plan(sizes, lengths, price, preferred)
+            got = [tuple(s for s, k in zip(sizes, bins, strict=True) if k == b) for b in range(len(final))]
+            assert sorted(got) == members
+            assert sum(map(price, final)) == pytest.approx(cost)
+            for b, held in enumerate(got):
+                assert [o for o, k in zip(offsets, bins, strict=True) if k == b] == [sum(held[:i]) for i in range(len(held))]
+        assert sum(map(price, packing.pack(sizes, lengths, price)[2])) == pytest.approx(min(c for c, _, _ in plans.values()))
+    assert opened == set(lengths)
+
+
+def test_packing_against_all_ways():
+    rnd, lengths = random.Random(20), (16, 32, 64)
+    price = lambda x: 4 + x + x * x / 128
+    ratios = []
+    for _ in range(60):
+        sizes = sorted((rnd.randint(1, 40) for _ in range(7)), reverse=True)
+        ratios.append(sum(map(price, packing.pack(sizes, lengths, price)[2])) / cheapest(sizes, lengths, price))
+    assert min(ratios) == pytest.approx(1.0) and sum(ratios) / len(ratios) < 1.08 and max(ratios) < 1.35
+
+
+def test_default_lengths_compete():
+    rnd = random.Random(21)
+    sizes = sorted((min(4096, int(rnd.lognormvariate(5.5, 1.2)) + 1) for _ in range(3000)), reverse=True)
+    bins, _, final = packing.pack(sizes)
+    lengths = Counter(final)
+    assert len([x for x, n in lengths.items() if n > 20]) >= 3
+    assert sum(map(packing.cost, final)) <= min(sum(map(packing.cost, packing.plan(sizes, packing.LENGTHS, packing.cost, x)[2])) for x in packing.LENGTHS)
+    assert sum(sizes) / sum(final) > 0.95
+
+
+def test_packing_of_hot_ids_and_clashing_names(spark):
+    rows = [(None, 3)] * 400 + [(7, 5)] * 400 + [(8, None), (9, -2), (10, 20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, bin long").withColumn("piece", F.lit("x")).withColumn("row", F.lit("y"))
+    out = packing.pack_documents(docs, F.col("bin"), group_pieces=100).collect()
+    assert Counter(r.doc_id for r in out if r.doc_id in (None, 7)) == {None: 400, 7: 400}
+    assert sorted((r.doc_id, r.first, r.n_tokens) for r in out if r.doc_id in (8, 9, 10)) == [(8, 0, 0), (9, 0, 0), *((10, 4096 * k, min(4096, 20_000 - 4096 * k)) for k in range(5))]
+    by_part = Counter(r.bin >> 32 for r in out if r.doc_id is None)
+    assert len(by_part) >= 8 and max(by_part.values()) < 100
 
 
 # 3
@@ -129,16 +197,44 @@ def dedup_by_force(docs, least=50):
                     gone |= {(i, x[0]) for x in lines[a : b + 1]}
                 else:
                     seen[key] = (i, a)
+    for i, lines in rows.items():  # lines without words between two that go
+        for (x, *_), (y, *_) in itertools.pairwise(lines):
+            if {(i, x), (i, y)} <= gone:
+                gone |= {(i, k) for k in range(x, y)}
     return {i: "\n".join(s for k, s in enumerate(lines) if (i, k) not in gone) for i, lines in split.items()}
 
 
 def test_line_dedup_equals_brute_force(documents):
     rnd = random.Random(3)
-    pool = [sentence(rnd, n) for n in (1, 3, 8, 20, 30, 49, 50, 60)] + [""]
+    pool = [sentence(rnd, n) for n in (1, 3, 8, 20, 30, 49, 50, 60)] + ["", " \t"]
     docs = [(i, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(1, 14)))) for i in range(60)]
-    filled = lambda d: {i: [s for s in t.split("\n") if s] for i, t in d.items()}  # noqa: E731  what becomes of empty lines in between depends on the windows
     out = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(docs)).collect()}
-    assert filled(out) == filled(dedup_by_force(docs))
+    assert out == dedup_by_force(docs)
+
+
+def test_fingerprints_are_few_and_guaranteed(documents):
+    rnd = random.Random(30)
+    passage = [sentence(rnd, rnd.randint(3, 9)) for _ in range(30)]
+    docs = documents([(i, "\n".join([*(sentence(rnd, 5) for _ in range(20 + i)), *passage, *(sentence(rnd, 7) for _ in range(20))])) for i in range(6)])
+    lines = line_dedup.winnowed(line_dedup.lines_of(docs, "doc_id", "text"), 50).collect()
+    picks = [r.pick for r in lines if r.pick]
+    assert len(picks) < len(lines) / 3
+    by_doc = {i: {r.pick.h for r in lines if r.pick and r.doc == i} for i in range(6)}
+    assert len(set.intersection(*by_doc.values())) >= 3
+    near = line_dedup.near_repeats(line_dedup.winnowed(line_dedup.lines_of(docs, "doc_id", "text"), 50), 50).count()
+    assert 6 * 30 <= near < len(lines)
+
+
+def test_clashing_names_and_repeated_rows(spark):
+    rnd = random.Random(31)
+    x = sentence(rnd, 70)
+    rows = [(1, x, 5, "a"), (2, "b\n" + x, 6, "b"), (2, "b\n" + x, 6, "b"), (None, "", 7, "c"), (3, None, 8, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hash int, ranges string")
+    for name in ("lines", "line", "row", "left", "n_deleted", "pick"):
+        docs = docs.withColumn(name, F.lit(name))
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "", r.hash, r.ranges, r.left) for r in out.collect()) == [(0, "", 7, "c", "left"), (1, x, 5, "a", "left"), (2, "b", 6, "b", "left"), (2, "b", 6, "b", "left"), (3, "", 8, "d", "left")]
 
 
 def test_tail_that_only_another_copy_has(documents):
@@ -202,6 +298,24 @@ def test_simhash_equals_brute_force(documents):
     assert [out[i].component_id for i, _ in docs] == grouped(prints)
 
 
+def test_count_filter_keeps_all_links_and_few_others():
+    import numpy as np
+
+    rnd = random.Random(41)
+    base = rnd.getrandbits(64)
+    near = [base ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 4))) for _ in range(60)]
+    far = [(base & 0xFFFFFFFF) << 0 | rnd.getrandbits(32) << 32 for _ in range(300)]  # all share four bytes, as in one list
+    values = np.array(near + far, np.uint64)
+    for distance in range(4):
+        x, y = simhash.candidates(values, values, distance)
+        kept = set(zip(x.tolist(), y.tolist(), strict=True))
+        shared = lambda a, b: sum(p == q for p, q in zip(a.to_bytes(8), b.to_bytes(8), strict=True))
+        numbers = values.tolist()
+        assert kept == {(i, j) for i, a in enumerate(numbers) for j, b in enumerate(numbers) if shared(a, b) >= 8 - distance}
+        assert {(i, j) for i, a in enumerate(numbers) for j, b in enumerate(numbers) if (a ^ b).bit_count() <= distance} <= kept
+    assert len(kept) < len(values) ** 2 / 20
+
+
 def test_links_of_a_large_list_in_blocks(spark):
     rnd = random.Random(6)
     base = rnd.getrandbits(64)
@@ -225,6 +339,9 @@ def test_simhash_of_odd_rows(odd):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 3), (False, 4), (False, 7)]
     nulls = odd.where("doc_id is null")
     assert simhash.keep_one(nulls.union(nulls)).count() == 2
+    named = odd.withColumn("hash", F.lit(1)).withColumn("key", F.lit(2)).withColumn("row", F.lit(3)).withColumn("_near_doc", F.lit(4)).withColumn("component", F.lit(5))
+    again = simhash.keep_one(named)
+    assert again.columns == named.columns and again.count() == 4 and simhash.near_duplicates(named).count() == 10
 
 
 def test_distances_beyond_the_index_are_refused():
