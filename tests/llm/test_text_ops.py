@@ -162,7 +162,7 @@ def test_tree_rejects_impure_templates(spark):
         rows.append((i, f"https://h.test/{'spam' if bad else 'news'}/{i}"))
         if i % 4 < 2:
             labels.append((i, bad))
-    for i in range(400, 600):  # many children: one wildcard
+    for i in range(400, 600):  # as many children as pages: one wildcard
         rows.append((i, f"https://w.test/tag/{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uv'[i // 100 % 2]}x"))
     pages = spark.createDataFrame(rows, "page_id long, url string")
     out = {r.page_id: r for r in url_tree.judge_urls(pages, spark.createDataFrame(labels, "id long, bad int")).collect()}
@@ -178,6 +178,95 @@ def test_a_bad_section_among_many(spark):
     assert {(r.page_id % 60 == 0, r.template, r.verdict) for r in out} == {(True, "/spam/{n}", "block"), (False, "/*/{n}", "allow")}
 
 
+def tree_by_force(paths):
+    """Templates of the paths of one host, from {shape: (pages, labels, bad)}, by recursion over lists."""
+    out = {}
+
+    def build(above, rows):
+        rests = [rest for rest, _ in rows]
+        if len(set(rests)) == 1:
+            out.update({shape: above + rests[0] for _, shape in rows})
+            return
+        shared = 0
+        while len({rest[: shared + 1] for rest in rests}) == 1 and len(rests[0]) > shared:
+            shared += 1
+        above += rests[0][:shared]
+        children = {}
+        for rest, shape in rows:
+            if len(rest) == shared:
+                out[shape] = above
+            else:
+                children.setdefault(rest[shared], []).append((rest[shared + 1 :], shape))
+        sums = {c: [sum(paths[shape][k] for _, shape in members) for k in range(3)] for c, members in children.items()}
+        group = dict.fromkeys(children, "")
+        while True:
+            moves = {}
+            for c in children:
+                n, bad = sums[c][1:]
+                m, other = (sum(sums[d][k] for d in children if d != c and group[d] == group[c]) for k in (1, 2))
+                if n >= 10 and m >= 10:
+                    rate = (bad + other) / (n + m)
+                    error = math.sqrt(rate * (1 - rate) * (1 / n + 1 / m))
+                    if abs(bad / n - other / m) > url_tree.Z * error:
+                        moves[c] = "+" if bad / n > other / m else "-"
+            if not moves:
+                break
+            for c, way in moves.items():
+                group[c] += way
+        varies = sum(s[0] for s in sums.values()) < url_tree.VARIES * len(children)
+        named = {}
+        for c, members in children.items():
+            similar = sum(sums[d][1] >= 10 and group[d] == group[c] for d in children)
+            merged = (similar > 1 or (varies and not group[c])) if sums[c][1] >= 10 else varies
+            named.setdefault("*" + group[c] if merged else c, []).extend(members)
+        for name, members in named.items():
+            build((*above, name), members)
+
+    build((), [(shape, shape) for shape in paths])
+    return out
+
+
+def test_tree_equals_brute_force(spark):
+    rnd = random.Random(33)
+    rates = {f"s{k}": rnd.choice([0.0, 0.1, 0.5, 0.9, 0.95]) for k in range(9)}
+    rows, labels = [], []
+    for i in range(4000):
+        host = rnd.choice(["a.test", "b.test"])
+        section = rnd.choice(list(rates))
+        deep = "/x/y/z" * rnd.choice([0, 0, 1, 6])
+        tail = rnd.choice(["", "/", f"/w{rnd.randint(0, 900)}", f"/{rnd.choice('abc')}/q"])
+        rows.append((i, f"https://{host}/{rnd.choice(['u', 'v'])}/{section}{deep}{tail}"))
+        if rnd.random() < 0.6:
+            labels.append((i, int(rnd.random() < rates[section])))
+    rows += [(5000, "https://a.test/" + "/".join(f"d{k}" for k in range(3000))), (5001, "https://b.test/" + "k" * 100_000), (5002, None), (5003, "https://c.test"), (None, rows[0][1]), (0, rows[0][1])]
+    labels += [(0, 0), (0, 1), (None, 1)]
+    of = {}
+    for i, bad in labels:
+        of.setdefault(i, []).append(bad)
+    paths = {}
+    for i, url in rows:
+        host, path = ("", "") if url is None else re.match(r"https://([^/]*)(.*)", url).groups()
+        shape = tuple("{s}" if len(s) > 40 else s for s in path.split("/")[1:])
+        found = paths.setdefault(host, {}).setdefault(shape, [0, 0, 0.0])
+        found[0] += 1
+        if i in of and i is not None:
+            found[1] += 1
+            found[2] += sum(of[i]) / len(of[i])
+    want = {host: tree_by_force(shapes) for host, shapes in paths.items()}
+    share = sum(p[2] for shapes in paths.values() for p in shapes.values()) / sum(p[1] for shapes in paths.values() for p in shapes.values())
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("x")).withColumn("above", F.lit("y"))
+    out = url_tree.judge_urls(pages, spark.createDataFrame(labels, "id long, bad int")).collect()
+    assert len(out) == len(rows)
+    assert len({t for shapes in want.values() for t in shapes.values()}) > 20 and any("*+" in t for t in want["a.test"].values())
+    for r in out:
+        shape = tuple("{s}" if len(s) > 40 else s for s in r.path.split("/")[1:])
+        template = want[r.host][shape]
+        assert r.template == "/" + "/".join(template), (r.host, shape)
+        n, bad = (sum(p[k] for s, p in paths[r.host].items() if want[r.host][s] == template) for k in (1, 2))
+        assert r.bad_share == pytest.approx((bad + url_tree.PRIOR * share) / (n + url_tree.PRIOR))
+        assert r.verdict == ("block" if r.bad_share >= url_tree.REJECT and n else "allow")
+
+
 # 4
 
 
