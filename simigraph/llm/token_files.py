@@ -13,8 +13,11 @@ Spark's committer makes writing safe against lost executors and any store that
 Spark reaches can hold them.
 
 Null texts are empty; null document ids come first; documents with equal ids
-are ordered by their ids' bytes; an empty table gives empty files. Only the two
-named columns are read.
+are ordered by a hash of their ids, then by their place in the table, so that
+rows of one id or rows that repeat are dealt to many ranges. A very long text is
+encoded whole; a block closes after it, so a block holds little more ids than
+the limit or its longest document. An empty table gives empty files. Only the
+two named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -233,8 +236,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
     lengths = code_lengths(count_ids(encoded, size, enc.dtype)).tobytes()
     spark.createDataFrame([(bytearray(lengths),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
     n = common.shuffle_partitions(spark)
-    order = ["doc_id", F.xxhash64("ids"), "ids"]
-    ranged = encoded.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
+    order = ["doc_id", F.xxhash64("ids"), "row"]
+    numbered = encoded.withColumn("row", F.monotonically_increasing_id())
+    ranged = numbered.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("row")
     blocks = ranged.mapInArrow(_packer(lengths, enc.dtype), "shard int, number int, first long, n_ids long, block binary")
     blocks.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     common.delete_path(spark, kept)
