@@ -13,11 +13,13 @@ with its edited text, whose end is replaced by the beginning of the next
 document. Documents are dealt out by ranges of their ids, each range sorted and
 read once with a look-ahead of one row; the first document of the range that
 follows comes along as one more row. So every text is moved once, and no task
-sees more than its range.
+sees more than its range. Ids (and null) of more rows than a range holds are cut
+into ranges of the texts' hashes; only rows that repeat as a whole share one.
 
 Null texts are empty. Null ids come last. Documents with one id are ordered by
-a hash of their text, then the text. A single document is its own next. An
-empty table gives an empty result. Only the two named columns are read.
+a hash of their text, then the text. A single document is its own next. Very
+long texts are parsed whole. An empty table gives an empty result. Only the two
+named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -130,28 +132,32 @@ def chain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     common.ship(spark)
     n = common.shuffle_partitions(spark)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST))
-    ids = docs.select(key.alias("key"))
-    # Bounds and first ids of the ranges: a row for each partition.
-    bounds = ids.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0]
-    edges = np.unique(np.array(bounds or [], np.int64))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(key.alias("key"), F.xxhash64(text).alias("hash"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    # Bounds and first documents of the ranges: a row for each partition.
+    bounds = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0]
+    edges, times = np.unique(np.array(bounds or [], np.int64), return_counts=True)
+    # A cut lies before each of these keys, and further ones among the hashes of a key that comes again.
+    above = np.append(np.cumsum(times[::-1])[::-1], 0)
+    among = {k: np.array([LEAST + (1 << 64) * j // t for j in range(1, t)], np.int64) for k, t in zip(edges.tolist(), times.tolist(), strict=True) if t > 1}
 
     @F.pandas_udf("int")
-    def place(k: pd.Series) -> pd.Series:
-        return pd.Series(len(edges) - np.searchsorted(edges, k.to_numpy(), "left"), dtype="int32")
-
-    firsts = sorted((r.part, r.key) for r in ids.groupBy(place("key").alias("part")).agg(F.max("key").alias("key")).collect())
-    follows = {k: firsts[i - 1][0] for i, (_, k) in enumerate(firsts)}  # the first range follows the last
-    rows = docs.select(key.alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    own = rows.withColumn("part", place("key")).withColumn("tail", F.lit(False))
-    heads = rows.where(F.col("key").isin([k for k in follows])) if follows else rows.limit(0)
-    parts = F.lit(None).cast("int")
-    for k, p in follows.items():
-        parts = F.when(F.col("key") == k, F.lit(p)).otherwise(parts) if len(follows) <= 64 else parts
-    if len(follows) > 64:
-        heads = heads.join(F.broadcast(spark.createDataFrame(list(follows.items()), "key long, part int")), "key")
-    else:
-        heads = heads.withColumn("part", parts)
+    def place(k: pd.Series, h: pd.Series) -> pd.Series:
+        k, h = k.to_numpy(), h.to_numpy()
+        at = np.searchsorted(edges, k, "left")
+        part = above[at].astype(np.int64)
+        for hot, cuts in among.items():
+            own = k == hot
+            part[own] += np.searchsorted(cuts, h[own], "left") - len(cuts)
+        return pd.Series(part.astype(np.int32))
+
+    part = place("key", "hash").alias("part")
+    firsts = rows.select("key", "hash", part).groupBy("part").agg(F.max(F.struct("key", -F.col("hash").cast("decimal(20,0)"))).alias("m"))
+    firsts = sorted((r.part, r.m[0], int(-r.m[1])) for r in firsts.collect())
+    follows = [(k, h, firsts[i - 1][0]) for i, (_, k, h) in enumerate(firsts)]  # the first range follows the last
+    own = rows.select("key", "hash", "doc_id", "text", part, F.lit(False).alias("tail"))
+    heads = rows.join(F.broadcast(spark.createDataFrame(follows, "key long, hash long, part int")), ["key", "hash"]).withColumn("tail", F.lit(True))
     # Of documents with one id at the head of a range, the first is what follows; the others are behind it.
-    all_rows = own.unionByName(heads.withColumn("tail", F.lit(True)).select(*own.columns))
-    dealt = all_rows.repartitionById(max(len(edges) + 1, 1), F.col("part")).sortWithinPartitions("part", "tail", F.desc("key"), F.xxhash64("text"), "text")
+    all_rows = own.unionByName(heads.select(*own.columns))
+    dealt = all_rows.repartitionById(int(above[0]) + 1, F.col("part")).sortWithinPartitions("part", "tail", F.desc("key"), "hash", "text")
     return dealt.select("part", "tail", "doc_id", "text").mapInArrow(_chain, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -555,22 +555,77 @@ def test_language_model(documents):
 # 8
 
 
+def phrases_by_force(text):
+    """Phrases of the left-to-right parse: each the shortest beginning of the rest that is no phrase yet."""
+    found, at = [], 0
+    while at < len(text):
+        end = at + 1
+        while end <= len(text) and text[at:end] in found:
+            end += 1
+        if end > len(text):
+            break
+        found.append(text[at:end])
+        at = end
+    return set(found)
+
+
+def smallest_by_force(text):
+    return sorted({xxhash.xxh32_intdigest(p) for p in phrases_by_force(text)})[: lz_fingerprint.SIZE]
+
+
+def like_by_force(a, b):
+    if not a or not b:
+        return float(a == b)
+    both = sorted({*a, *b})[: lz_fingerprint.SIZE]
+    return sum(x in a and x in b for x in both) / len(both)
+
+
 def test_chain_equals_brute_force(documents):
-    rnd = random.Random(8)
-    docs = [(i * 3, sentence(rnd, rnd.randint(0, 60)) if i % 7 else "") for i in range(50)] + [(1000, "x"), (1001, "x")]
-    out = {r.doc_id: r for r in lz_fingerprint.chain(documents(docs)).collect()}
-    order = sorted(docs, reverse=True)
-    prints = [lz_fingerprint.fingerprint(t) for _, t in order]
     import hashlib
 
+    rnd = random.Random(8)
+    docs = [(i * 3, sentence(rnd, rnd.randint(0, 60)) if i % 7 else "") for i in range(50)] + [(1000, "x"), (1001, "x"), (1002, None), (1003, "ab" * 2000), (1004, "ab" * 1999 + "é🙂")]
+    table = documents(docs).withColumn("hash", F.lit("x")).withColumn("part", F.lit("y")).withColumn("key", F.lit("z"))
+    out = {r.doc_id: r for r in lz_fingerprint.chain(table).collect()}
+    order = sorted(((i, t or "") for i, t in docs), reverse=True)
+    prints = [smallest_by_force(t) for _, t in order]
+    assert len(out) == len(docs)
     for k, (i, t) in enumerate(order):
         after = order[(k + 1) % len(order)][1]
         m = len(t) // 3
         edited = t[: len(t) - m] + after[:m]
+        changed = smallest_by_force(edited)
         r = out[i]
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert r.fingerprint == lz_fingerprint.write(prints[k]) and r.edited_fingerprint == lz_fingerprint.write(lz_fingerprint.fingerprint(edited))
-        assert r.near_next == lz_fingerprint.likeness(prints[k], prints[(k + 1) % len(order)])
+        assert r.fingerprint == "".join(f"{h:08x}" for h in prints[k])
+        assert r.edited_fingerprint == "".join(f"{h:08x}" for h in changed)
+        assert r.near_edited == like_by_force(prints[k], changed)
+        assert r.near_next == like_by_force(prints[k], prints[(k + 1) % len(order)])
+
+
+def test_likeness_estimates_that_of_all_phrases():
+    rnd = random.Random(81)
+    off = []
+    for share in (0.0, 0.3, 0.6, 0.9):
+        a = sentence(rnd, 800)
+        b = a[: int(len(a) * share)] + sentence(rnd, 800)[: int(len(a) * (1 - share))]
+        p, q = phrases_by_force(a), phrases_by_force(b)
+        off.append(lz_fingerprint.likeness(lz_fingerprint.fingerprint(a), lz_fingerprint.fingerprint(b)) - len(p & q) / len(p | q))
+    assert max(map(abs, off)) < 0.2 and abs(sum(off) / len(off)) < 0.1
+
+
+def test_chain_of_one_id_is_dealt_to_many_ranges(documents):
+    rnd = random.Random(82)
+    docs = [(5, sentence(rnd, 9)) for _ in range(60)] + [(None, sentence(rnd, 9)) for _ in range(30)] + [(k, sentence(rnd, 9)) for k in (3, 4, 8)]
+    rows = lz_fingerprint.chain(documents(docs)).collect()
+    hash_of = {t: xxhash.xxh64_intdigest(t.encode(), 42) for _, t in docs}
+    signed = lambda t: hash_of[t] - (1 << 64) if hash_of[t] >> 63 else hash_of[t]
+    order = sorted(docs, key=lambda d: (-(d[0] if d[0] is not None else -(1 << 63)), signed(d[1])))
+    want = Counter()
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        want[(i, "".join(f"{h:08x}" for h in smallest_by_force(t)), like_by_force(smallest_by_force(t), smallest_by_force(after)))] += 1
+    assert Counter((r.doc_id, r.fingerprint, r.near_next) for r in rows) == want
 
 
 def test_chain_of_odd_rows(odd):
@@ -649,6 +704,31 @@ def test_pipeline_equals_brute_force(spark, documents, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "simhash_near_dedup", "best_fit_packing"]
 
 
+def test_pipeline_of_odd_rows(spark, documents, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(121)
+    long = "\n".join(sentence(rnd, 30) for _ in range(700))
+    text = "\n".join(sentence(rnd, 30) for _ in range(5))
+    docs = [(1, None), (2, ""), (3, text), (3, text), (None, text), (4, long), (5, long + "\n" + sentence(rnd, 60)), (None, None), (6, " \n\t ")]
+    table = documents(docs)
+    for name in ("rules", "n_deleted", "_near_doc", "_rules_text", "lines", "hash", "row"):
+        table = table.withColumn(name, F.lit(name))
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    got = Counter()
+    for r in rows:
+        got[r.doc_id] += r.n_tokens
+    # Null ids come first, so the text of 3 is a copy; the new end of 5 stays.
+    assert got == {None: 151, 4: 21_001, 5: 61}
+    docs = table.where("doc_id is not null")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == table.columns, name
+    table.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_near_dedup_equals_jaccard_brute_force(spark, documents):
     import corpus_pipeline
 
