@@ -758,5 +758,5 @@ def test_near_dedup_equals_jaccard_brute_force(spark, documents):
     table = documents(docs)
     rows = shingle_join.sets_of(table, "doc_id", "text").cache()
     sets_table = rows.drop("doc_id").dropDuplicates(["print"])
-    found = simhash.grouped(rows.select("doc_id", "hash", "print"), lambda _: shingle_join.links(table, sets_table, block=2))
+    found = simhash.grouped(rows.select("doc_id", "hash", "print"), lambda _: shingle_join.links(table, sets_table, block=2, text_block=2))
     assert {r.doc_id: r.component_id for r in found.collect()} == dict(enumerate(root))
