@@ -65,12 +65,18 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Col
 
 
 def shape(segment: Column) -> Column:
-    """A segment with what varies by its form left out."""
+    """A segment with what varies by its form left out.
+
+    Only classes of characters are repeated, never groups: the engine of regular
+    expressions calls itself for each turn of a group, which long segments don't
+    survive. So words joined by hyphens are counted by splitting.
+    """
+    words = F.split(segment, "-")
     return (
         F.when(segment.rlike(r"^[0-9]+$"), F.lit("{n}"))
         .when(segment.rlike(r"^[0-9]+\.[A-Za-z0-9]+$"), F.concat(F.lit("{n}"), F.regexp_extract(segment, r"(\.[A-Za-z0-9]+)$", 1)))
         .when(segment.rlike(r"^[0-9a-fA-F]{8}[0-9a-fA-F-]*$"), F.lit("{x}"))
-        .when(segment.rlike(r"^[^-]+(-[^-]+){3,}$") | (F.length(segment) > 40), F.lit("{s}"))
+        .when((F.length(segment) > 40) | (F.size(words) >= 4) & ~F.array_contains(words, ""), F.lit("{s}"))
         .otherwise(segment)
     )
 

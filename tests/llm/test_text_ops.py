@@ -155,6 +155,16 @@ def test_hosts_paths_and_rules(spark):
     assert url_tree.judge_urls(pages.limit(0), none).count() == 0
 
 
+def test_urls_of_a_million_characters(spark):
+    urls = [f"https://h/{(c + 'a') * 500_000}" for c in "-/."] + ["https://h/a-b-c-d", "https://h/a-b-c", "https://h/a--b-c", f"https://{'-a.b' * 250_000}", "x" * 1_000_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    none = spark.createDataFrame([], "id long, bad int")
+    out = {r.page_id: r for r in url_tree.judge_urls(pages, none).collect()}
+    assert len(out[0].path) == len(out[1].path) == 1_000_001 and len(out[6].host) == 1_000_000
+    shapes = {r.page_id: r.s for r in pages.select("page_id", url_tree.path_shape(url_tree.host_path(F.col("url"))[1]).alias("s")).where("page_id <> 1").collect()}
+    assert [shapes[k] for k in (0, 2, 3, 4, 5)] == [["{s}"], ["{s}"], ["{s}"], ["a-b-c"], ["a--b-c"]]
+
+
 def test_tree_rejects_impure_templates(spark):
     rows, labels = [], []
     for i in range(400):
