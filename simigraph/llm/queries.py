@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simigraph.llm import bpe_chunks, common, lattice_lm, line_dedup, line_rules, lz_fingerprint, packing, simhash, token_cache, token_files, url_tree
+from simigraph.llm import bpe_chunks, common, lattice_lm, line_dedup, line_rules, lz_fingerprint, packing, simhash, token_cache, token_files, url_tree, whitening
 from simigraph.llm.common import SPACE, WORD, table
 
 WORD_BPE, BYTE_BPE, PIECES = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -70,6 +70,13 @@ def op10_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.encode_decode(table(spark, sf_dir, "documents"), BYTE_BPE, digests=True)
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each vector and component."""
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    each = out.select("vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("k", "whitened"))
+    return each.select("vec_id", (F.col("k") + 1).alias("component"), "n", "deviation", "whitened", F.get("explained", F.col("k")).alias("explained"), "identity_error")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_files, op2_best_fit_packing, op3_url_tree, op4_line_dedup, op5_simhash, op6_lattice_lm, op7_token_counts, op8_lz_fingerprints, op9_line_rules, op10_bpe_chunks, pipeline)
+    for f in (op1_token_files, op2_best_fit_packing, op3_url_tree, op4_line_dedup, op5_simhash, op6_lattice_lm, op7_token_counts, op8_lz_fingerprints, op9_line_rules, op10_bpe_chunks, op13_whitening, pipeline)
 }
 
 # Runs of equal lines along the diagonals of any two documents, or one document and itself.
