@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simigraph.llm import bpe_chunks, common, lattice_lm, line_dedup, line_rules, lz_fingerprint, packing, simhash, token_cache, token_files, url_tree, whitening
+from simigraph.llm import bpe_chunks, common, filter_audit, lattice_lm, line_dedup, line_rules, lz_fingerprint, packing, simhash, token_cache, token_files, url_tree, whitening
 from simigraph.llm.common import SPACE, WORD, table
 
 WORD_BPE, BYTE_BPE, PIECES = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -70,6 +70,10 @@ def op10_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.encode_decode(table(spark, sf_dir, "documents"), BYTE_BPE, digests=True)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each vector and component."""
     out = whitening.whiten(table(spark, sf_dir, "embeddings"))
@@ -85,7 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_files, op2_best_fit_packing, op3_url_tree, op4_line_dedup, op5_simhash, op6_lattice_lm, op7_token_counts, op8_lz_fingerprints, op9_line_rules, op10_bpe_chunks, op13_whitening, pipeline)
+    for f in (op1_token_files, op2_best_fit_packing, op3_url_tree, op4_line_dedup, op5_simhash, op6_lattice_lm, op7_token_counts, op8_lz_fingerprints, op9_line_rules, op10_bpe_chunks, op11_filter_audit, op13_whitening, pipeline)
 }
 
 # Runs of equal lines along the diagonals of any two documents, or one document and itself.
@@ -137,4 +141,21 @@ failed AS (SELECT *, n_words < {_R.LEAST_WORDS} OR n_repeat_words * 100 > n_word
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_left * 100 >= n_words * {_R.KEEP_PERCENT} AS kept FROM failed
 """
 
-ORACLE: dict[str, str] = {"op4_line_dedup": _LINES, "op9_line_rules": _RULES}
+_AUDIT = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, part, t, regexp_extract_all(t, '{WORD}') AS ws, min(doc_id) OVER (PARTITION BY t) < doc_id AS copy FROM d),
+f AS (SELECT doc_id, part, CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN copy THEN 16 ELSE 0 END AS mask FROM w),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l ON f.doc_id = l.doc_id GROUP BY part, mask),
+k AS (SELECT chr(65 + i) AS letter, 1 << i AS bit FROM (SELECT unnest(range(0, 5))::INTEGER AS i)),
+o AS (SELECT p.letter || q.letter || r.letter || s.letter || t.letter AS filter_order, [p.bit, q.bit, r.bit, s.bit, t.bit] AS bits FROM k p, k q, k r, k s, k t WHERE p.bit | q.bit | r.bit | s.bit | t.bit = 31),
+steps AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INTEGER AS before FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM o)),
+r AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (WHERE mask & (before | bit) = 0), 0) AS kept, coalesce(sum(n) FILTER (WHERE mask & bit > 0 AND mask & before = 0), 0) AS removed,
+  coalesce(sum(n) FILTER (WHERE mask & bit > 0 AND mask & before > 0), 0) AS redundant, coalesce(sum(n) FILTER (WHERE mask = bit), 0) AS unique_fails,
+  coalesce(sum(good) FILTER (WHERE mask & bit > 0 AND mask & before = 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE mask & bit > 0 AND mask & before = 0), 0) AS toxic_lost FROM c, steps GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r
+"""
+
+ORACLE: dict[str, str] = {"op4_line_dedup": _LINES, "op9_line_rules": _RULES, "op11_filter_audit": _AUDIT}
