@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simigraph.llm import bpe_chunks, common, filter_audit, lattice_lm, line_dedup, line_rules, lz_fingerprint, packing, simhash, token_cache, token_files, url_tree, whitening
+from simigraph.llm import bpe_chunks, common, filter_audit, language_id, lattice_lm, line_dedup, line_rules, lz_fingerprint, packing, simhash, token_cache, token_files, url_tree, whitening
 from simigraph.llm.common import SPACE, WORD, table
 
 WORD_BPE, BYTE_BPE, PIECES = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -74,6 +74,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return language_id.identify(table(spark, sf_dir, "documents"), held_out)
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each vector and component."""
     out = whitening.whiten(table(spark, sf_dir, "embeddings"))
@@ -89,7 +94,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_files, op2_best_fit_packing, op3_url_tree, op4_line_dedup, op5_simhash, op6_lattice_lm, op7_token_counts, op8_lz_fingerprints, op9_line_rules, op10_bpe_chunks, op11_filter_audit, op13_whitening, pipeline)
+    for f in (op1_token_files, op2_best_fit_packing, op3_url_tree, op4_line_dedup, op5_simhash, op6_lattice_lm, op7_token_counts, op8_lz_fingerprints, op9_line_rules, op10_bpe_chunks, op11_filter_audit, op12_language_id, op13_whitening, pipeline)
 }
 
 # Runs of equal lines along the diagonals of any two documents, or one document and itself.
