@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import bisect
 import itertools
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simigraph import store
@@ -24,6 +22,11 @@ def fingerprints(frames: DataFrame) -> DataFrame:
     return hashed.groupBy("video").agg(F.transform(F.array_sort(F.collect_list("f")), lambda f: f["hash"]).alias("hashes"))
 
 
+def _masks(most: int) -> list[int]:
+    """A band's bits with up to so many changed, as what to change."""
+    return [sum(1 << b for b in bits) for k in range(most + 1) for bits in itertools.combinations(range(BITS // BANDS), k)]
+
+
 def near_hashes(hashes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """All pairs (id_a < id_b, bits) of (id, hash) within the distance, exactly.
 
@@ -34,14 +37,12 @@ def near_hashes(hashes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     in 2^16 / 17, so the joins' buckets are that much smaller than the table.
     """
     width, each = BITS // BANDS, distance // BANDS
-    mask = lambda bits: sum(1 << b for b in bits)
-    masks = lambda most: [mask(c) for k in range(most + 1) for c in itertools.combinations(range(width), k)]
     band = lambda k: F.shiftrightunsigned("hash", width * k).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
     def side(s: str, most: int) -> DataFrame:
         keys = F.array(*(F.struct(F.lit(k).alias("band"), band(k).alias("bits")) for k in range(BANDS)))
         rows = hashes.select(F.col("id").alias(f"id_{s}"), F.col("hash").alias(f"hash_{s}"), F.explode(keys).alias("k"))
-        changed = F.explode(F.transform(F.array(*(F.lit(m).cast("long") for m in masks(most))), lambda m: F.col("k.bits").bitwiseXOR(m)))
+        changed = F.explode(F.transform(F.array(*(F.lit(m).cast("long") for m in _masks(most))), lambda m: F.col("k.bits").bitwiseXOR(m)))
         return rows.select(f"id_{s}", f"hash_{s}", "k.band", changed.alias("bits"))
 
     bits = hamming(F.col("hash_a"), F.col("hash_b"))
@@ -74,9 +75,66 @@ def frame_matches(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return joined.select("video_a", "video_b", (F.col("matched") / F.least("n_a", "n_b") * 100).alias("percent"))
 
 
+def candidates(prints: DataFrame, distance: int = DISTANCE, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs (video_a, video_b) that may reach the threshold, from (video, hashes, lo, hi); a comes before b: lo of a is below hi of b.
+
+    A pair needs ceil(threshold * the smaller number of frames) frames of a with a
+    near one in b. So of a's n frames, in whatever order, one of the first
+    n - need + 1 has one. The order is by how often the frame's bands occur: rare
+    frames come first, and a frame that many videos have is looked up only for
+    videos that are short enough to be matched by the frames from there on. Those
+    find b by the band and by the size of its need in powers of two, so that
+    frames of long videos never meet.
+    """
+    if threshold <= 0:
+        raise ValueError("any two videos reach a threshold of nothing")
+    share = threshold / 100
+    need = lambda n: F.greatest(F.ceil(n * share - 1e-9), F.lit(1)).cast("int")
+    width = BITS // BANDS
+    band = lambda h, k: F.shiftrightunsigned(h, width * k).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+    masks = F.array(*(F.lit(m).cast("long") for m in _masks(distance // BANDS - distance // BANDS // 2)))
+    masks_b = F.array(*(F.lit(m).cast("long") for m in _masks(distance // BANDS // 2)))
+    sized = prints.where(F.size("hashes") > 0).select("video", "lo", "hi", F.size("hashes").alias("n"), "hashes")
+    frames = sized.select("video", "lo", "n", F.posexplode("hashes").alias("pos", "hash"))
+    bands = F.explode(F.array(*(F.struct(F.lit(k).alias("band"), band(F.col("hash"), k).alias("bits")) for k in range(BANDS))))
+    # How many distinct hashes of videos have the band: what a lookup would meet.
+    held = sized.select("video", F.explode(F.array_distinct("hashes")).alias("hash")).select(F.col("hash"), bands.alias("k")).groupBy("k").agg(F.count("*").alias("held"))
+    distinct = sized.select(F.explode("hashes").alias("hash")).distinct()
+    rarity = distinct.select("hash", bands.alias("k")).join(held, "k").groupBy("hash").agg(F.max("held").alias("held"))
+    ranked = frames.join(rarity, "hash").groupBy("video", "lo", "n").agg(F.array_sort(F.collect_list(F.struct("held", "hash"))).alias("f"))
+    each = ranked.select("video", "lo", "n", F.posexplode("f").alias("at", "f")).select("video", "lo", "n", (F.col("n") - F.col("at")).alias("room"), F.col("f.hash").alias("hash"))
+    # Of equal frames of a video the first one has the most room.
+    each = each.groupBy("video", "lo", "n", "hash").agg(F.max("room").alias("room"))
+    each = store.materialise(each, "frames")
+    power = lambda n: F.floor(F.log2(n.cast("double"))).cast("int")
+
+    def keyed(df: DataFrame, flips: Column, *cols: str) -> DataFrame:
+        rows = df.select(*cols, "hash", bands.alias("k"))
+        return rows.select(*cols, "hash", "k.band", F.explode(F.transform(flips, lambda m: F.col("k.bits").bitwiseXOR(m))).alias("bits"))
+
+    b = sized.select(F.col("video").alias("video_b"), "hi", F.col("n").alias("n_b"), F.explode(F.array_distinct("hashes")).alias("hash"))
+    b = keyed(b, masks_b, "video_b", "hi", "n_b").withColumnRenamed("hash", "hash_b")
+    everywhere = keyed(each.where(F.col("room") >= need(F.col("n"))).withColumnRenamed("video", "video_a"), masks, "video_a", "lo", "room", "n")
+    short = keyed(each.where(F.col("room") < need(F.col("n"))).withColumnRenamed("video", "video_a"), masks, "video_a", "lo", "room", "n")
+    short = short.select("*", F.explode(F.sequence(F.lit(0), power(F.col("room")))).alias("power"))
+    enough = need(F.least("n", "n_b")) <= F.col("room")
+    near = (hamming(F.col("hash"), F.col("hash_b")) <= distance) & (F.col("lo") < F.col("hi")) & (F.col("video_a") != F.col("video_b"))
+    met = everywhere.join(b, ["band", "bits"]).where(enough & near).select("video_a", "video_b")
+    met_short = short.join(b.withColumn("power", power(need(F.col("n_b")))), ["band", "bits", "power"]).where(enough & near).select("video_a", "video_b")
+    return met.unionByName(met_short).distinct()
+
+
+def compared(prints: DataFrame, distance: int = DISTANCE, threshold: float = THRESHOLD) -> DataFrame:
+    """video_a, video_b and percent of the pairs of (video, hashes, lo, hi) that reach the threshold: candidates, then all frames of both."""
+    found = candidates(prints, distance, threshold)
+    side = lambda s: prints.select(F.col("video").alias(f"video_{s}"), F.col("hashes").alias(f"hashes_{s}"))
+    both = found.join(side("a"), "video_a").join(side("b"), "video_b")
+    return exact_percent(both, distance).where(F.col("percent") >= threshold).select("video_a", "video_b", "percent")
+
+
 def match_videos(prints: DataFrame, distance: int = DISTANCE, threshold: float = THRESHOLD, quick: bool = True) -> DataFrame:
-    """Pairs with their percentage; equal signatures count as 100."""
-    found = frame_matches(prints, distance).where(F.col("percent") >= threshold)
+    """All pairs in the order of their names, with their percentage; equal signatures count as 100."""
+    found = compared(prints.select("video", "hashes", F.col("video").alias("lo"), F.col("video").alias("hi")), distance, threshold)
     if not quick:
         return found
     same = signature_pairs(prints)
@@ -88,50 +146,78 @@ def exact_percent(pairs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return pairs.withColumn("percent", frame_match_percent(F.col("hashes_a"), F.col("hashes_b"), distance))
 
 
+def leaders(durations: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """duration, leader and the leader's first path, of distinct (duration, first).
+
+    Whoever comes first among all within the tolerance leads, those within its
+    tolerance follow, and the others go on: the same leaders as taking one after
+    the other in the order of their paths. In cells somewhat wider than the
+    tolerance only the first of a cell can lead, and only neighbours of a cell can
+    be near, so a round is two joins by cells; the rounds grow with the logarithm
+    of a chain's length where paths are in no order, and at worst (paths in the
+    order of durations) with the number of leaders in a row. Each round is a table.
+    """
+    if tolerance < 0:
+        raise ValueError("the tolerance is negative")
+    width = tolerance * (1 + 1e-9) or 1.0
+    whole = store.materialise(durations.select("duration", "first", F.floor(F.col("duration") / width).alias("cell")), "durations")
+    around = lambda cells: F.explode(F.array(*(F.col("cell") + k for k in cells)))
+    near = F.abs(F.col("duration") - F.col("leader")) <= tolerance
+    open_, found = whole, []
+    while not open_.isEmpty():
+        first = open_.groupBy("cell").agg(F.min(F.struct("first", "duration")).alias("m")).select("cell", F.col("m.first").alias("lead_first"), F.col("m.duration").alias("leader"))
+        beaten = open_.join(first.select(around((-1, 1)).alias("cell"), "leader", "lead_first"), "cell").where(near & (F.col("first") < F.col("lead_first"))).select("leader").distinct()
+        lead = store.materialise(first.join(beaten, "leader", "left_anti").select("leader", "lead_first", "cell"), "leaders")
+        led = open_.join(lead.select(around((-1, 0, 1)).alias("cell"), "leader"), "cell").where(near).select("duration").distinct()
+        rest = store.materialise(open_.join(led, "duration", "left_anti"), "durations")
+        if open_ is not whole:
+            store.discard(open_)
+        found.append(lead)
+        open_ = rest
+    if not found:
+        return whole.select("duration", F.col("duration").alias("leader"), F.col("first").alias("lead_first"))
+    lead = found[0]
+    for more in found[1:]:
+        lead = lead.unionByName(more)
+    met = whole.join(lead.select(around((-1, 0, 1)).alias("cell"), "leader", "lead_first"), "cell").where(near)
+    return met.groupBy("duration").agg(F.min(F.struct("lead_first", "leader")).alias("l")).select("duration", "l.leader", "l.lead_first")
+
+
 def duration_groups(files: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """path, duration and its leader, for groups of two and more; unknown durations go.
+    """path, duration, its leader and the leader's first path, for groups of two and more; unknown and infinite durations go.
 
     A file joins the first earlier leader within the tolerance, in path order,
-    else leads. What lies further apart than the tolerance in sorted order is
-    independent, so the fold runs in each such chain by itself, over distinct
-    durations with their first path: later files of a duration follow its first.
+    else leads. Later files of a duration follow its first.
     """
-    known = files.where("duration is not null").groupBy("duration").agg(F.min("path").alias("first"))
-    # Chains begin where a cell of the tolerance's width has no neighbour in the cell before.
-    cell = F.floor(F.col("duration") / tolerance).cast("long")
-    cells = known.select(cell.alias("cell")).distinct()
-    begins = F.col("cell") - F.row_number().over(Window.orderBy("cell"))
-    chains = cells.select("cell", begins.alias("chain"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[float] = []  # in order; any two lie further apart than the tolerance, so few can be near
-        since: dict[float, int] = {}
-        out = []
-        for k, d in enumerate(pdf.sort_values("first")["duration"].tolist()):
-            at = bisect.bisect_left(leaders, d)
-            near = [x for x in leaders[max(0, at - 2) : at + 2] if abs(d - x) <= tolerance]
-            lead = min(near, key=since.__getitem__, default=None)
-            if lead is None:
-                leaders.insert(at, d)
-                since[d], lead = k, d
-            out.append((d, lead))
-        return pd.DataFrame(out, columns=["duration", "leader"])
-
-    lead = known.withColumn("cell", cell).join(chains, "cell").select("chain", "duration", "first").groupBy("chain").applyInPandas(fold, "duration double, leader double")
-    joined = files.where("duration is not null").join(lead, "duration")
+    known = files.where(F.col("duration").isNotNull() & ~F.isnan("duration") & (F.abs("duration") != float("inf")))
+    lead = leaders(known.groupBy("duration").agg(F.min("path").alias("first")), tolerance)
+    joined = known.select("path", "duration").join(lead, "duration")
     big = joined.groupBy("leader").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return joined.join(big, "leader").select("path", "duration", "leader")
+    return joined.join(big, "leader").select("path", "duration", "leader", "lead_first")
 
 
 def video_groups(videos: DataFrame, prints: DataFrame, distance: int = DISTANCE, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, quick: bool = True, by_duration: bool = True) -> DataFrame:
     """path and its group (the first path) of videos that look alike, from (path, duration) and (video, hashes).
 
-    Pairs come from the index of frames; those of other duration groups are left
-    out, so no group is compared pair by pair.
+    Durations only say which videos take part: those of groups of two and more,
+    each compared with every other, of whatever group. Of a pair, the one whose
+    leader came first (then the one with the first path) is asked for its frames.
+    Videos with the same frames count as one, which comes both as early as the first
+    and as late as the last of them; they, and videos with the same signature,
+    are tied to the first one instead of each other.
     """
-    found = match_videos(prints, distance, threshold, quick)
+    taking_part = prints.where(F.size("hashes") > 0).select(F.col("video").alias("path"), "hashes")
+    order = F.struct("path")
     if by_duration:
-        leads = store.materialise(duration_groups(videos, tolerance).select("path", "leader"), "leaders")
-        a, b = leads.toDF("video_a", "_a"), leads.toDF("video_b", "_b")
-        found = found.join(a, "video_a").join(b, "video_b").where("_a = _b")
-    return groups.components(found, "video_a", "video_b").select(F.col("node").alias("path"), F.col("component").alias("group"))
+        taking_part = taking_part.join(duration_groups(videos, tolerance).select("path", "lead_first"), "path")
+        order = F.struct("lead_first", "path")
+    taking_part = store.materialise(taking_part.withColumn("order", order), "videos")
+    alike = taking_part.groupBy("hashes").agg(F.min("order").alias("lo"), F.max("order").alias("hi"))
+    alike = store.materialise(alike.select(F.col("lo.path").alias("video"), "hashes", "lo", "hi"), "prints")
+    copies = taking_part.join(alike, "hashes").where(F.col("path") != F.col("video"))
+    edges = compared(alike, distance, threshold).select("video_a", "video_b").unionByName(copies.select(F.col("video").alias("video_a"), F.col("path").alias("video_b")))
+    if quick:
+        signed = alike.select("video", visual_signature(F.col("hashes")).alias("sig"))
+        first = signed.groupBy("sig").agg(F.min("video").alias("first"))
+        edges = edges.unionByName(signed.join(first, "sig").where("video <> first").select(F.col("first").alias("video_a"), F.col("video").alias("video_b")))
+    return groups.components(edges, "video_a", "video_b").select(F.col("node").alias("path"), F.col("component").alias("group"))

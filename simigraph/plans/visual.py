@@ -94,7 +94,7 @@ led AS (SELECT f.path, f.duration, steps.leader, count(*) OVER (PARTITION BY ste
 
 @query("a05_duration_groups", LEADERS + " SELECT path, duration, leader FROM led WHERE n > 1")
 def a05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return visual.duration_groups(event_durations(spark, sf_dir))
+    return visual.duration_groups(event_durations(spark, sf_dir)).drop("lead_first")
 
 
 @query("j12_near_durations", "WITH d AS (SELECT DISTINCT value AS d FROM events WHERE value IS NOT NULL), p AS (SELECT a.d AS a, b.d AS b FROM d a JOIN d b ON a.d < b.d AND b.d - a.d <= 0.05) SELECT a, count(*) AS near FROM p GROUP BY a")
@@ -114,14 +114,17 @@ def videos(prints_: DataFrame) -> DataFrame:
     return prints_.select(F.col("video").alias("path"), (F.col("video") * 7919 % 11).cast("double").alias("duration"))
 
 
-# Durations are 0 to 10 and the tolerance is 5, so there are three leaders at most; they are found one after the other.
+# Durations are 0 to 10 and the tolerance is 5, so there are three leaders at most; they are found one after the other. Videos of groups of
+# two and more are put in a row, group after group, and each is asked for its frames by every later one.
 _VIDEO_GROUPS = (
     VIDEO_DURATIONS.replace("WITH raw", "WITH RECURSIVE raw", 1)
     + """, l1 AS (SELECT min_by(duration, path) AS d FROM files), l2 AS (SELECT min_by(duration, path) AS d FROM files, l1 WHERE abs(duration - l1.d) > 5),
 l3 AS (SELECT min_by(duration, path) AS d FROM files, l1, l2 WHERE abs(duration - l1.d) > 5 AND abs(duration - l2.d) > 5),
-leads AS (SELECT path, CASE WHEN abs(duration - l1.d) <= 5 THEN l1.d WHEN abs(duration - l2.d) <= 5 THEN l2.d ELSE l3.d END AS leader FROM files, l1, l2, l3),
-c AS (SELECT a.video AS video_a, b.video AS video_b, count(DISTINCT x.frame) AS matched, any_value(len(a.hashes)) AS na, any_value(len(b.hashes)) AS nb FROM prints a JOIN prints b ON a.video < b.video JOIN v x ON x.video = a.video JOIN v y ON y.video = b.video AND bit_count(xor(x.hash, y.hash)) <= 10 GROUP BY 1, 2),
-e AS (SELECT video_a AS a, video_b AS b FROM c JOIN leads p ON p.path = video_a JOIN leads q ON q.path = video_b WHERE p.leader = q.leader AND matched / least(na, nb)::DOUBLE * 100 >= 70),
+leads AS (SELECT path, CASE WHEN abs(duration - l1.d) <= 5 THEN 1 WHEN abs(duration - l2.d) <= 5 THEN 2 ELSE 3 END AS no FROM files, l1, l2, l3),
+flat AS (SELECT path, row_number() OVER (ORDER BY no, path) AS place FROM (SELECT *, count(*) OVER (PARTITION BY no) AS members FROM leads) WHERE members > 1),
+placed AS (SELECT place, video, hashes, hashes[1] AS f, CASE WHEN len(hashes) < 3 THEN hashes ELSE [hashes[1], hashes[len(hashes) // 2 + 1], hashes[len(hashes)]] END AS sig FROM prints JOIN flat ON path = video),
+e AS (SELECT p.video AS a, q.video AS b FROM placed p JOIN placed q ON p.place < q.place WHERE p.sig = q.sig
+  OR len(list_filter(p.hashes, lambda x: len(list_filter(q.hashes, lambda y: bit_count(xor(x, y)) <= 10)) > 0)) / least(len(p.hashes), len(q.hashes))::DOUBLE * 100 >= 70),
 both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS seen FROM both_ UNION SELECT r.node, both_.b FROM r JOIN both_ ON r.seen = both_.a)
 SELECT node AS path, min(seen) AS "group" FROM r GROUP BY node"""
 )
