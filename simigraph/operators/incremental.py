@@ -49,9 +49,9 @@ def refresh(listing: DataFrame, catalog: DataFrame, process) -> DataFrame:
 
 
 def latest(versions: DataFrame) -> DataFrame:
-    """Of each path the version with the greatest mtime (ties: the larger size)."""
+    """Of each path the version with the greatest mtime (ties: the larger size, then the other columns in order)."""
     rest = [c for c in versions.columns if c != "path"]
-    last = versions.groupBy("path").agg(F.max_by(F.struct(*rest), F.struct("mtime", "size")).alias("_v"))
+    last = versions.groupBy("path").agg(F.max(F.struct(F.struct("mtime", "size").alias("_at"), F.struct(*rest).alias("_v"))).alias("_m")).select("path", F.col("_m._v").alias("_v"))
     return last.select("path", *(F.col(f"_v.{c}").alias(c) for c in rest))
 
 

@@ -99,7 +99,7 @@ def r01(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("size"), (F.unix_micros("ts") / 1e6).alias("mtime"))
     path = store.new_path(spark, "stream")
     scans.keep_catalog(versions, f"{path}/catalog", f"{path}/log", BUCKETS).awaitTermination()
-    return scans.read_catalog(spark, f"{path}/catalog", "path string, size long, mtime double", BUCKETS).select("path", "mtime")
+    return scans.read_catalog(spark, f"{path}/catalog", "path string, size long, mtime double").select("path", "mtime")
 
 
 @query("r01_stream_dedup", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1, 2")

@@ -15,32 +15,39 @@ def file_stream(spark: SparkSession, path: str, schema: StructType | str, files_
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
 
 
-def keep_catalog(versions: DataFrame, catalog: str, checkpoint: str, buckets: int = 1) -> StreamingQuery:
+def keep_catalog(versions: DataFrame, catalog: str, checkpoint: str, buckets: int = 16, keep: int = 2) -> StreamingQuery:
     """Upsert the latest version of each path into the catalog, batch by batch, until the stream is drained.
 
-    The catalog is dealt to ``buckets`` tables by a hash of the path; a batch
-    rewrites only those it touches, each as a new version that is committed when
-    it is whole (``store.replace``). A writer that dies leaves the versions
-    before, and a batch that is run again gives the same catalog. Files that
-    vanish need a whole listing and are purged by the batch scan.
+    The catalog is dealt to ``buckets`` by a hash of the path; a batch rewrites
+    only those it touches and commits them as one version (``store.merge``), so
+    readers see all of a batch or nothing. A writer that dies leaves the version
+    before, and a batch that is run again gives the same catalog. Several streams
+    may keep one catalog. The newest ``keep`` versions can be read. Rows may have a column ``deleted``: where the latest
+    version of a path is a deletion, the catalog keeps it as a tombstone, which
+    ``read_catalog`` leaves out.
     """
 
     def put(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         fresh = store.materialise(latest(batch).withColumn("_bucket", F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int")), "batch")
-        for r in fresh.select("_bucket").distinct().collect():  # at most ``buckets`` rows
-            rows = fresh.where(F.col("_bucket") == r["_bucket"]).drop("_bucket")
-            old = store.read(spark, f"{catalog}/{r['_bucket']}")
-            store.replace(rows if old is None else latest(old.select(*rows.columns).unionByName(rows)), f"{catalog}/{r['_bucket']}")
+        touched = [r["_bucket"] for r in fresh.select("_bucket").distinct().collect()]  # at most ``buckets`` rows
+
+        def merged(k: int, old: DataFrame | None) -> DataFrame:
+            rows = fresh.where(F.col("_bucket") == k).drop("_bucket")
+            return rows if old is None else latest(old.select(*rows.columns).unionByName(rows))
+
+        store.merge(spark, catalog, touched, merged, keep)
         store.discard(fresh)
 
     return versions.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_catalog(spark: SparkSession, catalog: str, schema: StructType | str, buckets: int = 1) -> DataFrame:
-    """The newest versions of all buckets."""
-    folders = [f for k in range(buckets) if (f := store.current(spark, f"{catalog}/{k}"))]
-    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+def read_catalog(spark: SparkSession, catalog: str, schema: StructType | str, number: int | None = None) -> DataFrame:
+    """What the catalog has now, or had as of a version; without tombstones."""
+    found = store.read(spark, catalog, number)
+    if found is None:
+        return spark.createDataFrame([], schema)
+    return found.where("not coalesce(deleted, false)").drop("deleted") if "deleted" in found.columns else found
 
 
 def first_in_window(rows: DataFrame, keys: list[str], time: str = "ts", late: str = "1 hour") -> DataFrame:

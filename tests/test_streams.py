@@ -9,30 +9,40 @@ VERSIONS = "path string, size long, mtime double"
 
 def test_catalog_stream_keeps_the_latest_version(spark, tmp_path):
     source, catalog, log = (f"file://{tmp_path}/{n}" for n in ("in", "catalog", "log"))
-    spark.createDataFrame([("a", 1, 1.0), ("b", 1, 5.0)], VERSIONS).write.parquet(source)
-    scans.keep_catalog(scans.file_stream(spark, source, VERSIONS, 1), catalog, log).awaitTermination()
-    spark.createDataFrame([("a", 2, 3.0), ("b", 2, 4.0), ("c", 3, 1.0)], VERSIONS).write.mode("append").parquet(source)
-    scans.keep_catalog(scans.file_stream(spark, source, VERSIONS, 1), catalog, log).awaitTermination()
+    spark.createDataFrame([("a", 1, 1.0), ("b", 1, 5.0)], VERSIONS).coalesce(1).write.parquet(source)
+    scans.keep_catalog(scans.file_stream(spark, source, VERSIONS, 1), catalog, log, 4, keep=9).awaitTermination()
+    spark.createDataFrame([("a", 2, 3.0), ("b", 2, 4.0), ("c", 3, 1.0)], VERSIONS).coalesce(1).write.mode("append").parquet(source)
+    scans.keep_catalog(scans.file_stream(spark, source, VERSIONS, 1), catalog, log, 4, keep=9).awaitTermination()
     assert {(r.path, r["size"]) for r in scans.read_catalog(spark, catalog, VERSIONS).collect()} == {("a", 2), ("b", 1), ("c", 3)}
+    assert {(r.path, r["size"]) for r in scans.read_catalog(spark, catalog, VERSIONS, 1).collect()} == {("a", 1), ("b", 1)}
+
+
+def test_deletions_in_the_stream(spark, tmp_path):
+    schema = f"{VERSIONS}, deleted boolean"
+    source, catalog, log = (f"file://{tmp_path}/{n}" for n in ("in", "catalog", "log"))
+    for rows in ([("a", 1, 1.0, False), ("b", 1, 5.0, None)], [("a", 0, 2.0, True), ("b", 0, 4.0, True)], [("a", 9, 1.5, False), ("c", 3, 1.0, False), ("c", 3, 2.0, True)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        scans.keep_catalog(scans.file_stream(spark, source, schema, 1), catalog, log, 2).awaitTermination()
+    assert [(r.path, r["size"]) for r in scans.read_catalog(spark, catalog, VERSIONS).collect()] == [("b", 1)]
 
 
-@pytest.mark.parametrize("at", ["replace", "commit"])
+@pytest.mark.parametrize("at", ["put", "commit", "_claim", "clean"])
 def test_catalog_survives_a_writer_that_dies(spark, tmp_path, monkeypatch, at):
     source, catalog, log = (f"file://{tmp_path}/{n}" for n in ("in", "catalog", "log"))
     spark.createDataFrame([("a", 1, 1.0), ("b", 1, 5.0)], VERSIONS).write.parquet(source)
     scans.keep_catalog(scans.file_stream(spark, source, VERSIONS), catalog, log, 3).awaitTermination()
     spark.createDataFrame([("c", 3, 1.0)], VERSIONS).write.mode("append").parquet(source)
 
-    def dies(*_):
+    def dies(*_, **__):
         raise RuntimeError("gone")
 
     with monkeypatch.context() as m:
         m.setattr(store, at, dies)
         with pytest.raises(Exception, match="gone"):
             scans.keep_catalog(scans.file_stream(spark, source, VERSIONS), catalog, log, 3).awaitTermination()
-    assert {r.path for r in scans.read_catalog(spark, catalog, VERSIONS, 3).collect()} == {"a", "b"}
+    assert {r.path for r in scans.read_catalog(spark, catalog, VERSIONS).collect()} == {"a", "b"} | ({"c"} if at == "clean" else set())
     scans.keep_catalog(scans.file_stream(spark, source, VERSIONS), catalog, log, 3).awaitTermination()
-    assert {r.path for r in scans.read_catalog(spark, catalog, VERSIONS, 3).collect()} == {"a", "b", "c"}
+    assert {r.path for r in scans.read_catalog(spark, catalog, VERSIONS).collect()} == {"a", "b", "c"}
 
 
 def test_versions(spark, tmp_path):
@@ -42,8 +52,73 @@ def test_versions(spark, tmp_path):
         store.replace(spark.range(n), table)
         assert store.read(spark, table).count() == n
     assert store.versions(spark, table) == [3, 4]
-    with pytest.raises(FileExistsError):
-        store.commit(spark, table, 4)
+    assert store.read(spark, table, 3).count() == 3
+    with pytest.raises(ValueError, match="no version 1"):
+        store.read(spark, table, 1)
+    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("part-")]) == 2
+    store.put(spark.range(1), table)  # a writer that died
+    store.clean(spark, table)
+    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("part-")]) == 3
+    store.clean(spark, table, orphans_after=0)
+    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("part-")]) == 2
+    assert not [p for p in (tmp_path / "t" / "_log").iterdir() if not p.name.isdigit()]
+
+
+@pytest.mark.parametrize("first", [0, 1])
+def test_two_whole_writers_at_once(spark, tmp_path, first):
+    """Both write before either commits; both commits stand, and the later one is read."""
+    table = f"file://{tmp_path}/t"
+    frames = [spark.range(3), spark.range(100, 105)]
+    folders = [store.put(f, table) for f in frames]
+    for k in (first, 1 - first):
+        store.commit(spark, table, {0: folders[k]}, frames[k].schema, whole=True)
+        assert {r.id for r in store.read(spark, table).collect()} == {r.id for r in frames[k].collect()}
+    assert store.versions(spark, table) == [1, 2]
+    assert {r.id for r in store.read(spark, table, 1).collect()} == {r.id for r in frames[first].collect()}
+
+
+def test_two_who_take_the_same_number(spark, tmp_path, monkeypatch):
+    table = f"file://{tmp_path}/t"
+    schema = spark.range(1).schema
+    assert store._claim(spark, table, store.Version(1, {}, schema))
+    assert not store._claim(spark, table, store.Version(1, {0: "other"}, schema))
+    assert store.version(spark, table).folders == {}
+    # One that looked before the other committed finds the number taken, and looks again.
+    folder, seen = store.put(spark.range(2), table), []
+    real = store.version
+
+    def behind(*args, **options):
+        seen.append(1)
+        return None if len(seen) == 1 else real(*args, **options)
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "version", behind)
+        assert store.commit(spark, table, {0: folder}, schema, whole=True).number == 2
+    assert store.read(spark, table).count() == 2
+
+
+def test_merging_writers(spark, tmp_path):
+    """One merges other buckets between the reading and the commit of another, then the same bucket."""
+    table = f"file://{tmp_path}/t"
+    store.merge(spark, table, [0, 1], lambda k, old: spark.range(k, k + 1))
+    calls = []
+
+    def slow(k, old):
+        calls.append(old.count())
+        if len(calls) == 1:
+            store.merge(spark, table, [1], lambda _, o: o.union(spark.range(10, 11)))
+        if len(calls) == 2:
+            store.merge(spark, table, [0], lambda _, o: o.union(spark.range(20, 21)))
+        return old.union(spark.range(30, 31))
+
+    store.merge(spark, table, [0], slow)
+    assert {r.id for r in store.read(spark, table).collect()} == {0, 1, 10, 30} and calls == [1]
+    store.merge(spark, table, [0], slow)  # disturbed: made again from the other's rows
+    assert {r.id for r in store.read(spark, table, bucket=0).collect()} == {0, 20, 30} and calls == [1, 2, 3]
+    base = store.version(spark, table)
+    store.merge(spark, table, [0], lambda _, o: o)
+    with pytest.raises(store.Conflict):
+        store.commit(spark, table, {0: "x"}, base.schema, base)
 
 
 def test_stream_progress_and_windows(spark, tmp_path):
