@@ -1,10 +1,10 @@
 """Byte-identical files: size, then quick signature, then full hash.
 
-Sizes are counted by a scan that doesn't read contents. Contents are read once
-for the signatures of files of equal size, and once for the full hashes of files
-of equal signature; each step is written as a narrow table, so no later step
-repeats it. Counting a key is a partial aggregate before the shuffle; the keys
-that repeat are joined back, which a hot key can't overload.
+A table of contents is read once: signatures and hashes are made in the scan that
+reads them, and written as a narrow table, so no content is ever shuffled. Files
+that lie in folders aren't read as wholes: ``sources.ranged`` opens the candidates
+of each step alone. Counting a key is a partial aggregate before the shuffle; the
+keys that repeat are joined back, which a hot key can't overload.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from simigraph import store
 from simigraph.functions.digests import CHUNK, full_hash, quick_signature
+from simigraph.sources import ranged
 
 
 def _repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -33,31 +34,38 @@ def size_groups(files: DataFrame) -> DataFrame:
     return files.join(_repeated_keys(files, ["size"]), "size", "left_semi")
 
 
-def signed(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """path, size, mtime and quick signature of files of equal size, as a table."""
-    quick = size_groups(files).select("path", "size", "mtime", quick_signature(F.col("content"), chunk).alias("quick"))
-    return store.materialise(quick, "signed")
+def digests(files: DataFrame, chunk: int = CHUNK, full: bool = True) -> DataFrame:
+    """path, size, mtime, quick signature and, if ``full``, SHA-256 of all files, as a table: the one scan of contents."""
+    made = [quick_signature(F.col("content"), chunk).alias("quick"), *([full_hash(F.col("content")).alias("sha256")] if full else [])]
+    return store.materialise(files.select("path", "size", "mtime", *made), "digests")
 
 
 def quick_groups(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """path, size, mtime and quick of files of equal size and signature."""
-    return repeated(signed(files, chunk), ["size", "quick"])
-
-
-def hashed(files: DataFrame, candidates: DataFrame) -> DataFrame:
-    """path, size, mtime and SHA-256 of the candidates, as a table."""
-    some = files.join(candidates.select("path").distinct(), "path", "left_semi")
-    return store.materialise(some.select("path", "size", "mtime", full_hash(F.col("content")).alias("sha256")), "hashed")
+    return repeated(digests(files, chunk, full=False), ["size", "quick"])
 
 
 def exact_groups(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Files of the groups with equal SHA-256: path, size, mtime, sha256."""
-    return repeated(hashed(files, quick_groups(files, chunk)), ["sha256"])
+    return repeated(repeated(digests(files, chunk), ["size", "quick"]), ["sha256"]).select("path", "size", "mtime", "sha256")
+
+
+def quick_groups_of_files(listing: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """The same of files that lie in folders, from (path, size, mtime): two chunks are read of each file whose size repeats."""
+    found = ranged.signatures(store.materialise(size_groups(listing).select("path", "size", "mtime"), "sizes"), chunk)
+    return repeated(store.materialise(found.drop("bytes_read"), "signed"), ["size", "quick"])
+
+
+def exact_groups_of_files(listing: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """The same of files that lie in folders: whole files are read only where size and signature repeat."""
+    same = store.materialise(quick_groups_of_files(listing, chunk).select("path", "size", "mtime"), "candidates")
+    return repeated(store.materialise(ranged.digests(same).drop("bytes_read"), "hashed"), ["sha256"]).select("path", "size", "mtime", "sha256")
 
 
 def hash_groups(files: DataFrame) -> DataFrame:
     """The same groups by hashing every file."""
-    return repeated(files.select("path", "size", "mtime", full_hash(F.col("content")).alias("sha256")), ["sha256"])
+    hashed = files.select("path", "size", "mtime", full_hash(F.col("content")).alias("sha256"))
+    return repeated(store.materialise(hashed, "hashed"), ["sha256"])
 
 
 def star_pairs(groups: DataFrame, key: str = "sha256") -> DataFrame:
@@ -69,11 +77,12 @@ def star_pairs(groups: DataFrame, key: str = "sha256") -> DataFrame:
 
 def funnel(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """One row: files scanned, candidates after each step, groups."""
-    quick = signed(files, chunk)
+    made = digests(files, chunk)
+    quick = size_groups(made)
     same_quick = repeated(quick, ["size", "quick"])
-    exact = repeated(hashed(files, same_quick), ["sha256"])
+    exact = repeated(same_quick, ["sha256"])
     count = lambda df, name: df.agg(F.count("*").alias(name))
-    parts = [count(files.select("path"), "scanned"), count(quick, "same_size"), count(same_quick, "same_quick"), exact.agg(F.count("*").alias("exact_files"), F.count_distinct("sha256").alias("groups"))]
+    parts = [count(made, "scanned"), count(quick, "same_size"), count(same_quick, "same_quick"), exact.agg(F.count("*").alias("exact_files"), F.count_distinct("sha256").alias("groups"))]
     out = parts[0]
     for p in parts[1:]:  # one row each
         out = out.crossJoin(p)

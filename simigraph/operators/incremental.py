@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from simigraph import store
 from simigraph.progress import Listener, Progress
@@ -66,25 +67,41 @@ def not_candidates(files: DataFrame, candidates: DataFrame) -> DataFrame:
     return files.join(candidates.select("path").distinct(), "path", "left_anti").select("path", F.lit("skipped").alias("status"))
 
 
-def resumable(files: DataFrame, cache: str, make: Callable[[DataFrame], DataFrame], schema: str, batches: int = 8, batch: Column | None = None, listener: Listener | None = None) -> DataFrame:
-    """``make`` of all files (path, mtime, ...), batch by batch, each appended to the cache when it is done.
+def resumable(work: DataFrame, cache: str, make: Callable[[DataFrame, int], DataFrame], schema: str, batches: int = 8, batch: Column | None = None, listener: Listener | None = None) -> DataFrame:
+    """``make`` of the work (path, mtime, ...; no contents) batch by batch, each committed to the cache when it is done.
 
-    A run that was stopped goes on where it ended: files that the cache has with
-    the same path and mtime aren't made again. ``schema`` is of what ``make``
-    returns, which begins with path and mtime. Files are dealt to batches by
-    ``batch`` or a hash of their path, so a batch is never gathered anywhere.
+    A run that was stopped goes on where it ended: paths that the cache has with
+    the same mtime aren't made again. The work is written once, dealt to batches by
+    ``batch`` or a hash of the path; a batch reads its own part of the work and
+    its own bucket of the cache, and ``make``, which gets what is missing and the
+    batch's number, opens what these name. So everything is read once in all. A
+    bucket is rewritten with its old rows and the new ones of the same paths
+    replaced, so the cache stays as few files and can be kept by several runs at
+    once (``store.merge``). ``schema`` is of what ``make`` returns, which has path
+    and mtime.
     """
-    spark = files.sparkSession
+    spark = work.sparkSession
     number = F.pmod(F.xxhash64("path"), F.lit(batches)) if batch is None else batch
-
-    def done() -> DataFrame:
-        return spark.read.schema(schema).parquet(cache) if store.exists(spark, cache) else spark.createDataFrame([], schema)
-
+    dealt = store.new_path(spark, "work")
+    work.withColumn("_batch", number.cast("int")).write.partitionBy("_batch").option("compression", "zstd").parquet(dealt)
+    listed = spark.read.schema(StructType([*work.schema.fields]).add("_batch", "integer")).parquet(dealt)
     for k in range(batches):
-        todo = files.where(number == k).join(done().select("path", "mtime"), ["path", "mtime"], "left_anti")
-        made = make(todo)
-        if not todo.select("path").isEmpty():
-            made.write.mode("append").option("compression", "zstd").parquet(cache)
+        old = store.read(spark, cache, bucket=k)
+        todo = listed.where(F.col("_batch") == k).drop("_batch")
+        if old is not None:
+            todo = todo.join(old.select("path", "mtime"), ["path", "mtime"], "left_anti")
+        todo = store.materialise(todo, "todo")
+        if not todo.isEmpty():
+            made = store.materialise(make(todo, k), "made")
+
+            def merged(_: int, rows: DataFrame | None, made: DataFrame = made) -> DataFrame:
+                return made if rows is None else upsert(rows, made)
+
+            store.merge(spark, cache, [k], merged)
+            store.discard(made)
+        store.discard(todo)
         if listener:
             listener(Progress("batch", k + 1, batches, cache))
-    return files.select("path", "mtime").join(done().dropDuplicates(["path", "mtime"]), ["path", "mtime"])
+    found = store.read(spark, cache)
+    found = spark.createDataFrame([], schema) if found is None else found
+    return listed.select("path", "mtime").join(found, ["path", "mtime"])

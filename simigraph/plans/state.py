@@ -5,17 +5,18 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simigraph import store
 from simigraph.config import Config
 from simigraph.functions import names
 from simigraph.functions.digests import full_hash
-from simigraph.operators import incremental
-from simigraph.plans.registry import query
+from simigraph.operators import exact, incremental
+from simigraph.plans.exact import CHUNK
+from simigraph.plans.registry import ORACLE, query
 from simigraph.progress import Progress
-from simigraph.sources import caches, catalog
+from simigraph.sources import caches, catalog, ranged
 from simigraph.sources.catalog import DOCUMENT_FILES, document_files, table
 from simigraph.streaming import scans
 
@@ -119,27 +120,54 @@ class Stopped(Exception):
     pass
 
 
-def resumed(files: DataFrame, make: Callable[[DataFrame], DataFrame], made: str) -> DataFrame:
-    """What two runs make of files (path, a number): the first is stopped after two of four batches. ``run`` is the one that made a row."""
-    spark = files.sparkSession
-    cache, schema = store.new_path(spark, "resumed"), f"path string, mtime double, {made}, run int"
-    batch = F.col("path").cast("long") % 4
+def resumed(work: DataFrame, make: Callable[[DataFrame, int], DataFrame], made: str, batch: Column) -> DataFrame:
+    """What two runs make of the work (path, mtime): the first is stopped after two of four batches. ``run`` is the one that made a row."""
+    cache, schema = store.new_path(work.sparkSession, "resumed"), f"path string, mtime double, {made}, run int"
 
     def stop(p: Progress) -> None:
         if p.done == 2:
             raise Stopped
 
     with contextlib.suppress(Stopped):
-        incremental.resumable(files, cache, lambda todo: make(todo).withColumn("run", F.lit(1)), schema, 4, batch, stop)
-    return incremental.resumable(files, cache, lambda todo: make(todo).withColumn("run", F.lit(2)), schema, 4, batch)
+        incremental.resumable(work, cache, lambda todo, k: make(todo, k).withColumn("run", F.lit(1)), schema, 4, batch, stop)
+    return incremental.resumable(work, cache, lambda todo, k: make(todo, k).withColumn("run", F.lit(2)), schema, 4, batch)
+
+
+def written_documents(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """A file for each document below a new folder, and their listing with paths as ``document_files`` has them."""
+    root = store.new_path(spark, "documents")
+    ranged.write_files(document_files(spark, sf_dir), root)
+    return ranged.local(root), ranged.ranged_files(spark, [root])
+
+
+@query("s03_ranged_listing", f"SELECT path, size FROM ({DOCUMENT_FILES}) WHERE size >= 1000 AND path LIKE '/src1%'")
+def s03_ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of some folders from a size up; the filters are the listing's own where the session lets them through."""
+    root, files = written_documents(spark, sf_dir)
+    some = files.where((F.col("size") >= 1000) & F.col("path").startswith(f"{root}/src1") & (F.col("extension") == ".txt"))
+    return some.select(F.substr("path", F.lit(len(root) + 1)).alias("path"), "size")
+
+
+@query("a02_ranged_groups", ORACLE["a02_quick_groups"])
+def a02_ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures of files of equal size, of which only the ends are read."""
+    root, files = written_documents(spark, sf_dir)
+    return exact.quick_groups_of_files(files, CHUNK).select(F.substr("path", F.lit(len(root) + 1)).alias("path"), "size", "quick")
+
+
+@query("a03_ranged_groups", ORACLE["a03_exact_groups"])
+def a03_ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root, files = written_documents(spark, sf_dir)
+    return exact.exact_groups_of_files(files, CHUNK).select("sha256", F.substr("path", F.lit(len(root) + 1)).alias("path"), "size")
 
 
 @query("r03_resumed_hashing", "SELECT doc_id, sha256(text) AS sha256, CASE WHEN doc_id % 4 < 2 THEN 1 ELSE 2 END AS run FROM documents")
 def r03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full hashes by batches, into a cache; the first run is stopped after two batches, the second makes the others."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit(1.0).alias("mtime"), F.col("text").cast("binary").alias("content"))
-    out = resumed(d, lambda todo: todo.select("path", "mtime", full_hash(F.col("content")).alias("sha256")), "sha256 string")
-    return out.select(F.col("path").cast("long").alias("doc_id"), "sha256", "run")
+    """Full hashes of files by batches, into a cache; the first run is stopped after two batches, the second makes the others."""
+    _, files = written_documents(spark, sf_dir)
+    key = F.regexp_extract("path", r"doc_([0-9]+)\.txt$", 1).cast("long")
+    out = resumed(files.select("path", "size", "mtime"), lambda todo, _: ranged.digests(todo).drop("size", "bytes_read"), "sha256 string", key % 4)
+    return out.select(key.alias("doc_id"), "sha256", "run")
 
 
 @query("s10_digest_cache", f"SELECT lower(path) AS path_key, CAST(mtime AS BIGINT) AS ticks, size, sha256(content) AS sha256 FROM ({DOCUMENT_FILES})")

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from simigraph import store
 from simigraph.functions.digests import average_hash, frame_match_percent, frames_of, visual_signature
 from simigraph.operators import visual
 from simigraph.plans.registry import query
 from simigraph.plans.state import resumed
-from simigraph.sources import caches
+from simigraph.sources import caches, ranged
 from simigraph.sources.catalog import BLEND, embedding_frames, event_durations, table
 
 HASHES = f"""WITH raw AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), cells AS (SELECT label, i, avg(v[i]) AS m FROM raw, range(1, 65) AS r(i) GROUP BY label, i), shots AS (SELECT label, list(m ORDER BY i) AS c FROM cells GROUP BY label),
@@ -150,8 +155,57 @@ def s09(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r02_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints by batches, into a cache; the first run is stopped after two batches, the second makes the others."""
     shots = embedding_frames(spark, sf_dir).withColumn("video", F.col("video") * 5 + F.col("frame") % 5)
-    files = shots.groupBy(F.col("video").cast("string").alias("path")).agg(F.lit(1.0).alias("mtime"))
-    return resumed(files, lambda todo: visual.fingerprints(shots.join(todo.select(F.col("path").cast("long").alias("video")), "video", "left_semi")).select(F.col("video").cast("string").alias("path"), F.lit(1.0).alias("mtime"), F.element_at("hashes", 1).alias("first")), "first long").select(F.col("path").cast("long").alias("video"), "first", "run")
+    frames = store.new_path(spark, "frames")  # dealt like the work, so a batch reads its own
+    shots.withColumn("_batch", (F.col("video") % 4).cast("int")).write.partitionBy("_batch").parquet(frames)
+    stored = spark.read.schema(StructType([*shots.schema.fields]).add("_batch", "integer")).parquet(frames)
+
+    def make(todo: DataFrame, k: int) -> DataFrame:
+        some = stored.where(F.col("_batch") == k).drop("_batch").join(todo.select(F.col("path").cast("long").alias("video")), "video", "left_semi")
+        return visual.fingerprints(some).select(F.col("video").cast("string").alias("path"), F.lit(1.0).alias("mtime"), F.element_at("hashes", 1).alias("first"))
+
+    work = stored.select(F.col("video").cast("string").alias("path"), F.lit(1.0).alias("mtime")).distinct()
+    return resumed(work, make, "first long", F.col("path").cast("long") % 4).select(F.col("path").cast("long").alias("video"), "first", "run")
+
+
+# Files with the headers of a video container for each part: the duration in milliseconds is its price in cents.
+
+
+def container(key: int, ms: int) -> bytes:
+    """By the key: MP4 with its headers after the pictures or before them, Matroska, or AVI; each seventh is cut off."""
+    box = lambda name, body: struct.pack(">I4s", 8 + len(body), name) + body
+    element = lambda name, body: name + (len(body) | 1 << 28).to_bytes(4, "big") + body
+    pictures = bytes(5000)
+    if key % 3 == 0:
+        old = struct.pack(">IIIII", 0, 0, 0, 1000, ms)
+        new = b"\x01\0\0\0" + struct.pack(">QQIQ", 0, 0, 1000, ms)
+        moov = box(b"moov", box(b"trak", b"\0" * 9) + box(b"mvhd", (old if key % 2 else new) + bytes(80)))
+        parts = [box(b"mdat", pictures), moov] if key % 2 else [moov, box(b"mdat", pictures)]
+        out = box(b"ftyp", b"isom\0\0\2\0") + b"".join(parts)
+    elif key % 3 == 1:
+        info = element(b"\x2a\xd7\xb1", (1_000_000).to_bytes(3, "big")) + element(b"\x44\x89", struct.pack(">d", float(ms)))
+        out = element(b"\x1a\x45\xdf\xa3", b"\x42\x82\x84webm") + element(b"\x18\x53\x80\x67", element(b"\xec", bytes(300)) + element(b"\x15\x49\xa9\x66", info) + element(b"\x1f\x43\xb6\x75", pictures))
+    else:
+        chunk = lambda name, body: struct.pack("<4sI", name, len(body)) + body
+        hdrl = chunk(b"LIST", b"hdrl" + chunk(b"avih", struct.pack("<5I", 1000, 0, 0, 0, ms) + bytes(36)))
+        out = chunk(b"RIFF", b"AVI " + chunk(b"JUNK", bytes(99)) + b"\0" + hdrl + chunk(b"LIST", b"movi" + pictures))
+    return out[:30] if key % 7 == 0 else out
+
+
+@query("s11_durations", "SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN CAST(round(p_retailprice * 100) AS BIGINT) / 1000.0::DOUBLE END AS duration FROM part")
+def s11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Video files of all parts, written out and probed."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            paths = [f"/{k % 50}/{k}.{('mp4', 'mkv', 'avi')[k % 3]}" for k, _ in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array([container(k, ms) for k, ms in rows], pa.binary())], ["path", "content"])
+
+    store.ship(spark)
+    root = store.new_path(spark, "videos")
+    ranged.write_files(table(spark, sf_dir, "part").select("p_partkey", F.round(F.col("p_retailprice") * 100).cast("long")).mapInArrow(made, "path string, content binary"), root)
+    found = ranged.durations(ranged.ranged_files(spark, [root]))
+    return found.select(F.regexp_extract("path", r"([0-9]+)\.[a-z0-9]+$", 1).cast("long").alias("p_partkey"), "duration")
 
 
 # Raw gray bytes as a decoder writes them: the first 128 characters of each part's names.
