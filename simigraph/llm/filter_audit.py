@@ -15,8 +15,8 @@ shuffle (the table of firsts is sent on and begun anew beyond that) and by one
 chain after it.
 
 Failed filters are bits of a mask. Every document counts as one with the bits of
-A to D; each emitted one moves a count from its mask to the mask with E. Both join
-the labels as narrow rows, without texts. Counts are vectors by mask: documents,
+A to D; each emitted one moves a count from its mask to the mask with E. Both are
+written as narrow rows, without texts, which join the labels. Counts are vectors by mask: documents,
 good ones, toxic ones. They are summed up in each partition and merged for each
 part by ``combineByKey``, so a part in a third of all rows sends one vector a
 partition. All 120 orders are read off the 32 masks of a part.
@@ -214,5 +214,6 @@ def audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     copies = repeated(rows)
     moved = F.explode(F.array(F.struct(F.col("mask"), (-F.col("n")).alias("n")), F.struct(F.col("mask").bitwiseOR(F.lit(COPY)).alias("mask"), F.col("n"))))
     shifts = copies.select("doc_id", "part", moved.alias("m")).select("doc_id", "part", "m.mask", "m.n")
-    counted = vectors(with_labels(judged(rows.withColumn("text", F.col("text").cast("binary"))).unionByName(shifts), labels))
+    masks = common.materialise(judged(rows.withColumn("text", F.col("text").cast("binary"))).unionByName(shifts), "masks")
+    counted = vectors(with_labels(masks, labels))
     return spark.createDataFrame(counted.flatMap(lambda x: read_off(*x)), AUDIT, verifySchema=False)
