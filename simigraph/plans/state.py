@@ -18,7 +18,7 @@ from simigraph.plans.registry import ORACLE, query
 from simigraph.progress import Progress
 from simigraph.sources import caches, catalog, ranged
 from simigraph.sources.catalog import DOCUMENT_FILES, document_files, table
-from simigraph.streaming import scans
+from simigraph.streaming import scans, versions
 
 # The stored catalog: every file but each seventh, each fifth with another time, and some that are gone.
 OLD_SQL = f"WITH listing AS (SELECT path, size, mtime, CAST(regexp_extract(path, 'doc_([0-9]+)', 1) AS BIGINT) AS k FROM ({DOCUMENT_FILES})), old AS (SELECT path, size, CASE WHEN k % 5 = 0 THEN mtime - 10 ELSE mtime + 0.001 END AS mtime FROM listing WHERE k % 7 <> 0 UNION ALL SELECT '/gone' || path, size, mtime FROM listing WHERE k % 11 = 0) "
@@ -97,12 +97,23 @@ BUCKETS = 2
 @query("r01_stream_catalog", "SELECT CAST(user_id AS VARCHAR) AS path, max(epoch_us(ts)) / 1000000.0::DOUBLE AS mtime FROM events GROUP BY user_id")
 def r01(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as versions of a file for each user; the stream keeps the latest."""
-    versions = event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("size"), (F.unix_micros("ts") / 1e6).alias("mtime"))
+    rows = event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("size"), (F.unix_micros("ts") / 1e6).alias("mtime"))
     path = store.new_path(spark, "stream")
-    scans.keep_catalog(versions, f"{path}/catalog", f"{path}/log", BUCKETS).awaitTermination()
+    scans.keep_catalog(rows, f"{path}/catalog", f"{path}/log", BUCKETS).awaitTermination()
     return scans.read_catalog(spark, f"{path}/catalog", "path string, size long, mtime double").select("path", "mtime")
 
 
+@query("r01_stream_versions", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type = 'error' DESC, event_id DESC) AS rn FROM events) SELECT CAST(user_id AS VARCHAR) AS path, event_id AS size, epoch_us(ts) / 1000000.0::DOUBLE AS mtime FROM r WHERE rn = 1 AND event_type <> 'error'")
+def r01_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as versions of a file for each user, of which some are deletions; keyed state passes on the newer ones, the catalog keeps them."""
+    rows = event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("size"), (F.unix_micros("ts") / 1e6).alias("mtime"), (F.col("event_type") == "error").alias("deleted"), "ts")
+    path = store.new_path(spark, "versions")
+    with versions.keyed_state(spark):
+        kept = scans.keep_catalog(versions.changes(rows, late="3650 days"), f"{path}/catalog", f"{path}/log", BUCKETS)
+    kept.awaitTermination()
+    return scans.read_catalog(spark, f"{path}/catalog", "path string, size long, mtime double")
+
+
 @query("r01_stream_dedup", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1, 2")
 def r01_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first event of each user and type; the watermark is longer than the data, so all later ones go."""

@@ -1,8 +1,10 @@
+import datetime
+
 import pytest
 
 from simigraph import store
 from simigraph.progress import Progress, StreamProgress, cancellable, log_to, logger, stages
-from simigraph.streaming import scans
+from simigraph.streaming import scans, versions
 
 VERSIONS = "path string, size long, mtime double"
 
@@ -121,6 +123,47 @@ def test_merging_writers(spark, tmp_path):
         store.commit(spark, table, {0: "x"}, base.schema, base)
 
 
+def test_versions_as_state(spark, tmp_path):
+    """Only newer versions come out; tombstones go once the watermark has passed them, files stay."""
+    schema = "path string, size long, mtime double, deleted boolean, ts timestamp"
+    source, log = f"file://{tmp_path}/in", f"file://{tmp_path}/log"
+    day = lambda d: datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC) + datetime.timedelta(days=d)
+    seen, sizes = [], []
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        got = []
+        stream = versions.changes(scans.file_stream(spark, source, schema, 1), late="1 hour", forget_ms=86_400_000)
+        with versions.keyed_state(spark):
+            q = stream.writeStream.foreachBatch(lambda b, _: got.extend(tuple(r) for r in b.collect())).option("checkpointLocation", log).trigger(availableNow=True).start()
+        q.awaitTermination()
+        seen.append(sorted(got))
+        sizes.append(q.lastProgress.stateOperators[0].numRowsTotal)
+
+    run([("a", 1, 1.0, False, day(0)), ("a", 2, 3.0, None, day(0)), ("b", 1, 1.0, False, day(0)), ("c", 1, 1.0, False, day(0)), (None, 1, 1.0, False, day(0))])
+    assert seen[-1] == [("a", 2, 3.0, False), ("b", 1, 1.0, False), ("c", 1, 1.0, False)]
+    run([("a", 9, 2.0, False, day(0.01)), ("b", 0, 5.0, True, day(0.01)), ("b", 7, 5.0, False, day(0.01)), ("c", 1, 1.0, False, day(0.01))])
+    assert seen[-1] == [("b", 0, 5.0, True)]
+    run([("b", 3, 4.0, False, day(0.02)), ("d", 1, 1.0, False, day(0.02))])
+    assert seen[-1] == [("d", 1, 1.0, False)]
+    many = [(f"x{k}", 1, 1.0, True, day(0.02)) for k in range(50)]
+    run(many)
+    assert sizes[-1] == 54
+    run([("e", 1, 1.0, False, day(9))])
+    run([("f", 1, 1.0, False, day(9.1))])
+    assert sizes[-1] == 5  # a, c, d, e and f; the tombstones of b and x are forgotten
+    run([("b", 8, 1.0, False, day(9.2)), ("a", 1, 1.0, False, day(9.2))])
+    assert seen[-1] == [("b", 8, 1.0, False)]
+    assert spark.conf.get(versions.PROVIDER, None) != versions.ROCKS
+
+
+def test_tombstones_of_vanished_files(spark):
+    known = spark.createDataFrame([("/a", 1, 1.0), ("/b", 1, 1.0)], VERSIONS)
+    assert [r[:4] for r in versions.tombstones(known, known.where("path = '/a'"), 9.0).collect()] == [("/b", 0, 9.0, True)]
+    with pytest.raises(ValueError, match="stream"):
+        versions.changes(known)
+
+
 def test_stream_progress_and_windows(spark, tmp_path):
     source = f"file://{tmp_path}/in"
     spark.sql("select timestamp'2024-01-01 00:10:00' ts, 'x' event_type union all select timestamp'2024-01-03 00:10:00', 'y'").write.parquet(source)
