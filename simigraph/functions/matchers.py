@@ -129,16 +129,21 @@ def folder() -> Column:
     return F.when(a == b, 100.0).when((x == y) & (x != ""), 90.0).when(named & (x.contains(y) | y.contains(x)), 80.0).otherwise(50.0)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Of two vectors, in double."""
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
-    dot = total(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
-    norm = lambda c: F.sqrt(total(F.transform(c, lambda x: x.cast("double") * x.cast("double"))))
-    return dot / (norm(a) * norm(b))
+def norm(vector: Column) -> Column:
+    return F.sqrt(F.aggregate(F.transform(vector, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, v: s + v))
+
+
+def cosine_score(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+    """Of two vectors, 0 to 100; nothing where one is missing or has no length. Norms that are known aren't made again."""
+    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    lengths = (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)
+    cosine = dot / F.nullif(lengths, F.lit(0.0))
+    # Nulls must not reach least and greatest, which pass them over.
+    return F.when(cosine.isNull(), 0.0).otherwise(two_places(F.greatest(F.lit(0.0), F.least(F.lit(100.0), cosine * 100))))
 
 
 @matcher("semantic_similarity")
 def semantic() -> Column:
-    """From vectors in the column ``vector``; nothing where one is missing."""
-    a, b = _ab("vector")
-    return F.coalesce(two_places(F.greatest(F.lit(0.0), F.least(F.lit(100.0), cosine(a, b) * 100))), F.lit(0.0))
+    """From vectors in the column ``vector``."""
+    a, b = _ab("normalized_name")
+    return _unless_empty(a, b, a == "", b == "", cosine_score(*_ab("vector")))

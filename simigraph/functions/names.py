@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -117,12 +119,19 @@ def clean_spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def compiles(pattern: str) -> bool:
+    """For the engine that runs it, which has a syntax of its own for some things."""
+    try:
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JError, PySparkException):
+        return False
+    return True
+
+
 def strip_patterns(text: Column, patterns: Iterable[str]) -> Column:
-    """Each pattern to a blank, whatever the case; patterns that don't compile are passed over."""
+    """Each pattern to a blank, whatever the case; patterns that the engine can't compile are passed over."""
     for p in patterns:
-        try:
-            re.compile(p)
-        except re.error:
+        if not compiles(f"(?iU){p}"):
             continue
         text = F.regexp_replace(text, f"(?iU){p}", " ")
     return text

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,57 +32,93 @@ def attach(pairs: DataFrame, files: DataFrame) -> DataFrame:
     return pairs.join(side("a"), F.col("path_a") == F.col("a_path")).join(side("b"), F.col("path_b") == F.col("b_path"))
 
 
-def not_rejected(pairs: DataFrame, files: DataFrame, config: Config) -> DataFrame:
-    """path_a and path_b of the pairs that neither extensions nor numbers reject; reads only what these need."""
-    known, on = matchers.registry(), config.algorithms
-    narrow = files.select("path", "extension", "extension_category", "episodes", "years", "numbers")
-    out = attach(pairs, narrow)
-    if on.extension_intelligence:
-        out = out.where(known["extension_intelligence"]() != 0)
-    if on.numeric_validation:
-        out = out.where(known["numeric_validation"]() != matchers.REJECT)
-    return out.select("path_a", "path_b")
+#: Matchers that are made of few bytes; what they leave below the least score isn't joined with more.
+CHEAP = ("exact_match", "token_similarity", "size_similarity", "numeric_validation")
+_CHEAP_COLUMNS = ("path", "filename", "normalized_name", "token_set", "size", "parent_folder", "folder", "extension", "extension_category", "episodes", "years", "numbers")
 
 
-def score_pairs(pairs: DataFrame, config: Config, threshold: float | None = None) -> DataFrame:
-    """Matches of attached pairs: sizes, scores, confidence and category.
+@dataclass(frozen=True)
+class _Weighing:
+    """Which matchers count, with their weights, in the order in which scores are shown."""
 
-    What rejects a pair outright is native and comes first, then the native
-    matchers; only pairs that can still reach the threshold reach the Python one.
-    """
-    store.ship(pairs.sparkSession)
+    weights: dict[str, float]
+    shown: list[str]
+    folder: bool
+    folder_bonus: bool
+    least: float
+
+    def total(self, of: Callable[[str], Column]) -> Column:
+        return sum((of(m) * w for m, w in self.weights.items()), F.lit(0.0)) / sum(self.weights.values()) if self.weights else F.lit(0.0)
+
+    @property
+    def bonus(self) -> Column:
+        if not self.folder_bonus:
+            return F.lit(0.0)
+        return F.when(F.col("_folder_context") == 100, matchers.FOLDER_BONUS).when(F.col("_folder_context") >= 90, matchers.NEAR_FOLDER_BONUS).otherwise(0.0)
+
+    def within_reach(self, pairs: DataFrame, known: Sequence[str]) -> DataFrame:
+        """Pairs that reach the least score if all matchers but the known ones give 100."""
+        most = self.total(lambda m: F.col(f"_{m}") if m in known else F.lit(100.0)) + self.bonus
+        return pairs.where(most >= self.least - 0.01)
+
+
+def _weighing(config: Config, threshold: float | None, vectors: bool) -> _Weighing:
     on, weights, known = config.algorithms, config.weights, matchers.registry()
     enabled = lambda m: getattr(on, m, True)
-    extension = known["extension_intelligence"]() if enabled("extension_intelligence") else F.lit(100.0)
-    pairs = pairs.withColumn("_extension", extension).where("_extension <> 0")
-    if enabled("numeric_validation"):
-        pairs = pairs.withColumn("_numeric_validation", known["numeric_validation"]()).where(F.col("_numeric_validation") != matchers.REJECT)
     used = [m for m in [*WEIGHTED, *(k for k in known if k not in (*WEIGHTED, "folder_context"))] if enabled(m) and getattr(weights, m, 0.0) > 0]
-    if "a_vector" not in pairs.columns and "semantic_similarity" in used:
+    if not vectors and "semantic_similarity" in used:
         used.remove("semantic_similarity")
-    least = max(config.thresholds.weak, threshold or 0.0)
     weigh = {m: getattr(weights, m) for m in used}
-    if enabled("folder_context"):
-        pairs = pairs.withColumn("_folder_context", known["folder_context"]())
-    for m in used:
-        if m not in ("numeric_validation", "fuzzy_similarity"):
-            pairs = pairs.withColumn(f"_{m}", known[m]())
     shown = (["numeric_validation"] if enabled("numeric_validation") else []) + [m for m in used if m != "numeric_validation"]
-    bonus = F.lit(0.0)
-    if enabled("folder_context") and weights.folder_context > 0:
+    folder = enabled("folder_context")
+    if folder and weights.folder_context > 0:
         weigh["folder_context"] = weights.folder_context
         shown.append("folder_context")
-    elif enabled("folder_context"):
-        bonus = F.when(F.col("_folder_context") == 100, matchers.FOLDER_BONUS).when(F.col("_folder_context") >= 90, matchers.NEAR_FOLDER_BONUS).otherwise(0.0)
-    total = lambda of: sum((of(m) * w for m, w in weigh.items()), F.lit(0.0)) / sum(weigh.values()) if weigh else F.lit(0.0)
-    if "fuzzy_similarity" in used:
-        most = total(lambda m: F.lit(100.0) if m == "fuzzy_similarity" else F.col(f"_{m}")) + bonus
-        pairs = pairs.where(most >= least - 0.01).withColumn("_fuzzy_similarity", known["fuzzy_similarity"]())
-    score = F.least(F.lit(100.0), total(lambda m: F.col(f"_{m}")) + bonus)
+    return _Weighing(weigh, shown, folder, folder and weights.folder_context <= 0, max(config.thresholds.weak, threshold or 0.0))
+
+
+def _judged(pairs: DataFrame, config: Config, w: _Weighing) -> tuple[DataFrame, list[str]]:
+    """Attached pairs that nothing rejects and that can reach the least score by the cheap matchers, whose scores they have."""
+    known, on = matchers.registry(), config.algorithms
+    pairs = pairs.withColumn("_extension", known["extension_intelligence"]() if on.extension_intelligence else F.lit(100.0)).where("_extension <> 0")
+    if on.numeric_validation:
+        pairs = pairs.withColumn("_numeric_validation", known["numeric_validation"]()).where(F.col("_numeric_validation") != matchers.REJECT)
+    if w.folder:
+        pairs = pairs.withColumn("_folder_context", known["folder_context"]())
+    done = [m for m in CHEAP if m in w.weights]
+    for m in done:
+        if m != "numeric_validation":
+            pairs = pairs.withColumn(f"_{m}", known[m]())
+    return w.within_reach(pairs, [*done, "folder_context"]), done
+
+
+def within_reach(pairs: DataFrame, files: DataFrame, config: Config, threshold: float | None = None) -> DataFrame:
+    """path_a and path_b of the pairs that neither extensions nor numbers reject and whose names, tokens and sizes leave the threshold within reach; reads only what these need."""
+    found, _ = _judged(attach(pairs, files.select(*_CHEAP_COLUMNS)), config, _weighing(config, threshold, "vector" in files.columns))
+    return found.select("path_a", "path_b")
+
+
+def score_pairs(pairs: DataFrame, config: Config, threshold: float | None = None) -> DataFrame:
+    """Matches of attached pairs: sizes, scores, confidence and category.
+
+    What rejects a pair outright comes first, then the cheap matchers, then those
+    of n-grams, characters and vectors, and the Python one at last; before each
+    step, pairs go that can't reach the threshold any more.
+    """
+    store.ship(pairs.sparkSession)
+    known, w = matchers.registry(), _weighing(config, threshold, "a_vector" in pairs.columns)
+    pairs, done = _judged(pairs, config, w)
+    rest = [m for m in w.weights if m not in (*done, "fuzzy_similarity", "folder_context")]
+    for m in [*rest, *(["fuzzy_similarity"] if "fuzzy_similarity" in w.weights else [])]:
+        if m == "fuzzy_similarity":
+            pairs = w.within_reach(pairs, [*done, "folder_context"])
+        pairs = pairs.withColumn(f"_{m}", known[m]())
+        done.append(m)
+    score = F.least(F.lit(100.0), w.total(lambda m: F.col(f"_{m}")) + w.bonus)
     score = F.when(F.col("_extension") == 90, F.greatest(F.lit(0.0), score - matchers.OTHER_EXTENSION)).otherwise(score)
-    scores = F.map_from_arrays(F.array(*map(F.lit, shown)), F.array(*(F.col(f"_{m}") for m in shown))) if shown else F.create_map().cast("map<string,double>")
+    scores = F.map_from_arrays(F.array(*map(F.lit, w.shown)), F.array(*(F.col(f"_{m}") for m in w.shown))) if w.shown else F.create_map().cast("map<string,double>")
     found = pairs.select("path_a", "path_b", F.col("a_size").alias("file_a_size"), F.col("b_size").alias("file_b_size"), scores.alias("scores"), names.two_places(score).alias("confidence_score"))
-    return found.where(F.col("confidence_score") >= least).withColumn("category", category(F.col("confidence_score"), config.thresholds))
+    return found.where(F.col("confidence_score") >= w.least).withColumn("category", category(F.col("confidence_score"), config.thresholds))
 
 
 def match_files(files: DataFrame, config: Config | None = None, threshold: float | None = None) -> DataFrame:
@@ -90,8 +129,8 @@ def match_files(files: DataFrame, config: Config | None = None, threshold: float
 
 
 def matches_of(pairs: DataFrame, files: DataFrame, config: Config, threshold: float | None = None) -> DataFrame:
-    """Matches of (path_a, path_b); the wide columns of files join what wasn't rejected."""
-    left = store.materialise(not_rejected(pairs, files, config), "pairs")
+    """Matches of (path_a, path_b); the wide columns of files join what is left within reach."""
+    left = store.materialise(within_reach(pairs, files, config, threshold), "pairs")
     return score_pairs(attach(left, files), config, threshold)
 
 

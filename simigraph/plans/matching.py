@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from simigraph import store
 from simigraph.config import Algorithms, Blocking, Config
 from simigraph.functions import matchers, names
-from simigraph.operators import blocking, groups, scoring
+from simigraph.operators import blocking, groups, scoring, vectors
 from simigraph.plans.registry import query
 from simigraph.plans.scalar import _NAMED, CATEGORY
 from simigraph.sources import caches, sinks
@@ -171,15 +171,20 @@ def m03b(spark: SparkSession, sf_dir: str) -> DataFrame:
 NO_FUZZY = Config(algorithms=Algorithms(fuzzy_similarity=False))
 _SCORE = {k: s for k, s in _MATCHERS.values()}
 _WEIGHTS = {"exact_match": 40, "token_similarity": 20, "ngram_similarity": 10, "char_frequency": 5, "size_similarity": 5, "numeric_validation": 5}
-_SCORED = (
-    _FULL
-    + ", parts AS (SELECT path_a, path_b, a.size AS file_a_size, b.size AS file_b_size, "
-    + ", ".join(f"CAST({s} AS DOUBLE) AS {k}" for k, s in _SCORE.items())
-    + _BOTH
-    + "), mean AS (SELECT *, ("
-    + " + ".join(f"{k} * {w}" for k, w in _WEIGHTS.items())
-    + ") / 85.0 AS m FROM parts WHERE extension_intelligence <> 0 AND numeric_validation <> -100), bonus AS (SELECT *, least(100.0, m + CASE WHEN folder_context = 100 THEN 5.0 WHEN folder_context >= 90 THEN 3.0 ELSE 0.0 END) AS s FROM mean), final AS (SELECT path_a, path_b, file_a_size, file_b_size, " + two_places("CASE WHEN extension_intelligence = 90 THEN greatest(0.0, s - 2) ELSE s END") + " AS confidence_score FROM bonus), matches AS (SELECT *, CASE WHEN confidence_score >= 95 THEN 'almost certain duplicate' WHEN confidence_score >= 80 THEN 'highly likely' WHEN confidence_score >= 60 THEN 'potential duplicate' WHEN confidence_score >= 40 THEN 'weak similarity' ELSE 'ignore' END AS category FROM final WHERE confidence_score >= 40) "
-)
+def _scored(weights: dict[str, int], extra: str = "", joins: str = "") -> str:
+    """Matches under these weights; ``extra`` are more scores of a pair, ``joins`` the tables that they need."""
+    scores = ", ".join(f"CAST({x} AS DOUBLE) AS {k}" for k, x in _SCORE.items()) + extra
+    mean = " + ".join(f"{k} * {w}" for k, w in weights.items())
+    return (
+        f"{_FULL}, parts AS (SELECT path_a, path_b, a.size AS file_a_size, b.size AS file_b_size, {scores}{_BOTH}{joins}), "
+        f"mean AS (SELECT *, ({mean}) / {sum(weights.values())}.0 AS m FROM parts WHERE extension_intelligence <> 0 AND numeric_validation <> -100), "
+        "bonus AS (SELECT *, least(100.0, m + CASE WHEN folder_context = 100 THEN 5.0 WHEN folder_context >= 90 THEN 3.0 ELSE 0.0 END) AS s FROM mean), "
+        f"final AS (SELECT path_a, path_b, file_a_size, file_b_size, exact_match, {two_places('CASE WHEN extension_intelligence = 90 THEN greatest(0.0, s - 2) ELSE s END')} AS confidence_score FROM bonus), "
+        "matches AS (SELECT *, CASE WHEN confidence_score >= 95 THEN 'almost certain duplicate' WHEN confidence_score >= 80 THEN 'highly likely' WHEN confidence_score >= 60 THEN 'potential duplicate' WHEN confidence_score >= 40 THEN 'weak similarity' ELSE 'ignore' END AS category FROM final WHERE confidence_score >= 40) "
+    )
+
+
+_SCORED = _scored(_WEIGHTS)
 
 
 def native_matches(spark: SparkSession, sf_dir: str, threshold: float | None = None) -> DataFrame:
@@ -209,6 +214,20 @@ def m12n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.match_files(part_records(spark, sf_dir), NO_FUZZY, 60.0).select("path_a", "path_b", "confidence_score", "category")
 
 
+_COSINE = "CASE WHEN u.embedding IS NULL OR v.embedding IS NULL THEN 0.0 ELSE " + two_places("greatest(0, least(100, list_cosine_similarity(u.embedding::DOUBLE[], v.embedding::DOUBLE[]) * 100))") + " END AS semantic_similarity"
+_VECTOR = " LEFT JOIN embeddings {v} ON CAST({v}.vec_id AS VARCHAR) = split_part({f}.path, '/', 5)"
+
+
+@query("m11_semantic", _scored(_WEIGHTS | {"semantic_similarity": 10}, ", " + _COSINE, _VECTOR.format(v="u", f="a") + _VECTOR.format(v="v", f="b")) + "SELECT path_a, path_b, confidence_score, category FROM matches")
+def m11_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores with vectors at their weight of 10; a part's is the one with its key, if there is one."""
+    files = part_records(spark, sf_dir)
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("_key"), F.col("embedding").alias("vector"))
+    files = files.join(vectors, F.element_at(F.split("path", "/"), 5) == F.col("_key"), "left").drop("_key")
+    config = Config(algorithms=Algorithms(fuzzy_similarity=False, semantic_similarity=True))
+    return scoring.match_files(files, config).select("path_a", "path_b", "confidence_score", "category")
+
+
 @query("f11_threshold", _SCORED + "SELECT path_a, path_b, confidence_score FROM matches WHERE confidence_score >= 80")
 def f11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return native_matches(spark, sf_dir, 80.0).select("path_a", "path_b", "confidence_score")
@@ -265,26 +284,22 @@ def a06_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.components(c, "a", "b")
 
 
-QUERY_BLOCK, ROW_CHUNK = 1000, 20_000
+_NEAREST = "WITH v AS (SELECT vec_id, embedding FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 50 = 0), s AS (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, " + two_places("greatest(0, least(100, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) * 100))") + " AS score FROM q JOIN v ON v.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s) SELECT query_id, vec_id, score FROM r WHERE rn <= 10"
 
 
-@query("m10_cosine", "WITH v AS (SELECT vec_id, embedding FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 50 = 0), s AS (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, " + two_places("greatest(0, least(100, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) * 100))") + " AS score FROM q JOIN v ON v.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s) SELECT query_id, vec_id, score FROM r WHERE rn <= 10")
+@query("m10_cosine", _NEAREST)
 def m10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest of every vector whose id is divisible by 50: a top-k report.
-
-    A block of queries meets a chunk of rows in one task, so tasks grow in number
-    and not in size. Each task passes on at most ten rows a query: Spark limits
-    ranks before the shuffle.
-    """
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    n = v.count()
-    chunks, blocks = -(-n // ROW_CHUNK) or 1, -(-n // (50 * QUERY_BLOCK)) or 1
-    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a_vector"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), every(chunks).alias("chunk"))
-    rows = v.select("vec_id", F.col("embedding").alias("b_vector"), F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).alias("chunk"), every(blocks).alias("block"))
-    scored = rows.join(q, ["chunk", "block"]).where("vec_id <> query_id").select("query_id", "vec_id", matchers.semantic().alias("score"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("place", place).where("place <= 10").select("query_id", "vec_id", "score")
+    """The ten nearest of every vector whose id is divisible by 50: a top-k report, block by block."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return vectors.nearest(v, v.where("id % 50 = 0"), 10).select(F.col("query_id"), F.col("id").alias("vec_id"), "score")
+
+
+@query("m10_index", _NEAREST)
+def m10_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the index of lists, all of them probed, which is its exact way."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    index = vectors.build_index(v)
+    return vectors.search(index, v.where("id % 50 = 0"), 10, probes=len(index.centroids)).select("query_id", F.col("id").alias("vec_id"), "score")
 
 
 # The same blocks with more than files of parts
@@ -317,7 +332,7 @@ def v01(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _export(number: int, kind: str, back: Callable[[SparkSession, str], DataFrame], write: Callable[[DataFrame, str], None]) -> None:
-    @query(f"k0{number}_export_{kind}", _SCORED + "SELECT path_a, path_b, file_a_size, file_b_size, confidence_score, category, exact_match FROM matches JOIN (SELECT path_a, path_b, exact_match FROM parts) USING (path_a, path_b) WHERE confidence_score >= 80")
+    @query(f"k0{number}_export_{kind}", _SCORED + "SELECT path_a, path_b, file_a_size, file_b_size, confidence_score, category, exact_match FROM matches WHERE confidence_score >= 80")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = store.new_path(spark, kind)
         write(native_matches(spark, sf_dir, 80.0), path)
@@ -326,7 +341,7 @@ def _export(number: int, kind: str, back: Callable[[SparkSession, str], DataFram
 
 _from_text = lambda d, c: d.withColumn("exact_match", F.get_json_object(c, "$.exact_match"))
 _export(1, "csv", lambda spark, p: _from_text(spark.read.option("header", True).option("escape", '"').csv(p), "scores"), sinks.write_csv)
-_export(2, "json", lambda spark, p: spark.read.json(p).withColumn("exact_match", F.col("scores.exact_match")), sinks.write_json)
+_export(2, "json", lambda spark, p: spark.read.option("multiLine", True).json(p).withColumn("exact_match", F.col("scores.exact_match")), sinks.write_json)
 _export(3, "columns", lambda spark, p: _from_text(spark.read.parquet(p), "scores_json"), sinks.write_columns)
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import contextlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -207,9 +208,23 @@ def f13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.without(files, own)
 
 
-@query("s14_config", "SELECT * FROM (VALUES ('weights.exact_match', '1.0'), ('weights.token_similarity', '20.0'), ('weights.fuzzy_similarity', '15.0'), ('scan.exclude_folders', '.git,tmp'), ('thresholds.weak', '40.0'), ('blocking.max_block_size', '100'), ('blocking.prefix_length', '4')) v(name, value)")
+@query("s14_config", "SELECT n_name, c.strong, c.prefix, c.folders FROM nation, LATERAL (SELECT n_nationkey * 2.0::DOUBLE + 40 AS strong, CASE WHEN n_nationkey % 2 = 0 THEN 4 ELSE n_nationkey END AS prefix, CASE WHEN n_regionkey = 0 THEN '' ELSE '.git,region' || CAST(n_regionkey AS VARCHAR) END AS folders) c")
 def s14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Options after a nested mapping is merged into the defaults."""
-    c = Config().merged({"weights": {"exact_match": 1.0}, "scan": {"exclude_folders": [".git", "tmp"]}, "blocking": {"max_block_size": 100}, "unknown": 1})
-    shown = {"weights.exact_match": c.weights.exact_match, "weights.token_similarity": c.weights.token_similarity, "weights.fuzzy_similarity": c.weights.fuzzy_similarity, "scan.exclude_folders": ",".join(c.scan.exclude_folders), "thresholds.weak": c.thresholds.weak, "blocking.max_block_size": c.blocking.max_block_size, "blocking.prefix_length": c.blocking.prefix_length}
-    return spark.createDataFrame([(k, str(v)) for k, v in shown.items()], "name string, value string")
+    """Options of each nation: what its row sets is merged into the defaults, row by row in the tasks; unknown keys are passed over."""
+
+    def merged(key: int, region: int) -> tuple[float, int, str]:
+        changes = {"thresholds": {"highly_likely": key * 2.0 + 40}, "blocking": {"prefix_length": key} if key % 2 else None, "unknown": {"x": 1}}
+        if region:
+            changes["scan"] = {"exclude_folders": [".git", f"region{region}"]}
+        c = Config().merged(changes)
+        return c.thresholds.highly_likely, c.blocking.prefix_length, ",".join(c.scan.exclude_folders)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [merged(k, r) for k, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.float64(), pa.int32(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["n_name", "strong", "prefix", "folders"])
+
+    store.ship(spark)
+    n = table(spark, sf_dir, "nation").select("n_name", F.col("n_nationkey").cast("int"), F.col("n_regionkey").cast("int"))
+    return n.mapInArrow(run, "n_name string, strong double, prefix int, folders string")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from simigraph.functions import names
+from simigraph.sources import json_array
 
 MATCH_COLUMNS = ("path_a", "path_b", "file_a_size", "file_b_size", "confidence_score", "category", "scores")
 
@@ -16,6 +17,12 @@ def write_csv(matches: DataFrame, path: str) -> None:
 
 
 def write_json(matches: DataFrame, path: str) -> None:
+    """One file with an array of all matches, in their order."""
+    json_array.write(matches.select(*MATCH_COLUMNS), path)
+
+
+def write_json_lines(matches: DataFrame, path: str) -> None:
+    """A folder of files with a match a line."""
     matches.select(*MATCH_COLUMNS).write.mode("overwrite").json(path)
 
 

@@ -168,7 +168,9 @@ def test_catalog_and_matches_round_trip(spark, tmp_path):
     back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv")).first()
     assert json.loads(back.scores) == {"s": 1.0} and tuple(back.asDict()) == sinks.MATCH_COLUMNS
     sinks.write_json(m, str(tmp_path / "json"))
-    assert spark.read.json(str(tmp_path / "json")).count() == 1
+    assert [m["scores"] for m in json.loads((tmp_path / "json").read_text())] == [{"s": 1.0}]
+    sinks.write_json_lines(m, str(tmp_path / "lines"))
+    assert spark.read.json(str(tmp_path / "lines")).count() == 1
     sinks.write_columns(m, str(tmp_path / "parquet"))
     assert "scores_json" in spark.read.parquet(str(tmp_path / "parquet")).columns
 
