@@ -125,7 +125,9 @@ def match_files(files: DataFrame, config: Config | None = None, threshold: float
     """From file features to matches, best first."""
     config = config or Config()
     files = store.materialise(files, "features")  # read several times; made once
-    return matches_of(candidate_pairs(files, config.blocking), files, config, threshold).orderBy(F.desc("confidence_score"), "path_a", "path_b")
+    found = matches_of(candidate_pairs(files, config.blocking), files, config, threshold)
+    # Sorting looks at its input twice.
+    return store.materialise(found, "matches").orderBy(F.desc("confidence_score"), "path_a", "path_b")
 
 
 def matches_of(pairs: DataFrame, files: DataFrame, config: Config, threshold: float | None = None) -> DataFrame:

@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from simigraph.config import Config, Normalization, Thresholds
+from simigraph.functions import fuzzy as batches
 from simigraph.functions import matchers, names
 from simigraph.functions.fuzzy import fuzzy, partial_ratio, ratio, token_set_ratio, token_sort_ratio
 from simigraph.operators.scoring import attach, category, score_pairs
@@ -128,3 +131,17 @@ def test_own_matcher(spark):
 def test_config_merges_and_replaces_lists():
     c = Config().merged({"scan": {"exclude_folders": [".git"]}, "weights": {"exact_match": 1.0}, "unknown": 1})
     assert c.scan.exclude_folders == (".git",) and c.weights.exact_match == 1.0 and c.weights.token_similarity == 20.0
+
+
+def test_batches_equal_pairs_one_by_one():
+    rnd = random.Random(11)
+    words = ["red", "house", "sea", "a", "ünï", "漢字", "x264", "s01e02", "holiday", "b"]
+    names_ = ["", " ", "  ", "x" * 64, "x" * 63 + "y", "y" * 65, "ab" * 40, "a" * 200] + [" ".join(rnd.choices(words, k=rnd.randint(1, 9))) for _ in range(60)]
+    names_ += ["".join(rnd.choice("abc 漢🙂") for _ in range(rnd.randint(1, 70))) for _ in range(40)]
+    pairs = [(rnd.choice(names_), rnd.choice(names_)) for _ in range(1500)]
+    got = batches.fuzzy_many(*zip(*pairs, strict=True))
+    assert got == [batches.fuzzy(*p) for p in pairs]
+    assert batches.fuzzy_many([], []) == []
+    some = [p for p in pairs if p[0] and p[1] and min(map(len, p)) <= batches.WORD]
+    assert batches.lcs_many(*zip(*some, strict=True)).tolist() == [batches.lcs(batches.positions(a), len(a), b) for a, b in some]
+    assert batches.partial_many(*zip(*some, strict=True)).tolist() == [batches.partial_ratio(*p) for p in some]
