@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from simigraph import store
-from simigraph.progress import Listener, Progress
+from simigraph.progress import Listener, Progress, observed
 
 MTIME_TOLERANCE = 0.01
 
@@ -78,20 +78,24 @@ def resumable(work: DataFrame, cache: str, make: Callable[[DataFrame, int], Data
     bucket is rewritten with its old rows and the new ones of the same paths
     replaced, so the cache stays as few files and can be kept by several runs at
     once (``store.merge``). ``schema`` is of what ``make`` returns, which has path
-    and mtime.
+    and mtime. The listener hears how many files have been made and the last one's
+    name, and how many batches are done.
     """
     spark = work.sparkSession
     number = F.pmod(F.xxhash64("path"), F.lit(batches)) if batch is None else batch
     dealt = store.new_path(spark, "work")
     work.withColumn("_batch", number.cast("int")).write.partitionBy("_batch").option("compression", "zstd").parquet(dealt)
     listed = spark.read.schema(StructType([*work.schema.fields]).add("_batch", "integer")).parquet(dealt)
+    files = 0
     for k in range(batches):
         old = store.read(spark, cache, bucket=k)
         todo = listed.where(F.col("_batch") == k).drop("_batch")
         if old is not None:
             todo = todo.join(old.select("path", "mtime"), ["path", "mtime"], "left_anti")
+        todo, counted = observed(todo)
         todo = store.materialise(todo, "todo")
-        if not todo.isEmpty():
+        n, last = counted()
+        if n:
             made = store.materialise(make(todo, k), "made")
 
             def merged(_: int, rows: DataFrame | None, made: DataFrame = made) -> DataFrame:
@@ -101,6 +105,8 @@ def resumable(work: DataFrame, cache: str, make: Callable[[DataFrame, int], Data
             store.discard(made)
         store.discard(todo)
         if listener:
+            files += n
+            listener(Progress("files", files, files, last))
             listener(Progress("batch", k + 1, batches, cache))
     found = store.read(spark, cache)
     found = spark.createDataFrame([], schema) if found is None else found

@@ -137,7 +137,7 @@ def resumed(work: DataFrame, make: Callable[[DataFrame, int], DataFrame], made:
     cache, schema = store.new_path(work.sparkSession, "resumed"), f"path string, mtime double, {made}, run int"
 
     def stop(p: Progress) -> None:
-        if p.done == 2:
+        if (p.kind, p.done) == ("batch", 2):
             raise Stopped
 
     with contextlib.suppress(Stopped):

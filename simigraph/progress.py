@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import logging
+import threading
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 logger = logging.getLogger("simigraph")
@@ -37,12 +39,13 @@ def log_to(path: str | None = None, level: int = logging.INFO) -> None:
 
 @contextmanager
 def cancellable(spark: SparkSession, tag: str) -> Iterator[Callable[[], None]]:
-    """Work in the block can be cancelled, from any thread, by calling what this yields."""
-    spark.addTag(tag)
+    """Jobs that the block starts can be cancelled, from any thread and while they run, by calling what this yields."""
+    context = spark.sparkContext
+    context.addJobTag(tag)
     try:
-        yield lambda: spark.interruptTag(tag)
+        yield lambda: context.cancelJobsWithTag(tag)
     finally:
-        spark.removeTag(tag)
+        context.removeJobTag(tag)
 
 
 def stages(spark: SparkSession) -> list[Progress]:
@@ -56,6 +59,34 @@ def stages(spark: SparkSession) -> list[Progress]:
     return out
 
 
+def observed(rows: DataFrame, item: str = "path") -> tuple[DataFrame, Callable[[], tuple[int, str]]]:
+    """The rows, and what gives their number and the last of their items once they have been written; a job of its own isn't needed."""
+    seen = Observation()
+    watched = rows.observe(seen, F.count(F.lit(1)).alias("n"), F.max(F.col(item).cast("string")).alias("last"))
+    return watched, lambda: (seen.get["n"], seen.get["last"] or "")
+
+
+@contextmanager
+def watching(spark: SparkSession, listener: Listener, every: float = 1.0) -> Iterator[None]:
+    """Tasks done of the stages that run meanwhile, as often as they change. A listener that raises ends the watching, not the work."""
+    over, last = threading.Event(), {}
+
+    def look() -> None:
+        while not over.wait(every):
+            for p in stages(spark):
+                if last.get(p.item) != p.done:
+                    last[p.item] = p.done
+                    listener(p)
+
+    thread = threading.Thread(target=look, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        over.set()
+        thread.join()
+
+
 class StreamProgress(StreamingQueryListener):
     """Passes each batch of a stream on to a listener."""
 

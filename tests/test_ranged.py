@@ -135,19 +135,22 @@ class Stopped(Exception):
 
 def test_work_goes_on_where_it_was_stopped(spark):
     work = spark.createDataFrame([(f"/{i}", 1.0) for i in range(40)], "path string, mtime double")
-    cache, made = store.new_path(spark, "cache"), []
+    cache, made, heard = store.new_path(spark, "cache"), [], []
 
     def make(todo, k):
         made.append((k, {r.path for r in todo.collect()}))
         return todo.withColumn("n", F.length("path"))
 
     def stop(p: Progress):
-        if p.done == 2:
+        heard.append(p)
+        if (p.kind, p.done) == ("batch", 2):
             raise Stopped
 
     schema = "path string, mtime double, n int"
     with pytest.raises(Stopped):
         incremental.resumable(work, cache, make, schema, 4, listener=stop)
+    assert [p.kind for p in heard] == ["files", "batch"] * 2
+    assert [(p.done, p.item) for p in heard if p.kind == "files"] == [(len(made[0][1]), max(made[0][1])), (len(made[0][1]) + len(made[1][1]), max(made[1][1]))]
     assert [k for k, _ in made] == [0, 1] and store.versions(spark, cache) == [1, 2]
     assert incremental.resumable(work, cache, make, schema, 4).count() == 40
     assert sum(len(p) for _, p in made) == 40 and len({p for _, some in made for p in some}) == 40

@@ -1,9 +1,11 @@
 import datetime
+import threading
+import time
 
 import pytest
 
 from simigraph import store
-from simigraph.progress import Progress, StreamProgress, cancellable, log_to, logger, stages
+from simigraph.progress import Progress, StreamProgress, cancellable, log_to, logger, observed, stages, watching
 from simigraph.streaming import scans, versions
 
 VERSIONS = "path string, size long, mtime double"
@@ -179,6 +181,30 @@ def test_stream_progress_and_windows(spark, tmp_path):
     assert seen and seen[0].kind == "started"
 
 
+def test_cancelling_work_that_runs(spark):
+    """Another thread cancels a job that would take minutes; what comes after it runs."""
+    slow = spark.range(0, 10**11, 1, 4).selectExpr("sum(pmod(xxhash64(id), 7)) s")
+    seen: list[Progress] = []
+    began = time.monotonic()
+    with cancellable(spark, "slow") as cancel, watching(spark, seen.append, 0.1):
+        timer = threading.Timer(3, cancel)
+        timer.start()
+        with pytest.raises(Exception, match="(?i)cancel"):
+            slow.collect()
+    assert 2 < time.monotonic() - began < 60
+    assert seen and all(p.kind == "stage" and p.done < p.total for p in seen)
+    assert spark.range(10).count() == 10 and stages(spark) == []
+
+
+def test_counting_what_is_written(spark):
+    rows, counted = observed(spark.createDataFrame([("/a",), ("/c",), ("/b",)], "path string"))
+    store.discard(store.materialise(rows, "rows"))
+    assert counted() == (3, "/c")
+    none, counted = observed(spark.range(5).where("id > 9"), "id")
+    store.discard(store.materialise(none, "rows"))
+    assert counted() == (0, "")
+
+
 def test_cancelling_and_logging(spark, tmp_path):
     with cancellable(spark, "t") as cancel:
         assert spark.range(10).count() == 10
