@@ -149,3 +149,25 @@ def pack_documents(docs: DataFrame, size: Column, id_col: str = "doc_id", length
 
     dealt = pieces.repartitionById(groups, F.col("part")).sortWithinPartitions("part", F.desc("n_tokens"), "doc_id", "piece")
     return dealt.select("doc_id", "piece", "first", "n_tokens", "part").mapInArrow(run, "doc_id long, piece int, first long, n_tokens long, bin long, offset long, bin_length long, bin_used long")
+
+
+def pack_sequences(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", lengths: Sequence[int] = LENGTHS, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """The sequences themselves, of (doc_id, ids): bin, bin_length, bin_used, ids, and pieces in their order.
+
+    Each of ``pieces`` says what lies where: doc_id, piece, first (its place in the
+    document), offset (its place in the sequence) and n_tokens. Documents are cut
+    into their pieces where they are read, so a long one isn't copied for each; a
+    sequence gathers what it holds, no more than the longest length in ids and the
+    pieces of its group. Null ids lists are empty.
+    """
+    ids = F.coalesce(F.col(ids_col).cast("array<int>"), F.array().cast("array<int>"))
+    rows = common.materialise(tokens.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), ids.alias("ids")), "tokens")
+    longest = max(lengths)
+    places = pack_documents(rows.select("row", "ids"), F.size("ids"), "row", lengths, group_pieces).withColumnRenamed("doc_id", "row")
+    starts = F.sequence(F.lit(1), F.greatest(F.size("ids"), F.lit(1)), F.lit(longest))
+    cut = rows.select("row", "doc_id", F.posexplode(F.transform(starts, lambda s: F.slice("ids", s, F.lit(longest)))).alias("piece", "part_ids"))
+    placed = cut.join(places, ["row", "piece"])
+    piece = F.struct("offset", "n_tokens", "doc_id", "piece", "first", "part_ids")
+    gathered = placed.groupBy("bin", "bin_length", "bin_used").agg(F.array_sort(F.collect_list(piece)).alias("p"))
+    shown = F.transform("p", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["piece"].alias("piece"), x["first"].alias("first"), x["offset"].alias("offset"), x["n_tokens"].alias("n_tokens")))
+    return gathered.select("bin", "bin_length", "bin_used", F.flatten(F.transform("p", lambda x: x["part_ids"])).alias("ids"), shown.alias("pieces"))

@@ -11,8 +11,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from simigraph.llm import lattice_lm, line_dedup, line_rules, lz_fingerprint, packing, shingle_join, simhash, url_tree
-from simigraph.llm.queries import PIECES, words_and_end
+from simigraph.llm import lattice_lm, line_dedup, line_rules, lz_fingerprint, packing, shingle_join, simhash, token_files, url_tree
+from simigraph.llm.queries import PIECES, WORD_BPE, words_and_end
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -47,6 +47,36 @@ def test_packing_keeps_everything_and_fits(documents, odd):
     assert packing.pack_documents(odd.limit(0), words_and_end()).count() == 0
 
 
+def test_sequences_hold_the_ids_of_all_documents(spark, odd, tmp_path):
+    """Texts to ids, ids to files, files to sequences, sequences written and read back."""
+    rnd = random.Random(2)
+    more = spark.createDataFrame([(100 + i, sentence(rnd, rnd.randint(1, 2500)), "en", "s", 0) for i in range(30)], odd.schema)
+    token_files.write_token_files(odd.union(more), f"file://{tmp_path}/ids", WORD_BPE, 1)
+    tokens = token_files.read_token_files(spark, f"file://{tmp_path}/ids")
+    packing.pack_sequences(tokens, group_pieces=20).write.parquet(f"file://{tmp_path}/sequences")
+    back, found = spark.read.parquet(f"file://{tmp_path}/sequences").collect(), {}
+    for r in back:
+        assert len(r.ids) == r.bin_used <= r.bin_length and r.bin_length in packing.LENGTHS
+        at = 0
+        for p in r.pieces:
+            assert p.offset == at
+            at += p.n_tokens
+            found.setdefault(p.doc_id, []).append((p.first, r.ids[p.offset : p.offset + p.n_tokens]))
+        assert at == r.bin_used
+    want = {}
+    for r in tokens.collect():
+        want.setdefault(r.doc_id, []).append(list(r.ids))
+    assert set(found) == set(want)
+    for doc, lists in want.items():
+        pieces = sorted(found[doc], key=lambda p: p[0])
+        assert sorted(x for _, ids in pieces for x in ids) == sorted(x for ids in lists for x in ids)
+        if len(lists) == 1:
+            assert [x for _, ids in pieces for x in ids] == lists[0]
+    empty = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
+    assert {p.doc_id for r in packing.pack_sequences(empty).collect() for p in r.pieces} == {1, 2}
+    assert packing.pack_sequences(empty.limit(0)).count() == 0
+
+
 def plain_plan(sizes, lengths, price, preferred):
     """Best fit with lists and plain searches; the trial fills a length piece by piece."""
     least = lambda used: min((x for x in lengths if x >= used), key=lambda x: (price(x), x))
