@@ -61,5 +61,7 @@ def count_tokens(docs: DataFrame, cache: str, model: str, limit: int, id_col: st
     texts = keyed.join(missing.hint("shuffle_hash"), same, "left_semi").select("digest", "text")
     new = _count(texts, model).withColumn("tokenizer", F.lit(version))
     new.select("digest", "tokenizer", "n_tokens").write.mode("append").option("compression", "zstd").parquet(cache)
-    counted = digests.join(read_cache(spark, cache, version), "digest")
+    # Each digest once, as a table: copies of one text are then split between tasks, which an aggregate beside them forbids.
+    known = common.materialise(read_cache(spark, cache, version), "counts")
+    counted = digests.join(known, "digest")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
