@@ -182,6 +182,19 @@ def r03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(key.alias("doc_id"), "sha256", "run")
 
 
+@query("r05_progress", f"WITH c AS (SELECT k % 4 AS b, count(*) AS n, max(path) AS last FROM (SELECT path, CAST(regexp_extract(path, 'doc_([0-9]+)', 1) AS BIGINT) AS k FROM ({DOCUMENT_FILES})) GROUP BY 1) SELECT 'files' AS kind, CAST(sum(n) OVER (ORDER BY b) AS BIGINT) AS done, last AS item FROM c UNION ALL SELECT 'batch', CAST(b + 1 AS BIGINT), '' FROM c")
+def r05_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a listener hears of digests made in four batches: how many files there are so far and the last one's name, and which batches are done."""
+    files, heard = document_files(spark, sf_dir), []
+    key = F.regexp_extract("path", r"doc_([0-9]+)", 1).cast("long") % 4
+
+    def make(todo: DataFrame, k: int) -> DataFrame:
+        return todo.withColumn("key", F.md5("path"))
+
+    incremental.resumable(files.select("path", "mtime"), store.new_path(spark, "progress"), make, "path string, mtime double, key string", 4, key, heard.append)
+    return spark.createDataFrame([(p.kind, p.done, p.item if p.kind == "files" else "") for p in heard], "kind string, done long, item string")
+
+
 @query("s10_digest_cache", f"SELECT lower(path) AS path_key, CAST(mtime AS BIGINT) AS ticks, size, sha256(content) AS sha256 FROM ({DOCUMENT_FILES})")
 def s10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests written to their cache and read back."""
