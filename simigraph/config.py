@@ -9,6 +9,9 @@ from pathlib import Path
 from typing import Any
 
 
+# Names, order and defaults of all options below are the schema of the users' YAML files.
+
+
 @dataclass(frozen=True)
 class Scan:
     include_extensions: tuple[str, ...] = ()
