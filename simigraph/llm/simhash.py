@@ -10,9 +10,12 @@ only pairs that reach the guaranteed number are kept, and only these are
 verified by their differing bits. Larger distances than DISTANCE are refused, as
 pairs would be lost.
 
-Equal fingerprints count once. A list of one entry is dropped. Lists are worked
-off in blocks: a list longer than BLOCK is dealt to pairs of blocks by a hash,
-so no task sees more than two blocks at once, and each block returns the links
+Equal fingerprints count once. A list of one entry is dropped. A list longer than
+BLOCK is replaced by lists of one positional byte more: a pair with the guaranteed
+number shares a fifth byte beside the four of its list, so it meets in one of the
+four places left, and an entry is copied four times instead of once for each block.
+What is still longer than BLOCK is dealt to pairs of blocks by a hash, so no task
+sees more than two blocks at once. Each list or block returns the links
 of a spanning forest (pairs already joined in it are not repeated), so a group
 of copies gives about as many links as members. Components are found by
 alternating large and small stars between tables in the shared folder.
@@ -177,7 +180,13 @@ def links(distinct: DataFrame, distance: int = DISTANCE, block: int = BLOCK) ->
     index = distinct.select("print", F.posexplode(F.array(*packed)).alias("family", "bytes"))
     sizes = index.groupBy("family", "bytes").agg(F.count("*").alias("n")).where("n > 1")
     sizes = common.materialise(sizes, "lists")
-    listed = index.join(sizes, ["family", "bytes"])
+    short, long_ = (index.join(sizes.where(w), ["family", "bytes"]) for w in (F.col("n") <= block, F.col("n") > block))
+    # With a fifth byte, family names both the four positions and the fifth one.
+    fifth = F.array(*(F.array(*(byte(p) for p in range(8) if p not in f)) for f in FAMILY))
+    longer = long_.select("family", "bytes", "print", F.posexplode(F.get(fifth, F.col("family"))).alias("k", "byte"))
+    longer = longer.select((len(FAMILY) + 4 * F.col("family") + F.col("k")).alias("family"), (F.shiftleft("bytes", 8) + F.col("byte")).alias("bytes"), "print")
+    longer_sizes = common.materialise(longer.groupBy("family", "bytes").agg(F.count("*").alias("n")).where("n > 1"), "longer")
+    listed = short.union(longer.join(longer_sizes, ["family", "bytes"]).select(*short.columns))
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("print"), blocks).cast("int")
     # Block i meets the blocks i..blocks-1 on the left, and 0..i-1 on the right.
