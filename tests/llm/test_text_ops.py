@@ -805,21 +805,23 @@ def test_near_dedup_equals_jaccard_brute_force(spark, documents):
 def test_blocks_meet_once_and_large_components_move_once(spark):
     from pyspark.sql import functions as F
 
-    rows = [(1, k, 7 if k < 900 else k) for k in range(910)] + [(2, k, k % 3) for k in range(60)] + [(3, k, 0) for k in range(50)]
+    rows = [(1, k, 7 if k < 900 else k) for k in range(910)] + [(2, k, k % 3) for k in range(60)] + [(3, k, 0) for k in range(50)] + [(4, k, k // 9) for k in range(15)]
     table = spark.createDataFrame(rows, "key long, print long, component long")
     sizes = shingle_join.largest(table, "key")
-    assert {(r.key, r.members, r.others) for r in sizes.collect()} == {(1, 900, 10), (2, 20, 40)}
-    dealt = shingle_join.deal(table.join(sizes, "key"), "key", F.ceil(F.col("others") / 16), F.ceil(F.col("members") / 16), "component")
+    assert {(r.key, r.members, r.others) for r in sizes.collect()} == {(1, 900, 10), (2, 20, 40), (4, 9, 6)}
+    # Key 4 has one block, so all its rows are there once.
+    members = F.when(F.col("key") == 4, 0).otherwise(F.ceil(F.col("members") / 16))
+    dealt = shingle_join.deal(table.join(sizes, "key"), "key", F.ceil(F.col("others") / 16), members, "component")
     blocks, copies = {}, {}
     for r in dealt.collect():
         blocks.setdefault((r.key, r.i, r.j), []).append(r)
         copies.setdefault((r.key, r.component), []).append(r)
-    assert len(copies[1, 7]) == 900
+    assert len(copies[1, 7]) == 900 and len(copies[4, 0]) + len(copies[4, 1]) == 15
     met = []
     for (key, i, j), of in blocks.items():
         left = [r for r in of if not r.right]
         other = left if i == j else [r for r in of if r.right]
         met += [(key, *p) for p in {tuple(sorted((a.print, b.print))) for a in left for b in other if a.component != b.component}]
     component = {(key, k): c for key, k, c in rows}
-    want = {(key, a, b) for key in (1, 2) for a, b in itertools.combinations(sorted(k for x, k, _ in rows if x == key), 2) if component[key, a] != component[key, b]}
+    want = {(key, a, b) for key in (1, 2, 4) for a, b in itertools.combinations(sorted(k for x, k, _ in rows if x == key), 2) if component[key, a] != component[key, b]}
     assert len(met) == len(set(met)) and set(met) == want
