@@ -217,5 +217,5 @@ _RAW = "WITH raw AS (SELECT p_partkey, rpad(p_name || p_type || p_brand, 130, '.
 def s12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """130 bytes are two frames; what is left over is dropped."""
     raw = F.rpad(F.concat("p_name", "p_type", "p_brand"), 130, ".").cast("binary")
-    frames = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(frames_of(raw)).alias("frame", "pixels"))
+    frames = store.spread(table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"))).select("p_partkey", F.posexplode(frames_of(F.col("raw"))).alias("frame", "pixels"))
     return frames.select("p_partkey", "frame", average_hash(F.col("pixels")).alias("hash"))

@@ -135,3 +135,13 @@ def test_leaders_in_the_order_of_durations(spark):
     assert {r.path for r in same.collect()} == {"a", "b"}
     with pytest.raises(ValueError, match="negative"):
         visual.duration_groups(spark.createDataFrame(rows, DURATIONS), -1.0)
+
+
+def test_raw_frames_of_a_small_file_are_made_by_many_tasks(spark, tmp_path):
+    from simigraph.plans.visual import s12
+
+    rows = [(i, f"part {i}", "TYPE", "Brand") for i in range(200)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_brand string").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    found = s12(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() > 1
+    assert found.count() == 400
