@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from simigraph.config import Blocking, Scan
+from simigraph.config import Blocking, Config, Scan
 from simigraph.functions.digests import average_hash, frame_match_percent, frames_of, visual_signature
 from simigraph.operators import blocking, exact, groups, incremental, survivors, visual
 from simigraph.sources import caches, catalog, sinks
@@ -127,6 +127,45 @@ def test_block_guard_counts_repeated_tokens(spark):
     assert blocking.candidate_pairs(f, Blocking(max_block_size=6), ["token"]).count() == 3
 
 
+def _named(spark, names):
+    from simigraph.sources.catalog import features, records
+
+    rows = [(f"/{i % 3}/{i}/{n}", i, 0.0) for i, n in enumerate(names)]
+    return features(records(spark.createDataFrame(rows, "path string, size long, mtime double"), Config().normalization))
+
+
+def test_pairs_come_out_of_the_blocks_unshuffled(spark):
+    f = _named(spark, [f"film {i % 7} part{i % 5}.mkv" for i in range(40)])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for df in (blocking.candidate_pairs(f, Blocking()), blocking.attached_pairs(f, Blocking(), f.columns)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan[: plan.index("Join")]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+@pytest.mark.parametrize("most", [3, 9, 500])
+def test_pairs_and_pairs_of_names_equal_plain_loops(spark, most):
+    o, words = Blocking(max_block_size=most), ["large", "ring", "bolt", "s01e02", "blue"]
+    f = _named(spark, [f"{words[i % 5]}.{words[i * i % 4]}.{1990 + i % 3}.{('mkv', 'jpg', 'txt')[i % 3]}" for i in range(30)])
+    members, entries = {}, {}
+    for r in blocking.block_keys(f, o).collect():
+        members.setdefault((r.kind, r.key), set()).add(r.path)
+        entries[r.kind, r.key] = entries.get((r.kind, r.key), 0) + 1
+    want = sorted({(a, b) for k, m in members.items() if 2 <= entries[k] <= most for a in m for b in m if a < b})
+    assert sorted(map(tuple, blocking.candidate_pairs(f, o).collect())) == want
+    name = {r.path: r.normalized_name for r in f.collect()}
+    assert sorted(map(tuple, blocking.name_pairs(f, o).collect())) == sorted({(name[a], name[b]) for a, b in want})
+
+
+def test_forest_keeps_components_and_few_edges(spark):
+    edges = spark.createDataFrame([(f"{c}{i:02}", f"{c}{j:02}") for c in "ab" for i in range(20) for j in range(i)], "path_a string, path_b string").coalesce(1)
+    kept = groups.forest(edges)
+    assert kept.count() == 38
+    assert sorted(map(tuple, groups.components(kept).collect())) == sorted(map(tuple, groups.components(edges).collect()))
+
+
 def test_scan_excludes_folders_below_the_root(spark, tmp_path):
     for p in ("a.txt", "sub/b.TXT", "node_modules/c.txt", "sub/d.mkv"):
         (tmp_path / p).parent.mkdir(exist_ok=True)
