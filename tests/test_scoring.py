@@ -171,3 +171,18 @@ def test_json_array(spark, tmp_path):
     assert json.loads(target.read_text()) == got and len(list(target.parent.iterdir())) == 1
     json_array.write(frame.limit(0), str(target))
     assert json.loads(target.read_text()) == []
+
+
+def test_nearest_in_blocks_equals_scores_pair_by_pair(spark):
+    """Copies, opposite, empty, short and missing vectors, and entries that are null."""
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(60)] + [(60 + i, [1.0, 2.0, 3.0, 4.0, 5.0]) for i in range(15)]
+    rows += [(80, [0.0] * 5), (81, None), (82, [1.0, 2.0]), (83, [1.0, None, 3.0, 4.0, 5.0]), (84, [-1.0, -2.0, -3.0, -4.0, -5.0]), (85, [])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    q = df.where("id % 10 < 6")
+    pairs = q.select(F.col("id").alias("query_id"), F.col("vector").alias("w")).join(df, F.col("query_id") != F.col("id"))
+    scored = pairs.select("query_id", "id", matchers.cosine_score(F.col("w"), F.col("vector")).alias("score"))
+    want = sorted(map(tuple, vectors._ranked(scored, 4).collect()))
+    plan = vectors.nearest(df, q, 4)
+    assert "FlatMapCoGroups" in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, plan.collect())) == want
