@@ -46,7 +46,8 @@ def near_hashes(hashes: DataFrame, distance: int = DISTANCE) -> DataFrame:
         return rows.select(f"id_{s}", f"hash_{s}", "k.band", changed.alias("bits"))
 
     bits = hamming(F.col("hash_a"), F.col("hash_b"))
-    met = side("a", each - each // 2).join(side("b", each // 2), ["band", "bits"]).where("id_a < id_b").where(bits <= distance)
+    # A small table makes many keys, which planners don't see and would send through the driver.
+    met = side("a", each - each // 2).join(side("b", each // 2).hint("merge"), ["band", "bits"]).where("id_a < id_b").where(bits <= distance)
     return met.select("id_a", "id_b", bits.cast("int").alias("bits")).distinct()
 
 
@@ -117,10 +118,15 @@ def candidates(prints: DataFrame, distance: int = DISTANCE, threshold: float = T
     everywhere = keyed(each.where(F.col("room") >= need(F.col("n"))).withColumnRenamed("video", "video_a"), masks, "video_a", "lo", "room", "n")
     short = keyed(each.where(F.col("room") < need(F.col("n"))).withColumnRenamed("video", "video_a"), masks, "video_a", "lo", "room", "n")
     short = short.select("*", F.explode(F.sequence(F.lit(0), power(F.col("room")))).alias("power"))
-    enough = need(F.least("n", "n_b")) <= F.col("room")
-    near = (hamming(F.col("hash"), F.col("hash_b")) <= distance) & (F.col("lo") < F.col("hi")) & (F.col("video_a") != F.col("video_b"))
-    met = everywhere.join(b, ["band", "bits"]).where(enough & near).select("video_a", "video_b")
-    met_short = short.join(b.withColumn("power", power(need(F.col("n_b")))), ["band", "bits", "power"]).where(enough & near).select("video_a", "video_b")
+    # Frames of a video with one key go as one row, so a key joins videos and not their frames. Planners don't see how many
+    # rows the keys make of a small table, so they are kept from sending it through the driver.
+    b = b.groupBy("video_b", "hi", "n_b", "band", "bits").agg(F.collect_list("hash_b").alias("hashes_b"))
+    asked = lambda df, *more: df.groupBy("video_a", "lo", "n", "band", "bits", *more).agg(F.collect_list(F.struct("room", "hash")).alias("frames"))
+    other = (F.col("lo") < F.col("hi")) & (F.col("video_a") != F.col("video_b"))
+    near = F.exists("frames", lambda x: (need(F.least("n", "n_b")) <= x["room"]) & F.exists("hashes_b", lambda y: hamming(x["hash"], y) <= distance))
+    met = asked(everywhere).join(b.hint("merge"), ["band", "bits"]).where(other).where(near).select("video_a", "video_b")
+    b_short = b.withColumn("power", power(need(F.col("n_b")))).hint("merge")
+    met_short = asked(short, "power").join(b_short, ["band", "bits", "power"]).where(other).where(near).select("video_a", "video_b")
     return met.unionByName(met_short).distinct()
 
 

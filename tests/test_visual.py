@@ -5,6 +5,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from simigraph.operators import visual
 
 DURATIONS, PRINTS = "path string, duration double", "video string, hashes array<long>"
@@ -145,3 +147,12 @@ def test_raw_frames_of_a_small_file_are_made_by_many_tasks(spark, tmp_path):
     found = s12(spark, str(tmp_path))
     assert found.rdd.getNumPartitions() > 1
     assert found.count() == 400
+
+
+def test_keys_of_bands_are_never_broadcast(spark, tmp_path):
+    """A small file of few rows, as planners see it, makes 68 keys a frame."""
+    spark.createDataFrame([(v, [v * 977 + f for f in range(20)], v, v) for v in range(8)], "video long, hashes array<long>, lo long, hi long").write.parquet(str(tmp_path / "p"))
+    prints = spark.read.parquet(str(tmp_path / "p"))
+    for df in (visual.candidates(prints), visual.near_hashes(prints.select(F.col("video").alias("id"), F.col("hashes")[0].alias("hash")))):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
