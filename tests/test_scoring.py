@@ -14,7 +14,7 @@ from simigraph.functions import matchers, names
 from simigraph.operators import blocking, scoring, vectors
 from simigraph.plans.matching import OPTIONS
 from simigraph.sources import json_array
-from simigraph.sources.catalog import features, part_records, records
+from simigraph.sources.catalog import features, named_features, part_records, records
 
 SF = "/root/testdata/sf0.001"
 
@@ -186,3 +186,27 @@ def test_nearest_in_blocks_equals_scores_pair_by_pair(spark):
     plan = vectors.nearest(df, q, 4)
     assert "FlatMapCoGroups" in plan._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, plan.collect())) == want
+
+
+def test_groups_of_alike_names_give_what_pairs_give(spark):
+    """Matches of grouped pairs are those of attached pairs, to the last digit, with and without vectors."""
+    files = similar_files(spark).withColumn("vector", F.when(F.col("size") > 101, F.array(F.col("size").cast("double"), F.lit(100.0))))
+    for config in (Config(), Config(algorithms=Algorithms(semantic_similarity=True, folder_context=False))):
+        plain = scoring.score_pairs(blocking.attached_pairs(files, OPTIONS, files.columns), config)
+        rows = lambda df: sorted(map(tuple, df.withColumn("scores", F.to_json("scores")).collect()))
+        want = rows(plain)
+        assert len(want) > 100 and rows(scoring.matches_of(files, config)) == want
+
+
+def test_copies_of_a_name_meet_as_one(spark):
+    """Sixty files of three names are three groups; a name beyond the limit gives none."""
+    paths = [f"/{i}/red house {2001 + i % 3}.mkv" for i in range(60)] + [f"/x{i}/y.jpg" for i in range(40)]
+    raw = spark.createDataFrame([(p, i, 0.0) for i, p in enumerate(paths)], "path string, size long, mtime double")
+    files = named_features(raw, Config().normalization)
+    assert sorted(map(str, files.collect())) == sorted(map(str, features(records(raw, Config().normalization)).collect()))
+    o = OPTIONS.__class__(max_block_size=30)
+    assert blocking.groups_of(files, o, ("bigrams",)).count() == 3
+    met = blocking.grouped_pairs(files, o, ("bigrams", "size"))
+    assert met.count() == 3 and set(met.schema["a_files"].dataType.elementType.names) == {"path", "size"}
+    found = {(r.path_a, r.path_b, r.a_size, r.b_size) for r in blocking.expanded(met).collect()}
+    assert found == {(a, b, paths.index(a), paths.index(b)) for a in paths[:60] for b in paths[:60] if a < b and a[-8:] == b[-8:]}
