@@ -210,3 +210,21 @@ def test_copies_of_a_name_meet_as_one(spark):
     assert met.count() == 3 and set(met.schema["a_files"].dataType.elementType.names) == {"path", "size"}
     found = {(r.path_a, r.path_b, r.a_size, r.b_size) for r in blocking.expanded(met).collect()}
     assert found == {(a, b, paths.index(a), paths.index(b)) for a in paths[:60] for b in paths[:60] if a < b and a[-8:] == b[-8:]}
+
+
+def test_json_array_is_read_in_splits(spark, tmp_path):
+    """Texts that look like the end of a row, nested and empty values; many splits; no rows."""
+    rows = [(f"/{i}\n}},\n", '}\n]\n' if i % 2 else "é", i, {"s": float(i)} if i % 3 else {}) for i in range(400)]
+    schema = "path_a string, path_b string, size long, scores map<string,double>"
+    target = str(tmp_path / "m.json")
+    json_array.write(spark.createDataFrame(rows, schema).repartition(4), target)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        back = json_array.read(spark, target, schema)
+        assert back.rdd.getNumPartitions() > 20 and sorted(map(tuple, back.collect()), key=lambda r: r[2]) == rows
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    json_array.write(spark.createDataFrame(rows[:1], schema), target)
+    assert [tuple(r) for r in json_array.read(spark, target, schema).collect()] == rows[:1]
+    json_array.write(spark.createDataFrame([], schema), target)
+    assert json_array.read(spark, target, schema).count() == 0
