@@ -226,3 +226,11 @@ def test_protocol(spark):
     lines = spark.createDataFrame([("noise",), ("[3/10] x",), ("MATCH_GROUP_2:/a,/b",)], "value string")
     assert [(r.group_no, r.pos, r.path) for r in caches.parse_protocol(lines).orderBy("pos").collect()] == [(2, 0, "/a"), (2, 1, "/b")]
     assert caches.parse_progress(lines).first()[:] == (3, 10)
+
+
+def test_csv_can_be_compressed(spark, tmp_path):
+    m = spark.createDataFrame([("/a", "/b", 1, 2, 90.0, "x", {"s": 1.0})], "path_a string, path_b string, file_a_size long, file_b_size long, confidence_score double, category string, scores map<string,double>")
+    sinks.write_csv(m, str(tmp_path / "csv"), "gzip")
+    assert all(p.name.endswith(".csv.gz") for p in (tmp_path / "csv").glob("part-*"))
+    back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv")).first()
+    assert back.path_a == "/a" and json.loads(back.scores) == {"s": 1.0}
