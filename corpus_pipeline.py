@@ -38,7 +38,11 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more) the document with the smallest id."""
+    """Of each group of near-duplicates the document with the smallest id.
+
+    Pairs come from SimHash fingerprints, and from an index by shingles for those that differ
+    in more bits; both are verified (five-word shingles, Jaccard 0.8 or more).
+    """
     return simhash.keep_one(docs, found=shingle_join.near_duplicates(docs)).select(*docs.columns)
 
 

@@ -1,8 +1,11 @@
 """Near-duplicates by exact likeness: all texts whose sets of five-word shingles
 have a Jaccard likeness of 4/5 or more, for the pipeline's near-dedup stage.
 
-No radius of SimHash bits holds all such pairs (at likeness 0.8 about ten of 64
-bits differ, and any number may), so the index is one that loses none. Shingle
+Each set has a SimHash fingerprint. Those that differ in few bits are found by
+the index of positional bytes with its count filter (``simhash.links``), and are
+verified on the texts like all others. No radius of SimHash bits holds all pairs
+that are wanted (at likeness 0.8 about ten of 64 bits differ, and any number may),
+so a second index follows that loses none. Shingle
 hashes of a text are put in order; of n, two sets that are like enough share one
 within their first n - ceil(4n/5) + 1. These are listed by an inverted index,
 and lists of one entry are dropped. Pairs must pass bounds that hold for every
@@ -13,7 +16,8 @@ is verified on the hashes of all shingles (64 bits from all five words; that two
 different shingles of one pair of texts agree has a chance of about one in 10^13).
 
 Pairs are taken in two rounds, so a large group gives no square of pairs. First
-each entry of a list meets only the one that comes first; what passes is verified
+each fingerprint meets one near it, and
+each entry of a list only the one that comes first; what passes is verified
 on the texts, which settles lists of two. Then the entries of longer lists meet
 all others, in blocks, that aren't joined with them by then; those of a list's
 largest component don't meet one another, so they move once for each block of the
@@ -115,12 +119,12 @@ def differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
 
 
-def features(text: str) -> tuple[int, int, np.ndarray, bytes]:
-    """Hash of all words, size of the set, its first hashes in order, parities."""
+def features(text: str) -> tuple[int, int, np.ndarray, bytes, int]:
+    """Hash of all words, size of the set, its first hashes in order, parities, fingerprint."""
     words = words_of(text)
     node, values = xxhash.xxh64_intdigest(b" ".join(words), SEED), shingles(words)
     n = len(values)
-    return node, n, values[: n - (4 * n + 4) // 5 + 1], parities_of(values)
+    return node, n, values[: n - (4 * n + 4) // 5 + 1], parities_of(values), simhash.majority(values)
 
 
 def sets_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -129,12 +133,13 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             found = [features(t or "") for t in b.column(2).to_pylist()]
             prints = pa.array(np.array([f[0] for f in found], np.uint64).view(np.int64))
             first = pa.array([f[2].view(np.int64) for f in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), prints, pa.array([f[1] for f in found], pa.int32()), first, pa.array([f[3] for f in found], pa.binary())], ["doc_id", "hash", "print", "n", "first", "odd"])
+            bits = pa.array(np.array([f[4] for f in found], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), prints, pa.array([f[1] for f in found], pa.int32()), first, pa.array([f[3] for f in found], pa.binary()), bits], ["doc_id", "hash", "print", "n", "first", "odd", "bits"])
 
     common.ship(docs.sparkSession)
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, hash long, print long, n int, first array<long>, odd binary")
+    return rows.mapInArrow(run, "doc_id long, hash long, print long, n int, first array<long>, odd binary, bits long")
 
 
 def may_be_alike(n: Column, place: Column, m: Column, other: Column) -> Column:
@@ -256,6 +261,15 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
 
+def near_prints(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of prints by SimHash, the smaller first: each with one of its own fingerprint, and one of each fingerprint with one near it."""
+    heads = common.materialise(sets.groupBy("bits").agg(F.min("print").alias("head")), "heads")
+    own = sets.join(heads, "bits").select(F.col("head").alias("a"), F.col("print").alias("b")).where("a <> b")
+    near = simhash.links(heads.select(F.col("bits").alias("print"))).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    near = near.groupBy("y").agg(F.min("x").alias("x")).join(heads.toDF("x", "p"), "x").join(heads.toDF("y", "q"), "y")
+    return own.union(near.select(F.least("p", "q"), F.greatest("p", "q")))
+
+
 def links(docs: DataFrame, sets: DataFrame, text_col: str = "text", block: int = BLOCK, text_block: int = TEXTS) -> DataFrame:
     """Pairs (a, b) of prints whose components are those of all pairs that are alike.
 
@@ -281,7 +295,8 @@ def links(docs: DataFrame, sets: DataFrame, text_col: str = "text", block: int =
     lists = common.materialise(lists, "lists")
     listed = common.materialise(index.join(lists, "key"), "listed")
     meets = listed.where((F.col("print") != F.col("head.print")) & may_be_alike(F.col("n"), F.col("place"), F.col("head.n"), F.col("head.place")))
-    first = meets.select(F.least("print", "head.print").alias("a"), F.greatest("print", "head.print").alias("b")).distinct()
+    first = meets.select(F.least("print", "head.print").alias("a"), F.greatest("print", "head.print").alias("b"))
+    first = first.union(near_prints(sets.select("print", "bits"))).distinct()
     small = sets.select("print", "n", "odd")
     counted = first.join(small.toDF("a", "n", "p"), "a").join(small.toDF("b", "m", "q"), "b").select("a", "b", "n", "p", "m", "q")
     first = common.materialise(counted.mapInArrow(_close_parities, "a long, b long"), "first")
@@ -333,5 +348,5 @@ def deal(rows: DataFrame, key: str, others: Column, members: Column, *columns: s
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, hash (of the text), print (of its words) and component_id: the smallest doc_id that links lead to."""
     rows = common.materialise(sets_of(docs, id_col, text_col), "prints")
-    sets = common.materialise(rows.select("print", "hash", "n", "first", "odd").dropDuplicates(["print"]), "sets")
+    sets = common.materialise(rows.select("print", "hash", "n", "first", "odd", "bits").dropDuplicates(["print"]), "sets")
     return simhash.grouped(rows.select("doc_id", "hash", "print"), lambda _: links(docs, sets, text_col))

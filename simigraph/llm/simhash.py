@@ -77,10 +77,14 @@ def fingerprint(text: str) -> int:
         return h(joined, SEED)
     stops = list(itertools.accumulate(map(len, words), lambda a, n: a + 1 + n))
     starts = [0, *(s + 1 for s in stops[: -SHINGLE])]
-    values = np.array([h(joined[a:z], SEED) for a, z in zip(starts, stops[SHINGLE - 1 :], strict=True)], ">u8")
+    return majority(np.array([h(joined[a:z], SEED) for a, z in zip(starts, stops[SHINGLE - 1 :], strict=True)], np.uint64))
+
+
+def majority(values: np.ndarray) -> int:
+    """The bits that are set in over half of the unsigned hashes."""
     set_in = np.zeros(64, np.int64)
     for part in range(0, len(values), 65536):
-        set_in += np.unpackbits(values[part : part + 65536].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        set_in += np.unpackbits(values[part : part + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * set_in > len(values)).tobytes(), "big")
 
 

@@ -802,6 +802,33 @@ def test_near_dedup_equals_jaccard_brute_force(spark, documents):
     assert {r.doc_id: r.component_id for r in found.collect()} == dict(enumerate(root))
 
 
+def test_near_dedup_links_by_fingerprints_and_verifies_them(spark, documents):
+    rnd = random.Random(14)
+    base = sentence(rnd, 600).split()
+    changed = [base[:k] + ["New"] + base[k + 1 :] for k in (100, 300, 500)]
+    docs = documents([(k, " ".join(w)) for k, w in enumerate([base, *changed, sentence(rnd, 600).split(), sentence(rnd, 600).split()])])
+    rows = shingle_join.sets_of(docs, "doc_id", "text").collect()
+    bits, prints = {r.doc_id: r.bits for r in rows}, {r.print: r.doc_id for r in rows}
+    for k, r in enumerate(rows):
+        assert r.bits & (1 << 64) - 1 == simhash.majority(shingle_join.shingles(shingle_join.words_of(docs.where(f"doc_id = {r.doc_id}").first().text))), k
+    near = [(x, y) for x, y in itertools.combinations(range(4), 2) if ((bits[x] ^ bits[y]) & (1 << 64) - 1).bit_count() <= 3]
+    assert near
+    # Without entries in the index by shingles only fingerprints link; equal fingerprints of unlike texts don't.
+    blind = spark.createDataFrame([(r.print, r.hash, r.n, [], r.odd, bits[4] if r.doc_id == 5 else r.bits) for r in rows], "print long, hash long, n int, first array<long>, odd binary, bits long")
+    found = [tuple(sorted((prints[r.a], prints[r.b]))) for r in shingle_join.links(docs, blind).collect()]
+    assert (4, 5) in {tuple(sorted((prints[r.a], prints[r.b]))) for r in shingle_join.near_prints(blind).collect()}
+    assert found and set(found) <= set(near)
+    assert len(set(grouped_by(found, 4))) == len(set(grouped_by(near, 4)))
+
+
+def grouped_by(pairs, n):
+    root = list(range(n))
+    for x, y in pairs:
+        p, q = sorted((root[x], root[y]))
+        root = [p if r == q else r for r in root]
+    return root
+
+
 def test_blocks_meet_once_and_large_components_move_once(spark):
     from pyspark.sql import functions as F
 
