@@ -228,3 +228,10 @@ def test_json_array_is_read_in_splits(spark, tmp_path):
     assert [tuple(r) for r in json_array.read(spark, target, schema).collect()] == rows[:1]
     json_array.write(spark.createDataFrame([], schema), target)
     assert json_array.read(spark, target, schema).count() == 0
+
+
+def test_semantic_matches_are_not_sorted(spark):
+    from simigraph.plans.all import QUERIES
+
+    plan = QUERIES["m11_semantic"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "confidence_score" in plan and "Sort [" not in plan
