@@ -235,3 +235,18 @@ def test_semantic_matches_are_not_sorted(spark):
 
     plan = QUERIES["m11_semantic"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "confidence_score" in plan and "Sort [" not in plan
+
+
+def test_blocks_keep_their_tasks(spark):
+    """Few bytes may be many pairs, so adaptive execution doesn't join the tasks in which groups meet."""
+    paths = [f"/{i}/{w} house {2001 + i % 3}.mkv" for i in range(4) for w in ("red", "blue", "green", "white", "black", "brown")]
+    files = features(records(spark.createDataFrame([(p, 1, 0.0) for p in paths], "path string, size long, mtime double"), Config().normalization))
+    tasks = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = blocking.grouped_pairs(files, OPTIONS)
+        assert met.count() > 0 and met.rdd.getNumPartitions() == 7
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
