@@ -1,11 +1,15 @@
 """Scores with default weights against plain Python over all candidate pairs; vectors, patterns and the JSON array."""
 
 import collections
+import datetime
+import gzip
 import json
 import math
 import os
 import random
+from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,6 +234,53 @@ def test_json_array_is_read_in_splits(spark, tmp_path):
     assert json_array.read(spark, target, schema).count() == 0
 
 
+def test_json_array_in_gzip(spark, tmp_path):
+    """One gzip file whose text is the plain one's, read back by several tasks from many members, some of them of one task's rows."""
+    rows = [(f"/{i}\n}},\n", None if i % 5 == 0 else '}\n]\n"é' + "x" * 200_000 * (i < 200), i, -0.0 if i % 2 else 0.0, ["[", None] * (i % 3), {"s,]": -0.0 if i % 2 else 0.0, "t": None} if i % 3 else None) for i in range(400)]
+    schema = 'path_a string, `b%s"` string, size long, score double, list array<string>, scores map<string,double>'
+    frame = spark.createDataFrame(rows, schema).repartitionByRange(8, "size").sortWithinPartitions("size")
+    packed, plain = tmp_path / "m.json.gz", tmp_path / "m.json"
+    json_array.write(frame, str(plain))
+    json_array.write(frame, str(packed), compression="gzip")
+    whole = gzip.decompress(packed.read_bytes()).decode()
+    assert whole == plain.read_text() and [tuple(r.values()) for r in json.loads(whole)] == rows
+    assert packed.stat().st_size * 20 < plain.stat().st_size
+    assert len(list(json_array._members(str(packed)))) > 17  # eight parts and what is around them
+    back = json_array.read(spark, str(packed), schema, "gzip")
+    assert back.rdd.getNumPartitions() > 1 and sorted(map(tuple, back.collect()), key=lambda r: r[2]) == rows
+    json_array.write(frame.limit(0), str(packed), compression="gzip")
+    assert json.loads(gzip.decompress(packed.read_bytes())) == [] and json_array.read(spark, str(packed), schema, "gzip").count() == 0
+    packed.write_bytes(gzip.compress(b"[\n\n]\n"))
+    with pytest.raises(Exception, match="packed by members"):
+        json_array.read(spark, str(packed), schema, "gzip").count()
+    with pytest.raises(Exception, match="unknown compression"):
+        json_array.write(frame, str(packed), compression="xz")
+
+
+def test_json_texts_are_those_of_dumps():
+    """Nulls, signed zeros, numbers that aren't finite, times, nested values, and a slice, whose maps begin later."""
+    day = datetime.date(2020, 1, 2)
+    rows = [{"a": f'"é\n{i}' if i % 4 else None, "b": i if i % 3 else None, "c": (-0.0, 0.0, math.inf, 1e300)[i % 4], "d": day, "e": [i, None], "f": {"x": "y\n", "z": None}, "g": [("k", -0.0 if i % 2 else 0.0), ("l", None)] if i % 3 else None, "h": i % 2 == 0, "i": i} for i in range(40)]
+    kinds = pa.schema({"a": pa.string(), "b": pa.int64(), "c": pa.float64(), "d": pa.date32(), "e": pa.list_(pa.int64()), "f": pa.struct({"x": pa.string(), "z": pa.string()}), "g": pa.map_(pa.string(), pa.float64()), "h": pa.bool_(), "i": pa.int32()}.items())
+    batch = pa.RecordBatch.from_pylist(rows, kinds)
+    for b, some in ((batch, rows), (batch.slice(7, 20), rows[7:27])):
+        whole = [r | {"g": dict(r["g"]) if r["g"] else None} for r in some]
+        want = [tuple(json.dumps(v, ensure_ascii=False, indent=2, default=str).replace("\n", "\n  ") for v in r.values()) for r in whole]
+        assert list(zip(*map(json_array._texts, b.columns), strict=True)) == want
+
+
+def test_exported_array_is_compressed(spark):
+    """The query's file is a small part of its text."""
+    from simigraph import store
+    from simigraph.plans.all import QUERIES
+
+    QUERIES["k02_export_json"](spark, SF)
+    folder = Path(store.shared_dir(spark).removeprefix("file:")) / "simigraph"
+    last = max(folder.glob("json-*"), key=lambda p: p.stat().st_mtime)
+    text = gzip.decompress(last.read_bytes())
+    assert json.loads(text) and last.stat().st_size * 3 < len(text)
+
+
 def test_semantic_matches_are_not_sorted(spark):
     from simigraph.plans.all import QUERIES
 
