@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from simigraph.operators import groups
 BITS, BANDS = 64, 4
 # Differing bits of near frames, per cent of near frames, seconds between durations.
 DISTANCE, THRESHOLD, TOLERANCE = 10, 70.0, 5.0
+#: Frames of a long video, as many long ones as are compared pair by pair, frames of the first that a task compares at once, and of the second.
+LONG, FEW, PIECE, STEP = 128, 256, 4096, 256
 
 
 def fingerprints(frames: DataFrame) -> DataFrame:
@@ -96,6 +101,7 @@ def candidates(prints: DataFrame, distance: int = DISTANCE, threshold: float = T
     masks = F.array(*(F.lit(m).cast("long") for m in _masks(distance // BANDS - distance // BANDS // 2)))
     masks_b = F.array(*(F.lit(m).cast("long") for m in _masks(distance // BANDS // 2)))
     sized = prints.where(F.size("hashes") > 0).select("video", "lo", "hi", F.size("hashes").alias("n"), "hashes")
+    sized = store.spread(sized)  # a small file of few rows makes many keys
     frames = sized.select("video", "lo", "n", F.posexplode("hashes").alias("pos", "hash"))
     bands = F.explode(F.array(*(F.struct(F.lit(k).alias("band"), band(F.col("hash"), k).alias("bits")) for k in range(BANDS))))
     # How many distinct hashes of videos have the band: what a lookup would meet.
@@ -106,7 +112,7 @@ def candidates(prints: DataFrame, distance: int = DISTANCE, threshold: float = T
     each = ranked.select("video", "lo", "n", F.posexplode("f").alias("at", "f")).select("video", "lo", "n", (F.col("n") - F.col("at")).alias("room"), F.col("f.hash").alias("hash"))
     # Of equal frames of a video the first one has the most room.
     each = each.groupBy("video", "lo", "n", "hash").agg(F.max("room").alias("room"))
-    each = store.materialise(each, "frames")
+    each = store.spread(store.materialise(each, "frames"))
     power = lambda n: F.floor(F.log2(n.cast("double"))).cast("int")
 
     def keyed(df: DataFrame, flips: Column, *cols: str) -> DataFrame:
@@ -130,12 +136,65 @@ def candidates(prints: DataFrame, distance: int = DISTANCE, threshold: float = T
     return met.unionByName(met_short).distinct()
 
 
+def near_frames(pairs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``matched`` in place of (hashes_a, times, hashes_b): how often those of a that have a near one in b occur."""
+    kept = [c for c in pairs.columns if c not in ("hashes_a", "times", "hashes_b")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            matched = []
+            for a, times, b in zip(*(batch.column(c) for c in ("hashes_a", "times", "hashes_b")), strict=True):
+                a, times, b = (x.values.to_numpy() for x in (a, times, b))
+                whole = times.sum()
+                for k in range(0, len(b), STEP):
+                    alone = ~(np.bitwise_count((a[:, None] ^ b[None, k : k + STEP]).view(np.uint64)) <= distance).any(axis=1)
+                    a, times = a[alone], times[alone]
+                matched.append(whole - times.sum())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(matched, pa.int64())], [*kept, "matched"])
+
+    return pairs.mapInArrow(run, pairs.select(*kept, F.lit(0).cast("long").alias("matched")).schema)
+
+
+def compared_pairs(prints: DataFrame, distance: int = DISTANCE, threshold: float = THRESHOLD) -> DataFrame:
+    """As ``compared``, every pair by its distinct frames, a piece of a's at a time: for few videos of many frames.
+
+    Such pairs have some near frames anyway, and what the bands' keys would be is many times the frames.
+    What is shuffled is both videos' frames for each pair of videos and piece.
+    """
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sized = prints.select("video", "lo", "hi", F.size("hashes").alias("n"))
+    a, b = sized.selectExpr("video video_a", "lo", "n n_a"), sized.selectExpr("video video_b", "hi", "n n_b")
+    pairs = a.crossJoin(b).where((F.col("lo") < F.col("hi")) & (F.col("video_a") != F.col("video_b"))).drop("lo", "hi")
+    each = prints.select("video", F.size("hashes").alias("n"), F.explode("hashes").alias("hash")).where("hash is not null")
+    each = each.groupBy("video", "n", "hash").agg(F.count("*").alias("times"))
+    piece = F.pmod(F.xxhash64("hash"), F.ceil(F.col("n") / PIECE)).alias("piece")
+    listed = each.groupBy(F.col("video").alias("video_a"), piece).agg(F.collect_list(F.struct("hash", "times")).alias("f"))
+    listed = listed.select("video_a", "f.hash", "f.times").withColumnRenamed("hash", "hashes_a")
+    others = prints.select(F.col("video").alias("video_b"), F.array_distinct(F.filter("hashes", lambda h: h.isNotNull())).alias("hashes_b"))
+    work = pairs.join(listed, "video_a").join(others, "video_b").select("video_a", "video_b", "n_a", "n_b", "hashes_a", "times", "hashes_b")
+    found = near_frames(work.repartition(tasks), distance).groupBy("video_a", "video_b", "n_a", "n_b").agg(F.sum("matched").alias("matched"))
+    percent = F.col("matched") / F.least("n_a", "n_b") * 100
+    return found.select("video_a", "video_b", percent.alias("percent")).where(F.col("percent") >= threshold)
+
+
 def compared(prints: DataFrame, distance: int = DISTANCE, threshold: float = THRESHOLD) -> DataFrame:
-    """video_a, video_b and percent of the pairs of (video, hashes, lo, hi) that reach the threshold: candidates, then all frames of both."""
+    """video_a, video_b and percent of the pairs of (video, hashes, lo, hi) that reach the threshold: candidates, then all frames of both.
+
+    Where a few videos are long, each of their pairs is compared without being looked up.
+    """
+    is_long = F.size("hashes") >= LONG
+    # One row of counts.
+    n, long_ones = prints.agg(F.count("*"), F.count_if(is_long)).first()
+    few = 1 < long_ones <= FEW
+    if few and long_ones == n:
+        return compared_pairs(prints, distance, threshold)
     found = candidates(prints, distance, threshold)
     side = lambda s: prints.select(F.col("video").alias(f"video_{s}"), F.col("hashes").alias(f"hashes_{s}"))
     both = found.join(side("a"), "video_a").join(side("b"), "video_b")
-    return exact_percent(both, distance).where(F.col("percent") >= threshold).select("video_a", "video_b", "percent")
+    if few:
+        both = both.where((F.size("hashes_a") < LONG) | (F.size("hashes_b") < LONG))
+    some = exact_percent(both, distance).where(F.col("percent") >= threshold).select("video_a", "video_b", "percent")
+    return some.unionByName(compared_pairs(prints.where(is_long), distance, threshold)) if few else some
 
 
 def match_videos(prints: DataFrame, distance: int = DISTANCE, threshold: float = THRESHOLD, quick: bool = True) -> DataFrame:

@@ -156,3 +156,33 @@ def test_keys_of_bands_are_never_broadcast(spark, tmp_path):
     for df in (visual.candidates(prints), visual.near_hashes(prints.select(F.col("video").alias("id"), F.col("hashes")[0].alias("hash")))):
         plan = df._jdf.queryExecution().sparkPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_long_videos_equal_plain_loops(spark, monkeypatch):
+    """Few long videos are compared pair by pair, in pieces and without keys of bands; short ones beside them too."""
+    rnd = random.Random(8)
+    scene = [rnd.getrandbits(64) for _ in range(40)]
+    changed = lambda h: signed(h ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 5))))
+    long_ = {f"v{i}": [changed(rnd.choice(scene) if rnd.random() < share else rnd.getrandbits(64)) for _ in range(150 + 40 * i)] for i, share in enumerate((1.0, 0.95, 0.9, 0.8, 0.5, 0.0))}
+    long_["v6"] = [signed(h) for h in scene[:3]] * 50  # frames that repeat
+    short = {f"s{i}": [changed(h) for h in rnd.sample(scene, 10)] for i in range(4)} | {"s9": [signed(rnd.getrandbits(64)) for _ in range(5)]}
+    monkeypatch.setattr(visual, "PIECE", 60)
+    for prints in (long_, long_ | short):
+        frames = spark.createDataFrame(list(prints.items()), PRINTS)
+        got = {(r.video_a, r.video_b): r.percent for r in visual.match_videos(frames, quick=False).collect()}
+        names = sorted(prints)
+        percent = {(a, b): sum(any(near(s, t) for t in prints[b]) for s in prints[a]) / min(len(prints[a]), len(prints[b])) * 100 for i, a in enumerate(names) for b in names[i + 1 :]}
+        assert got == {k: pytest.approx(v) for k, v in percent.items() if v >= 70} and len(got) > 2
+        durations = [(p, float(rnd.randint(0, 12))) for p in prints]
+        assert run(spark, durations, prints) == groups_by_force(durations, prints)
+    keyed = spark.createDataFrame(list(long_.items()), PRINTS).selectExpr("video", "hashes", "video lo", "video hi")
+    plan = visual.compared(keyed)._jdf.queryExecution().optimizedPlan().toString()
+    assert "bits" not in plan and "power" not in plan
+    monkeypatch.setattr(visual, "FEW", 3)  # then by their keys
+    assert sorted(visual.compared(keyed).select("video_a", "video_b").collect()) == sorted(visual.compared_pairs(keyed).select("video_a", "video_b").collect())
+
+
+def test_keys_of_a_small_file_are_made_by_many_tasks(spark, tmp_path):
+    spark.createDataFrame([(v, [v * 977 + f for f in range(20)], v, v) for v in range(8)], "video long, hashes array<long>, lo long, hi long").coalesce(1).write.parquet(str(tmp_path / "p"))
+    plan = visual.candidates(spark.read.parquet(str(tmp_path / "p")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition 4, true") >= 2
